@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import trust, urls
-from ..operators import dedupe, gates, matching, metrics, ordered, profiles
+from ..operators import dedupe, gates, matching, metrics, ordered, profiles, ranking, store
 from . import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,3 +322,397 @@ def _(spark, sf):
     rows = enriched(spark, sf)
     runs = d.url_observations(spark, sf).select("run_id")
     return metrics.status_counts(rows, rows.filter("posting_id % 17 = 0"), d.endpoints(spark, sf), runs)
+
+
+# --- store ------------------------------------------------------------------------
+
+
+NOW = F.lit("1999-01-01 00:00:00").cast("timestamp")
+RUN = 199901
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A posting store: even postings, one per duplicate key."""
+    rows = enriched(spark, sf_dir).filter("posting_id % 2 = 0 AND active_status = 'Active'")
+    first = ordered.top_n(rows, ["duplicate_key"], [F.asc("posting_id")])
+    blank = F.lit("")
+    full = store.coerce_payload(
+        first,
+        extra=["posting_id", "workflow_status", "first_seen_at", "last_seen_run_id"],
+    )
+    return full.withColumns(
+        {
+            "applied_date": F.when(F.col("workflow_status") == "Applied", F.date_format("first_seen_at", "yyyy-MM-dd")).otherwise(blank),
+            "source_trust": F.when(F.col("posting_id") % 6 == 0, F.lit("Web Discovered")).otherwise(F.col("source_trust")),
+            "last_seen_at": F.col("first_seen_at"),
+            "seen_count": F.lit(1).cast("long"),
+            "last_page_refresh_at": F.col("first_seen_at"),
+            "last_score_refresh_at": F.lit(None).cast("timestamp"),
+            "last_refresh_status": F.lit("discovered"),
+            "updated_at": F.col("first_seen_at"),
+        }
+    )
+
+
+def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = enriched(spark, sf_dir).filter("posting_id % 17 = 0")
+    return rows.select(
+        F.lit("1998-12-31").alias("removed_date"), "duplicate_key", "company", "title", "location", "job_posting_url",
+        F.lit("Removed in app").alias("removal_reason"),
+    ).dropDuplicates(["duplicate_key"])
+
+
+def upserted(spark: SparkSession, sf_dir: str) -> store.Upsert:
+    batch = enriched(spark, sf_dir).filter("posting_id % 3 = 0")
+    return store.upsert_postings(snapshot(spark, sf_dir), batch, tombstones(spark, sf_dir), RUN, NOW)
+
+
+@query("J2_drop_tombstoned")
+def _(spark, sf):
+    live, gone = store.drop_tombstoned(enriched(spark, sf), tombstones(spark, sf))
+    count = lambda df, label: df.groupBy("profile_id").agg(F.count(F.lit(1)).alias(label))
+    return count(live, "live").join(count(gone, "skipped"), "profile_id", "full_outer").fillna(0)
+
+
+@query("J3_resolve_existing")
+def _(spark, sf):
+    batch = store.coerce_payload(enriched(spark, sf).filter("posting_id % 3 = 0"))
+    found = store.resolve_existing(batch, snapshot(spark, sf))
+    return batch.join(found, ["duplicate_key", "canonical_job_posting_url", "job_posting_url"]).select(
+        "pos", F.coalesce("existing_id", F.lit(-1)).alias("existing_id")
+    )
+
+
+@query("M1_upsert_postings")
+def _(spark, sf):
+    out = upserted(spark, sf).snapshot
+    text = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("")).alias(c)
+    return out.select(
+        "posting_id", "company", "title", "job_posting_url", "canonical_job_posting_url", "source_trust", "source_type",
+        "source_detail", "workflow_status", "applied_date", "duplicate_key", "seen_count", "last_seen_run_id",
+        text("first_seen_at"), text("last_seen_at"), text("last_score_refresh_at"),
+    )
+
+
+@query("M1_upsert_outcomes")
+def _(spark, sf):
+    return upserted(spark, sf).outcomes.select(
+        "pos", F.coalesce("job_id", F.lit(-1)).alias("job_id"), "status", "discovery_state", "trust_promoted"
+    )
+
+
+@query("M1_upsert_ambiguous")
+def _(spark, sf):
+    return upserted(spark, sf).ambiguous
+
+
+def _outcome_rows(spark, sf):
+    """Every posting as one run item: upsert outcomes by its own run."""
+    seen = enriched(spark, sf).withColumn("entity", F.concat_ws("|", "company", "title"))
+    state = dedupe.discovery_state(seen, "entity", "last_seen_run_id", "pos", block_rows=5000)
+    status = F.when(F.col("discovery_state") == "net_new", F.lit("inserted")).otherwise(F.lit("updated"))
+    return state.withColumns({"status": status, "run_id": F.col("last_seen_run_id"), "job_id": F.col("posting_id")})
+
+
+@query("A4_ingest_summary")
+def _(spark, sf):
+    return metrics.ingest_summary(_outcome_rows(spark, sf))
+
+
+@query("A4_ingest_label_counts")
+def _(spark, sf):
+    return metrics.ingest_label_counts(_outcome_rows(spark, sf), ["source_trust", "source_type"])
+
+
+@query("M2_mark_applied")
+def _(spark, sf):
+    base = snapshot(spark, sf)
+    ids = base.filter("posting_id % 10 = 0").select("posting_id")
+    return store.mark_applied(base, ids, "1999-01-02", NOW).select("posting_id", "workflow_status", "status", "applied_date")
+
+
+@query("M3_remove_postings")
+def _(spark, sf):
+    base = snapshot(spark, sf)
+    ids = base.filter("posting_id % 10 = 0").select("posting_id")
+    after, gone = store.remove_postings(base, tombstones(spark, sf), ids, "1999-01-02")
+    left = after.select(F.lit("kept").alias("side"), "duplicate_key", F.lit("").alias("removed_date"))
+    return left.unionByName(gone.select(F.lit("tombstone").alias("side"), "duplicate_key", "removed_date"))
+
+
+@query("M4_apply_refresh")
+def _(spark, sf):
+    base = snapshot(spark, sf)
+    refreshed = base.filter("posting_id % 8 = 0").select(
+        "posting_id", F.upper("title").alias("title"), "company", "location", F.lit("$300,000 - $310,000").alias("compensation_raw"),
+        (F.col("posting_id") % 100).cast("double").alias("fit_score"), (F.col("posting_id") % 16 == 0).alias("scored"),
+        F.lit("refreshed").alias("refresh_status"),
+    )
+    out = store.apply_refresh(base, refreshed, NOW)
+    return out.select(
+        "posting_id", "title", "compensation_raw", "last_refresh_status",
+        F.coalesce("fit_score", F.lit(-1.0)).alias("fit_score"),
+        F.coalesce(F.date_format("last_score_refresh_at", "yyyy-MM-dd"), F.lit("")).alias("scored_on"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"),
+    )
+
+
+@query("M6_upsert_settings")
+def _(spark, sf):
+    stored = settings_kv(spark, sf)
+    updates = stored.filter("profile_id % 2 = 0").select(
+        "profile_id", F.when(F.col("key") == "remote_only", F.lit("executive_summary")).otherwise(F.col("key")).alias("key"),
+        F.concat(F.lit(" new "), "value").alias("value"), F.monotonically_increasing_id().alias("pos"),
+    )
+    return profiles.upsert_settings(stored, updates)
+
+
+def settings_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles as stored (profile_id, key, value) rows."""
+    keys = ["target_titles", "preferred_locations", "include_keywords", "remote_only", "include_remote"]
+    pairs = [F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys]
+    retired = F.struct(F.lit("require_mark_as_applied").alias("key"), F.lit("x").alias("value"))
+    alias = F.struct(F.lit("default_minimum_fit_score").alias("key"), F.lit(" nan ").alias("value"))
+    return d.profiles(spark, sf_dir).select("profile_id", F.inline(F.array(*pairs, retired, alias)))
+
+
+@query("S5_load_settings")
+def _(spark, sf):
+    wide = profiles.load_settings(settings_kv(spark, sf))
+    return wide.select(
+        "profile_id", "target_titles", "include_remote", "remote_only", "search_strategy", "default_min_fit_score",
+        "default_jobs_per_page",
+    )
+
+
+@query("M7_append_artifact")
+def _(spark, sf):
+    base = snapshot(spark, sf)
+    letters = table_rows(spark, sf).select(
+        (F.col("l_orderkey")).alias("posting_id"), F.col("artifact_id"), F.concat(F.lit("/out/"), "artifact_id", F.lit(".txt")).alias("path")
+    )
+    return store.append_artifact(base, letters).select("posting_id", "artifact_path")
+
+
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output records: one per (order, line) pair of lineitem."""
+    lines = d.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return lines.withColumn("artifact_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+
+
+@query("S9_align_schema")
+def _(spark, sf):
+    rows = d.postings(spark, sf).withColumn("status", F.when(F.col("posting_id") % 2 == 0, F.lit("  ")).otherwise(F.col("workflow_status")))
+    out = store.coerce_payload(rows, extra=["posting_id"])
+    return out.select(
+        "posting_id", "status", "source", "active_status", "parser_version", "source_type", "risk_flags", "duplicate_key",
+        "canonical_job_posting_url", F.coalesce("fit_score", F.lit(-1.0)).alias("fit_score"),
+    )
+
+
+# --- endpoints -----------------------------------------------------------------------
+
+
+def scored_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = ranking.active_endpoints(d.endpoints(spark, sf_dir), d.companies(spark, sf_dir))
+    owned = active.withColumn("profile_id", (F.col("endpoint_id") % 2).cast("int"))
+    return ranking.score_endpoints(owned.join(ranking.endpoint_profiles(d.profiles(spark, sf_dir)), "profile_id"))
+
+
+@query("J1_active_endpoints")
+def _(spark, sf):
+    out = ranking.active_endpoints(d.endpoints(spark, sf), d.companies(spark, sf))
+    return out.select("endpoint_id", "company_id", "company_name", "canonical_domain", "hq", "endpoint_url")
+
+
+@query("C3_score_endpoints")
+def _(spark, sf):
+    return scored_endpoints(spark, sf).select(
+        "endpoint_id", "profile_id", "vendor", "score", "seedable", "shape_priority", "vendor_priority", "preferred"
+    )
+
+
+@query("W5_select_endpoints")
+def _(spark, sf):
+    return ranking.select_endpoints(scored_endpoints(spark, sf)).select(
+        "profile_id", "endpoint_id", "vendor", "score", "pass_no", "position"
+    )
+
+
+@query("W5_select_endpoints_by_score")
+def _(spark, sf):
+    return ranking.select_endpoints(scored_endpoints(spark, sf), mode="legacy", offset=5).select(
+        "profile_id", "endpoint_id", "vendor", "score", "position"
+    )
+
+
+@query("W6_next_batch")
+def _(spark, sf):
+    scored = scored_endpoints(spark, sf)
+    used = ranking.select_endpoints(scored, 5)
+    kept = used.filter("profile_id = 1")
+    return ranking.next_batch(scored, used, kept, 5).select("profile_id", "endpoint_id", "pass_no", "position")
+
+
+@query("A17_vendor_mix")
+def _(spark, sf):
+    return metrics.vendor_mix(scored_endpoints(spark, sf), F.col("preferred"))
+
+
+def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract records from the endpoints of all parts, with bad rows."""
+    rows = d.endpoints(spark, sf_dir).join(d.companies(spark, sf_dir), "company_id")
+    n = F.col("endpoint_id")
+    return rows.select(
+        n.alias("pos"),
+        F.when(n % 13 == 0, F.lit(" ")).when(n % 4 == 0, F.concat(F.lit("New Co "), n % 50)).otherwise(F.col("name")).alias("company_name"),
+        F.when(n % 4 == 0, F.concat(F.lit("NEW"), n % 50, F.lit(".com"))).otherwise(F.concat(F.lower(F.replace("name", F.lit("#"))), F.lit(".com"))).alias("canonical_company_domain"),
+        F.col("endpoint_url").alias("careers_url"),
+        F.when(n % 29 == 0, F.lit("weird")).otherwise(F.col("careers_url_status")).alias("careers_url_status"),
+        F.col("review_status"),
+        F.col("ats_vendor").alias("ats_provider"),
+        F.when(n % 31 == 0, F.lit("high")).otherwise(F.col("confidence_score").cast("string")).alias("confidence_score"),
+        F.lit("2026-01-01").alias("last_validated_at"),
+        F.col("is_primary").cast("string").alias("is_primary_careers_url"),
+        F.col("notes"),
+    )
+
+
+@query("F10_validate_contract_records")
+def _(spark, sf):
+    out = store.validate_contract_records(contract(spark, sf))
+    return out.select("pos", "verdict", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("J4_resolve_company")
+def _(spark, sf):
+    out = store.resolve_company(contract(spark, sf), d.companies(spark, sf))
+    return out.select("pos", F.coalesce("company_id", F.lit(-1)).alias("company_id"))
+
+
+@query("M5_import_endpoints")
+def _(spark, sf):
+    known = d.endpoints(spark, sf).filter("endpoint_id % 3 = 0").drop("active").withColumn("active", F.lit(1))
+    return store.import_endpoints(d.companies(spark, sf), known, contract(spark, sf)).summary
+
+
+@query("M5_imported_endpoints")
+def _(spark, sf):
+    known = d.endpoints(spark, sf).filter("endpoint_id % 3 = 0")
+    out = store.import_endpoints(d.companies(spark, sf), known, contract(spark, sf)).endpoints
+    return out.groupBy("ats_vendor", "extraction_method", "review_status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("active").alias("active"), F.round(F.sum("confidence_score"), 4).alias("confidence")
+    ).fillna({"extraction_method": ""})
+
+
+@query("U3_registry_delta")
+def _(spark, sf):
+    endpoints = d.endpoints(spark, sf)
+    missing, _ = ranking.registry_delta(contract(spark, sf).withColumnRenamed("careers_url", "endpoint_url"), endpoints.filter("active = 1"), ["endpoint_url"])
+    return missing.select("pos", "endpoint_url")
+
+
+@query("U3_registry_delta_count")
+def _(spark, sf):
+    return ranking.registry_delta(contract(spark, sf).withColumnRenamed("careers_url", "endpoint_url"), d.endpoints(spark, sf).filter("active = 1"), ["endpoint_url"])[1]
+
+
+# --- registry ranking and review -------------------------------------------------------
+
+
+def ranked_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources per host, plus one per customer so that there are many."""
+    return ranking.source_priority(registry(spark, sf_dir))
+
+
+@query("C2_source_priority")
+def _(spark, sf):
+    return ranked_registry(spark, sf).select("source_key", "priority_score", "notes")
+
+
+@query("A9_registry_mix")
+def _(spark, sf):
+    return metrics.registry_mix(registry(spark, sf), ["source_trust", "source_type", "ats_type", "hostname"], 5)
+
+
+@query("A9_root_rollup")
+def _(spark, sf):
+    return metrics.root_rollup(ranked_registry(spark, sf))
+
+
+@query("O3_top_bottom_sources")
+def _(spark, sf):
+    return ranking.top_bottom_sources(ranked_registry(spark, sf)).select("side", "source_key", "priority_score")
+
+
+@query("O4_low_yield")
+def _(spark, sf):
+    weak = ranked_registry(spark, sf).withColumn("matching_job_count", F.col("matching_job_count") % 4)
+    return ranking.low_yield(weak, 10).select("source_key", "seen_count", "matching_job_count")
+
+
+@query("W8_split_and_cap_sources")
+def _(spark, sf):
+    out = ranking.split_and_cap_sources(ranked_registry(spark, sf), {"Lever": (10, 5), "Unknown": (25, 15)})
+    return out.select("ats_type", "source_root", "strong", "kept", "rank_in_class")
+
+
+@query("W7_cap_per_group")
+def _(spark, sf):
+    out = ranking.cap_per_group(d.postings(spark, sf), "company", 2, [F.asc("posting_id")])
+    return out.select("posting_id", "company")
+
+
+@query("W9_latest_per_key")
+def _(spark, sf):
+    out = ranking.latest_per_key(d.url_observations(spark, sf).filter("raw_url <> ''"), ["profile_id", "provider"], [F.desc("run_id"), F.desc("obs_id")], 3)
+    return out.select("profile_id", "provider", "run_id", "obs_id")
+
+
+@query("W10_label_latest_run")
+def _(spark, sf):
+    rows = d.postings(spark, sf).withColumn("seen_count", F.col("posting_id") % 3)
+    runs = rows.select(F.col("last_seen_run_id").alias("run_id"))
+    return ranking.label_latest_run(rows, runs).select("posting_id", "discovery_state")
+
+
+@query("W12_page")
+def _(spark, sf):
+    rows = ranking.open_list(d.postings(spark, sf))
+    return ranking.page(rows, ranking.open_order(), 25, 3).select("posting_id", "row_no", "page_no", "total_rows", "total_pages")
+
+
+@query("W13_new_per_tier")
+def _(spark, sf):
+    seen = d.url_observations(spark, sf).withColumn("tier", (F.col("obs_id") % 6).cast("int"))
+    found = seen.withColumn("url", urls.canonical(F.col("raw_url"))).filter("url <> ''")
+    return ranking.new_per_tier(found, "tier", "url")
+
+
+def _sorted_top(spark, sf, mode):
+    rows = enriched(spark, sf).withColumn("date_found", F.date_format("first_seen_at", "yyyy-MM-dd"))
+    open_rows = ranking.open_list(rows)
+    return open_rows.orderBy(*ranking.review_order(mode, ranking.open_order())).limit(100).select("posting_id", "company", "title")
+
+
+for _mode in ["Newest First", "Highest Compensation", "Highest Source Trust", "Company A-Z", "Highest Fit Score"]:
+    QUERIES["O1_review_sort_" + _mode.lower().replace(" ", "_").replace("-", "_")] = (
+        lambda spark, sf, m=_mode: _sorted_top(spark, sf, m)
+    )
+
+
+@query("O2_open_list")
+def _(spark, sf):
+    return ranking.open_list(d.postings(spark, sf)).select("posting_id", "display_title", F.coalesce("fit_score", F.lit(-1.0)).alias("fit_score"))
+
+
+@query("O2_applied_list")
+def _(spark, sf):
+    n = F.col("posting_id") % 4
+    rows = d.postings(spark, sf).withColumn(
+        "applied_date",
+        F.when(n == 0, F.date_format("first_seen_at", "yyyy-MM-dd")).when(n == 1, F.date_format("first_seen_at", "MM/dd/yyyy"))
+        .when(n == 2, F.date_format("first_seen_at", "yyyy/MM/dd")).otherwise(F.lit("soon")),
+    )
+    out = ranking.applied_list(rows, F.lit("1999-01-01").cast("date"))
+    return out.select("posting_id", "applied_date", F.coalesce("days_ago", F.lit(-1)).alias("days_ago"))
