@@ -344,14 +344,14 @@ def benchmark_overall(cases: DataFrame, groups: DataFrame) -> DataFrame:
 
 def profile_scoreboard(scored: DataFrame) -> DataFrame:
     """Per profile the mean fit and how often each action came up."""
-    action = lambda a: F.count_if(F.lower("recommended_action") == a)
+    action = lambda a: F.count_if(F.col("recommended_action") == a)
     return scored.groupBy("profile_id").agg(
         F.count(F.lit(1)).alias("scored"),
-        F.round(F.avg("fit_score"), 1).alias("average_fit"),
-        action("apply").alias("apply_count"),
-        action("maybe").alias("maybe_count"),
-        action("review").alias("review_count"),
-        action("skip").alias("skip_count"),
+        F.round(F.avg("fit_score"), 1).alias("avg_fit_score"),
+        action("Apply").alias("apply_count"),
+        action("Apply with Caution").alias("apply_caution_count"),
+        action("Hold").alias("hold_count"),
+        action("Skip").alias("skip_count"),
     )
 
 

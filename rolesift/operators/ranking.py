@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import notes, pay, titles, trust, urls
 from ..functions.text import clean, contains_any, first_number, norm_plain, split_csv, split_places
+from .lineage import cut
 from .ordered import top_n
 
 # Vendors whose endpoints can be scanned, and their quotas.
@@ -246,7 +247,9 @@ def select_endpoints(
     if mode != "next_gen":
         return top_n(rows, profile, order, cap, rank="position").withColumn("pass_no", F.lit(1))
 
-    pool = scored.filter("preferred").select("profile_id", "endpoint_url").distinct().withColumn("_pool", F.lit(True))
+    # The passes below read the scored rows several times.
+    rows = cut(rows)
+    pool = rows.filter("preferred").select("profile_id", "endpoint_url").distinct().withColumn("_pool", F.lit(True))
     pooled = pool.select("profile_id").distinct().withColumn("_pooled", F.lit(True))
     rows = rows.join(pool, ["profile_id", "endpoint_url"], "left").join(pooled, "profile_id", "left")
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("_pool", "_pooled")})
@@ -258,7 +261,7 @@ def select_endpoints(
     by_quota = in_quota.filter(F.col("_in_vendor") <= _quota_column(dict(vendor_quotas(cap)))).drop("_in_vendor")
     turn = F.when(F.col("senior_tech"), _vendor_turn()).otherwise(0)
     first = top_n(by_rank.unionByName(by_quota).withColumn("_turn", turn), profile, [F.asc("_turn"), *order], cap)
-    first = first.withColumn("pass_no", F.lit(1))
+    first = cut(first.withColumn("pass_no", F.lit(1)))
 
     taken = first.groupBy("profile_id").agg(F.count(F.lit(1)).alias("_taken"))
     rest = rows.join(first.select("profile_id", "endpoint_url").distinct(), ["profile_id", "endpoint_url"], "left_anti")

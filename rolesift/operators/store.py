@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import trust, urls
 from ..functions.text import clean, or_default, to_float
+from .lineage import cut
 from .ordered import top_n
 
 # The ingest columns, and defaults for blank ones.
@@ -192,6 +193,7 @@ def upsert_postings(
         "_scored",
         F.col("fit_score").isNotNull() | (clean(F.col("fit_tier"), False) != "") | (clean(F.col("ai_priority"), False) != ""),
     )
+    coerced = cut(coerced)
     live, skipped = drop_tombstoned(coerced, removed)
     canonical = F.col("canonical_job_posting_url")
     identity = ["duplicate_key", "canonical_job_posting_url", "job_posting_url"]
@@ -218,6 +220,7 @@ def upsert_postings(
         )
         .drop("_group", "_owner")
     )
+    rows = cut(rows)
     ambiguous = (
         rows.filter(canonical != "")
         .select("canonical_job_posting_url", "entity")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trust, urls
 from ..operators import dedupe, gates, matching, metrics, ordered, profiles, ranking, store
+from ..operators.lineage import cut
 from . import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,10 +328,13 @@ def _(spark, sf):
 # --- store ------------------------------------------------------------------------
 
 
-NOW = F.lit("1999-01-01 00:00:00").cast("timestamp")
 RUN = 199901
 
 
+def now():
+    return F.lit("1999-01-01 00:00:00").cast("timestamp")
+
+
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A posting store: even postings, one per duplicate key."""
     rows = enriched(spark, sf_dir).filter("posting_id % 2 = 0 AND active_status = 'Active'")
@@ -364,7 +368,7 @@ def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upserted(spark: SparkSession, sf_dir: str) -> store.Upsert:
     batch = enriched(spark, sf_dir).filter("posting_id % 3 = 0")
-    return store.upsert_postings(snapshot(spark, sf_dir), batch, tombstones(spark, sf_dir), RUN, NOW)
+    return store.upsert_postings(cut(snapshot(spark, sf_dir)), batch, tombstones(spark, sf_dir), RUN, now())
 
 
 @query("J2_drop_tombstoned")
@@ -376,8 +380,8 @@ def _(spark, sf):
 
 @query("J3_resolve_existing")
 def _(spark, sf):
-    batch = store.coerce_payload(enriched(spark, sf).filter("posting_id % 3 = 0"))
-    found = store.resolve_existing(batch, snapshot(spark, sf))
+    batch = cut(store.coerce_payload(enriched(spark, sf).filter("posting_id % 3 = 0")))
+    found = store.resolve_existing(batch, cut(snapshot(spark, sf)))
     return batch.join(found, ["duplicate_key", "canonical_job_posting_url", "job_posting_url"]).select(
         "pos", F.coalesce("existing_id", F.lit(-1)).alias("existing_id")
     )
@@ -428,7 +432,7 @@ def _(spark, sf):
 def _(spark, sf):
     base = snapshot(spark, sf)
     ids = base.filter("posting_id % 10 = 0").select("posting_id")
-    return store.mark_applied(base, ids, "1999-01-02", NOW).select("posting_id", "workflow_status", "status", "applied_date")
+    return store.mark_applied(base, ids, "1999-01-02", now()).select("posting_id", "workflow_status", "status", "applied_date")
 
 
 @query("M3_remove_postings")
@@ -448,7 +452,7 @@ def _(spark, sf):
         (F.col("posting_id") % 100).cast("double").alias("fit_score"), (F.col("posting_id") % 16 == 0).alias("scored"),
         F.lit("refreshed").alias("refresh_status"),
     )
-    out = store.apply_refresh(base, refreshed, NOW)
+    out = store.apply_refresh(base, refreshed, now())
     return out.select(
         "posting_id", "title", "compensation_raw", "last_refresh_status",
         F.coalesce("fit_score", F.lit(-1.0)).alias("fit_score"),
@@ -515,7 +519,7 @@ def _(spark, sf):
 
 def scored_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = ranking.active_endpoints(d.endpoints(spark, sf_dir), d.companies(spark, sf_dir))
-    owned = active.withColumn("profile_id", (F.col("endpoint_id") % 2).cast("int"))
+    owned = active.withColumn("profile_id", (F.col("endpoint_id") % 5).cast("int"))
     return ranking.score_endpoints(owned.join(ranking.endpoint_profiles(d.profiles(spark, sf_dir)), "profile_id"))
 
 
@@ -608,13 +612,13 @@ def _(spark, sf):
 @query("U3_registry_delta")
 def _(spark, sf):
     endpoints = d.endpoints(spark, sf)
-    missing, _ = ranking.registry_delta(contract(spark, sf).withColumnRenamed("careers_url", "endpoint_url"), endpoints.filter("active = 1"), ["endpoint_url"])
+    missing, _ = ranking.registry_delta(contract(spark, sf).withColumnRenamed("careers_url", "endpoint_url"), endpoints.filter("endpoint_id % 7 = 0"), ["endpoint_url"])
     return missing.select("pos", "endpoint_url")
 
 
 @query("U3_registry_delta_count")
 def _(spark, sf):
-    return ranking.registry_delta(contract(spark, sf).withColumnRenamed("careers_url", "endpoint_url"), d.endpoints(spark, sf).filter("active = 1"), ["endpoint_url"])[1]
+    return ranking.registry_delta(contract(spark, sf).withColumnRenamed("careers_url", "endpoint_url"), d.endpoints(spark, sf).filter("endpoint_id % 7 = 0"), ["endpoint_url"])[1]
 
 
 # --- registry ranking and review -------------------------------------------------------
