@@ -207,8 +207,6 @@ TITLE = f"""best AS (SELECT posting_id, score, t FROM (SELECT posting_id, i, t,
     WHEN 32 THEN 'good token overlap with' ELSE 'light token overlap with' END, ' ''', t, '''') END AS tr
   FROM verdict v LEFT JOIN best USING (posting_id))"""
 add("J6_match_titles", f"WITH {LOC}, {TITLE} SELECT posting_id, profile_id, ts AS title_score, tr AS title_score_reason FROM titled")
-add("J7_expand_terms", f"""WITH {PREPARED} SELECT profile_id, 'title' AS kind, (generate_subscripts(hints, 1) - 1)::INT AS pos, unnest(hints) AS term FROM prepared
-UNION ALL SELECT profile_id, 'location', (generate_subscripts(wishes, 1) - 1)::INT, lower(unnest(wishes)) FROM prepared""")
 
 TECH = "technology|it|digital|platform|infrastructure|enterprise systems|enterprise applications|architecture|engineering|security|data|ai|artificial intelligence|machine learning|cloud|applications|systems|technical"
 OTHER = "sales|marketing|revenue|customer success|finance|financial|legal|hr|human resources|people|talent|operations|clinical|medicare|aca marketplace|commercial|partnerships|growth"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .base import COMPANIES, ENDPOINTS, ENRICHED, POSTINGS, PROFILES, SOURCE_TYPE, add, canonical
+from rolesift.plans import derived
+
+from .base import COMPANIES, ENDPOINTS, ENRICHED, POSTINGS, add, canonical, sql
 
 RANK = "CASE {} WHEN 'ATS Confirmed' THEN 3 WHEN 'Career Site Confirmed' THEN 2 WHEN 'Web Discovered' THEN 1 WHEN 'Third-Party Listing' THEN 1 ELSE 0 END"
 TYPE_RANK = "CASE {} WHEN 'ATS' THEN 3 WHEN 'Company Careers' THEN 2 WHEN 'Web Discovery' THEN 1 WHEN 'Third-Party Listing' THEN 1 ELSE 0 END"
@@ -62,7 +64,8 @@ add("M4_apply_refresh", f"""WITH {SNAP} SELECT posting_id, CASE WHEN posting_id
  CASE WHEN posting_id % 8 = 0 THEN '$300,000 - $310,000' ELSE compensation_raw END AS compensation_raw, CASE WHEN posting_id % 8 = 0 THEN 'refreshed' ELSE 'discovered' END AS last_refresh_status,
  CASE WHEN posting_id % 8 = 0 THEN (posting_id % 100)::DOUBLE ELSE coalesce(fit_score, -1.0) END AS fit_score, CASE WHEN posting_id % 16 = 0 THEN '1999-01-01' ELSE '' END AS scored_on,
  CASE WHEN posting_id % 8 = 0 THEN '1999-01-01' ELSE strftime(first_seen_at, '%Y-%m-%d') END AS updated_on FROM snap""")
-KV = f"""{PROFILES}, kv AS (SELECT profile_id, 'target_titles' AS key, target_titles AS value FROM profiles UNION ALL SELECT profile_id, 'preferred_locations', preferred_locations FROM profiles
+MANY = "profiles AS (" + sql(derived.MANY_PROFILES) + ")"
+KV = f"""{MANY}, kv AS (SELECT profile_id, 'target_titles' AS key, target_titles AS value FROM profiles UNION ALL SELECT profile_id, 'preferred_locations', preferred_locations FROM profiles
  UNION ALL SELECT profile_id, 'include_keywords', include_keywords FROM profiles UNION ALL SELECT profile_id, 'remote_only', remote_only FROM profiles
  UNION ALL SELECT profile_id, 'include_remote', include_remote FROM profiles UNION ALL SELECT profile_id, 'require_mark_as_applied', 'x' FROM profiles
  UNION ALL SELECT profile_id, 'default_minimum_fit_score', ' nan ' FROM profiles)"""
@@ -70,7 +73,7 @@ add("M6_upsert_settings", f"""WITH {KV} SELECT profile_id, key, CASE WHEN profil
 UNION ALL SELECT profile_id, 'default_minimum_fit_score', ' nan ' FROM profiles WHERE profile_id % 2 = 0
 UNION ALL SELECT profile_id, 'default_min_fit_score', 'new  nan' FROM profiles WHERE profile_id % 2 = 0
 UNION ALL SELECT profile_id, 'profile_summary', trim('new ' || remote_only) FROM profiles WHERE profile_id % 2 = 0""")
-add("S5_load_settings", f"""WITH {PROFILES} SELECT profile_id, target_titles, CASE WHEN include_remote IN ('', 'true') THEN 'true' ELSE 'false' END AS include_remote, remote_only,
+add("S5_load_settings", f"""WITH {MANY} SELECT profile_id, target_titles, CASE WHEN include_remote IN ('', 'true') THEN 'true' ELSE 'false' END AS include_remote, remote_only,
  'broad_recall' AS search_strategy, '' AS default_min_fit_score, '10' AS default_jobs_per_page FROM profiles""")
 add("M7_append_artifact", f"""WITH {SNAP}, a AS (SELECT l_orderkey, max(l_orderkey * 10 + l_linenumber) AS i FROM lineitem GROUP BY 1)
 SELECT posting_id, CASE WHEN i IS NULL THEN '' ELSE '/out/' || i || '.txt' END AS artifact_path FROM snap LEFT JOIN a ON l_orderkey = posting_id""")
@@ -104,4 +107,3 @@ SELECT ats_vendor, extraction_method, review_status, count(*) AS n, sum(active):
 add("U3_registry_delta", f"WITH {CONTRACT} SELECT pos, endpoint_url FROM con WHERE endpoint_url NOT IN (SELECT endpoint_url FROM endpoints WHERE endpoint_id % 7 = 0)")
 add("U3_registry_delta_count", f"""WITH {CONTRACT} SELECT count(*) AS export_rows, (SELECT count(*) FROM endpoints WHERE endpoint_id % 7 = 0) AS registry_rows,
  greatest(count(*) - (SELECT count(*) FROM endpoints WHERE endpoint_id % 7 = 0), 0) AS delta FROM con""")
-assert SOURCE_TYPE

@@ -76,7 +76,7 @@ def anchors(html: Column) -> Column:
         F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("text"),
     )
     return F.transform(
-        pairs, lambda a: F.struct(strip(unescape(a["0"])).alias("href"), text_of(a["1"]).alias("text"))
+        pairs, lambda a: F.struct(strip(unescape(a["href"])).alias("href"), text_of(a["text"]).alias("text"))
     )
 
 

@@ -63,10 +63,10 @@ def flatten_drop_counts(reports: DataFrame, column: str = "drop_summary", keys:
     )
 
 
-def run_quality(gated: DataFrame, run: str = "run_id", reason: str = "reason") -> DataFrame:
+def run_quality(gated: DataFrame, pos: str, run: str = "run_id", reason: str = "reason") -> DataFrame:
     """A3: shares and verdicts per run from rows with '' for accepted."""
     r = F.col(reason)
-    per_reason = gated.groupBy(run, reason).agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("p"))
+    per_reason = gated.groupBy(run, reason).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("p"))
     sums = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
     limiting = (r != "") & (r != DUPLICATE)
     # most_common keeps first-seen order on ties, so the earlier reason wins.
@@ -282,25 +282,37 @@ def root_rollup(registry: DataFrame) -> DataFrame:
 # --- reports -----------------------------------------------------------------
 
 
-def case_metrics(reports: DataFrame) -> DataFrame:
-    """Per report, rates and broken, blocked and weak counts."""
+def case_metrics(reports: DataFrame, case_urls: DataFrame, key: str = "report_id") -> DataFrame:
+    """Per report, rates and broken, blocked and weak counts.
+
+    reports carry skip_summary (reason -> count) and drop_summary (source ->
+    reason -> count); their URLs come as rows of (key, url).
+    """
     skip = lambda k: F.coalesce(F.try_element_at("skip_summary", F.lit(k)), F.lit(0))
     blocked = F.aggregate(
-        F.transform(F.map_values("drop_summary"), lambda b: F.coalesce(F.try_element_at(b, F.lit("blocked_domain")), F.lit(0))),
+        F.map_values("drop_summary"),
         F.lit(0).cast("long"),
-        lambda a, b: a + b,
+        lambda a, b: a + F.coalesce(F.try_element_at(b, F.lit("blocked_domain")), F.lit(0)),
     )
-    hosts = F.array_distinct(F.filter(F.transform("urls", urls.host), lambda h: h != ""))
-    return reports.withColumns(
-        {
-            "acceptance_pct": percent(F.col("accepted_jobs"), F.col("seen_urls"), 2),
-            "broken_url_count": skip("stale_ats_posting") + skip("parse_failed"),
-            "blocked_domain_drop_count": blocked,
-            "weak_title_match_count": skip("weak_url_title_match"),
-            "duplicate_count": skip("duplicate_in_batch"),
-            "domain_count": F.size(hosts),
-            "url_count": F.size("urls"),
-        }
+    hosts = (
+        case_urls.select(key, urls.host(F.col("url")).alias("_host"))
+        .groupBy(key, "_host")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(key)
+        .agg(F.sum("_n").alias("url_count"), F.count_if(F.col("_host") != "").alias("domain_count"))
+    )
+    return (
+        reports.withColumns(
+            {
+                "acceptance_pct": percent(F.col("accepted_jobs"), F.col("seen_urls")),
+                "broken_url_count": skip("stale_ats_posting") + skip("parse_failed"),
+                "blocked_domain_drop_count": blocked,
+                "weak_title_match_count": skip("weak_url_title_match"),
+                "duplicate_count": skip("duplicate_in_batch"),
+            }
+        )
+        .join(hosts, key, "left")
+        .fillna(0, ["url_count", "domain_count"])
     )
 
 

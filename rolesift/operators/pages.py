@@ -16,6 +16,7 @@ EXPIRED_PHRASES = [
     "the page you are looking for doesn't exist",
     "the page you are looking for does not exist",
     "this job is no longer available",
+    "job no longer available",
     "job posting no longer available",
     "this position has been filled",
     "this requisition has been filled",
@@ -392,9 +393,9 @@ def parse_delimited_feed(feed_pages: DataFrame) -> DataFrame:
     )
     named = rows.withColumns(
         {
-            "job_id": F.col("g.0"),
-            "title": clean(markup.unescape(F.col("g.1"))),
-            "location": clean(markup.unescape(F.col("g.2"))),
+            "job_id": F.col("g.id"),
+            "title": clean(markup.unescape(F.col("g.title"))),
+            "location": clean(markup.unescape(F.col("g.place"))),
         }
     ).drop("g")
     title, place = norm_plain(F.col("title")), norm_plain(F.col("location"))

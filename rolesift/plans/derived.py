@@ -81,6 +81,13 @@ SELECT CAST(r_regionkey AS INT) AS profile_id, concat('profile ', r_regionkey) A
 FROM {region}
 """
 
+# As many profiles as customers, with the same five kinds of settings.
+MANY_PROFILES = (
+    PROFILES.replace("CAST(r_regionkey AS INT)", "CAST(c_custkey AS INT)")
+    .replace("r_regionkey", "c_custkey % 5")
+    .replace("{region}", "{customer}")
+)
+
 MODEL_RESULTS = """
 SELECT doc_id AS result_id,
   CASE WHEN doc_id % 19 = 0 THEN substr(text, 1, 200)
@@ -89,8 +96,8 @@ SELECT doc_id AS result_id,
       CASE doc_id % 4 WHEN 0 THEN ', "fit_label": "Weird"' WHEN 1 THEN ', "fit_label": "Good Match"' ELSE '' END,
       CASE doc_id % 5 WHEN 0 THEN ', "recommended_action": "Apply"' ELSE '' END,
       CASE doc_id % 3 WHEN 0 THEN ', "confidence": "High"' WHEN 1 THEN ', "confidence": "sure"' ELSE '' END,
-      ', "top_strengths": ["lang ', lang, '", "", " source ', source, ' "]',
-      ', "risk_flags": ["len ', n_chars % 7, '", "nan"]}}') END AS raw_text
+      ', "match_reasons": ["lang ', lang, '", "", " source ', source, ' "]',
+      ', "gaps_or_risks": ["len ', n_chars % 7, '", "two"]}}') END AS raw_text
 FROM {documents}
 """
 
@@ -128,5 +135,9 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, PROFILES, "region")
 
 
+def many_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, MANY_PROFILES, "customer")
+
+
 def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, MODEL_RESULTS, "documents")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import trust, urls
-from ..operators import dedupe, gates, matching, metrics, ordered, profiles, ranking, store
+from ..functions import pay, titles, trust, urls
+from ..functions.text import split_titles
+from ..operators import dedupe, gates, matching, metrics, ordered, pages, planning, profiles, ranking, results, store
 from ..operators.lineage import cut
 from . import derived as d
 
@@ -171,7 +172,7 @@ def _(spark, sf):
 
 @query("J7_expand_terms")
 def _(spark, sf):
-    return profiles.expand_terms(d.profiles(spark, sf))
+    return profiles.expand_terms(d.many_profiles(spark, sf))
 
 
 @query("C1_qualify")
@@ -265,7 +266,7 @@ def _(spark, sf):
 
 @query("A3_run_quality")
 def _(spark, sf):
-    return metrics.run_quality(gated_observations(spark, sf).withColumn("_pos", F.col("obs_id")))
+    return metrics.run_quality(gated_observations(spark, sf), "obs_id")
 
 
 @query("A5_source_yield")
@@ -477,7 +478,7 @@ def settings_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys]
     retired = F.struct(F.lit("require_mark_as_applied").alias("key"), F.lit("x").alias("value"))
     alias = F.struct(F.lit("default_minimum_fit_score").alias("key"), F.lit(" nan ").alias("value"))
-    return d.profiles(spark, sf_dir).select("profile_id", F.inline(F.array(*pairs, retired, alias)))
+    return d.many_profiles(spark, sf_dir).select("profile_id", F.inline(F.array(*pairs, retired, alias)))
 
 
 @query("S5_load_settings")
@@ -720,3 +721,384 @@ def _(spark, sf):
     )
     out = ranking.applied_list(rows, F.lit("1999-01-01").cast("date"))
     return out.select("posting_id", "applied_date", F.coalesce("days_ago", F.lit(-1)).alias("days_ago"))
+
+
+# --- profiles and planned queries ----------------------------------------------------
+
+
+@query("W11_plan_queries")
+def _(spark, sf):
+    return planning.plan_queries(d.many_profiles(spark, sf))
+
+
+def grouped_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles with title-group JSON: good, broken, or none."""
+    good = F.concat(
+        F.lit('[{"main_title": "VP  of IT", "variants": [{"title": "Head of IT"}, {"title": "vp of it"}, {"title": "CIO", "selected": false},'
+              ' {"title": "head of it"}]}, {"main_title": ""}, {"main_title": "vp of IT"}, {"main_title": "Kind '),
+        (F.col("profile_id") % 7).cast("string"), F.lit('"}]'),
+    )
+    kind = F.col("profile_id") % 3
+    return d.many_profiles(spark, sf_dir).withColumn(
+        "target_title_groups", F.when(kind == 0, good).when(kind == 1, F.lit('[{"main_title": ')).otherwise(F.lit(""))
+    )
+
+
+@query("J15_expand_title_groups")
+def _(spark, sf):
+    return profiles.expand_title_groups(grouped_profiles(spark, sf))
+
+
+@query("J15_effective_titles")
+def _(spark, sf):
+    out = profiles.effective_titles(grouped_profiles(spark, sf))
+    return out.select("profile_id", F.array_join("effective", "; ").alias("effective"), F.array_join("search", "; ").alias("search"))
+
+
+def _suggested(spark, sf, heads):
+    mains = d.many_profiles(spark, sf).select("profile_id", F.explode(split_titles(F.col("target_titles"))).alias("main_title"))
+    named = F.array(*[F.concat(F.lit(h), "main_title") for h in heads])
+    return mains.select("profile_id", "main_title", F.posexplode(named).alias("pos", "title"))
+
+
+@query("J13_merge_variants")
+def _(spark, sf):
+    wanted = _suggested(spark, sf, ["Senior ", "Lead ", "", "senior  ", "Interim ", "Acting "])
+    old = wanted.filter("pos IN (0, 4)").select(
+        "profile_id", "main_title", "title", ((F.col("pos") == 4) | (F.col("profile_id") % 2 == 0)).alias("selected")
+    )
+    return profiles.merge_variants(old, wanted).select("profile_id", "main_title", "title", "selected")
+
+
+@query("C7_close_variants")
+def _(spark, sf):
+    heads = ["Director, ", "Vice Pres ", "", "Senior ", "senior  ", "Head of ", "Acting "]
+    return profiles.close_variants(_suggested(spark, sf, heads)).select("profile_id", "main_title", "title")
+
+
+# --- pages ---------------------------------------------------------------------------
+
+
+@query("X1_extract_links")
+def _(spark, sf):
+    return pages.extract_links(d.table(spark, sf, "pages")).select("page_id", "pos", "href", "url")
+
+
+def board_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages as company boards with posting links on top."""
+    n = F.col("page_id")
+    link = lambda href, text: F.concat(F.lit('<a class="x" href="'), href, F.lit('">'), text, F.lit("</a>"))
+    head = F.concat(
+        link(F.concat(F.lit("/org"), n % 40, F.lit("/"), n), F.lit("VP of <b>IT</b>")),
+        link(F.concat(F.lit("https://boards.greenhouse.io/org/jobs/"), n), F.lit("Data Analyst &amp; more")),
+        link(F.concat(F.lit("https://boards.greenhouse.io/org/jobs/"), n), F.lit("Data Analyst again")),
+        link(F.lit("../about"), F.lit("VP of IT")),
+    )
+    board = F.concat(F.lit("https://jobs.lever.co/org"), n % 40)
+    return d.table(spark, sf_dir, "pages").select(
+        "page_id", (n % 5).cast("int").alias("profile_id"), board.alias("url"), F.concat(head, "html").alias("html")
+    )
+
+
+@query("X1_posting_links")
+def _(spark, sf):
+    rows = matching.with_profile(board_pages(spark, sf), d.profiles(spark, sf))
+    return pages.posting_links(rows)
+
+
+@query("X2_extract_page_fields")
+def _(spark, sf):
+    out = pages.extract_page_fields(d.table(spark, sf, "pages"))
+    return out.select("page_id", "title", F.length("text").alias("text_length"))
+
+
+@query("X3_build_postings")
+def _(spark, sf):
+    return parsed_pages(spark, sf).select(
+        "page_id", "company", "ats_type", "role_family", "compensation_raw", "compensation_status", "status"
+    )
+
+
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages with a title, pay line and place of their own."""
+    n = F.col("page_id")
+    head = F.concat(
+        F.lit("<title>Careers</title><h1>VP &amp; Head "), n % 9, F.lit("</h1><div class='job-location'>Location: Plano, TX | x</div><p>Salary Range: $"),
+        (n % 7 + 1) * 50000, F.lit(" - $"), (n % 7 + 2) * 50000, F.lit("</p>"),
+        F.when(n % 10 == 0, F.lit("<p>This job is no longer available.</p><p>Search for jobs</p>")).otherwise(F.lit("")),
+    )
+    where = F.when(n % 3 == 0, F.concat(F.lit("https://jobs.lever.co/acme-labs-"), n % 40, F.lit("/x"))).when(
+        n % 3 == 1, F.concat(F.lit("https://brightsystems.wd5.myworkdayjobs.com/en-US/External/job/Dallas-TX/VP_R"), n)
+    ).otherwise(F.col("url"))
+    rows = d.table(spark, sf_dir, "pages").select("page_id", where.alias("url"), F.concat(head, "html").alias("html"))
+    return pages.build_postings(rows)
+
+
+@query("C6_rough_fit")
+def _(spark, sf):
+    rows = d.postings(spark, sf).select(
+        "posting_id", "title", "location", "job_posting_url", "ats_type", titles.role_family(F.col("title")).alias("role_family"),
+        F.concat_ws(" ", "title", "location", "company", "compensation_raw").alias("text"),
+    )
+    return pages.rough_fit(rows).select("posting_id", "fit_score", "fit_tier", "match_rationale")
+
+
+@query("F14_expired_pages")
+def _(spark, sf):
+    n = F.col("page_id")
+    tail = F.when(n % 3 == 0, F.lit("<p>The page you are looking for doesn&#39;t exist.</p>")).otherwise(F.lit(""))
+    more = F.when(n % 6 == 0, F.lit("<a href='/'>Search for <b>Jobs</b></a>")).otherwise(F.lit(""))
+    rows = d.table(spark, sf, "pages").select(
+        "page_id", "url", F.concat("html", tail, more).alias("html"), F.when(n % 11 == 0, 404).otherwise(200).alias("status")
+    )
+    rows = rows.withColumn("url", F.when(n % 2 == 0, F.lit("https://jobs.lever.co/a/b")).otherwise(F.col("url")))
+    return pages.expired_pages(rows).select("page_id", "expired", "expired_reason")
+
+
+@query("J12_resolve_gateways")
+def _(spark, sf):
+    n = F.col("page_id")
+    link = F.concat(F.lit('<a href="https://jobs.lever.co/org'), n % 40, F.lit("/"), n, F.lit('/apply/">x</a>'))
+    crawled = d.table(spark, sf, "pages").select(
+        "page_id",
+        F.concat(F.lit("https://www.linkedin.com/jobs/view/"), F.lit(100000) + n, F.lit("/")).alias("url"),
+        F.when(n % 3 > 0, F.concat("html", link)).otherwise(F.col("html")).alias("html"),
+    )
+    out = pages.resolve_gateways(d.url_observations(spark, sf), crawled)
+    return out.select("obs_id", "resolved_url", "resolve_reason")
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON feed pages of twenty postings each, one profile per endpoint."""
+    page = F.floor(F.col("posting_id") / 20).cast("long")
+    entry = F.struct(
+        F.col("title"), F.col("location").alias("locationsText"), F.concat(F.lit("/job/"), F.col("posting_id") % 10).alias("externalPath"),
+        F.col("posting_id").alias("n"),
+    )
+    body = d.postings(spark, sf_dir).groupBy(page.alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("posting_id", entry.alias("e")))).alias("s"))
+    rows = body.select(
+        (F.col("page_no") % 50).alias("endpoint_id"), (F.col("page_no") % 50 % 5).cast("int").alias("profile_id"),
+        F.concat(F.lit("https://org"), F.col("page_no") % 50, F.lit(".wd1.myworkdayjobs.com/External/login")).alias("endpoint_url"),
+        (F.col("page_no") % 2 + 1).alias("pass_no"), "page_no",
+        F.to_json(F.struct(F.lit(20).alias("total"), F.transform("s", lambda x: x["e"]).alias("jobPostings"))).alias("body"),
+    )
+    return matching.with_profile(rows, d.profiles(spark, sf_dir))
+
+
+@query("X4_flatten_feed")
+def _(spark, sf):
+    out = pages.flatten_feed(pages.feed_rows(feed(spark, sf)))
+    return out.select("endpoint_id", "pass_no", "page_no", "pos", "detail_url")
+
+
+@query("A18_seed_scan_summary")
+def _(spark, sf):
+    rows = pages.feed_rows(feed(spark, sf)).select("endpoint_id", "title_ok", "place_ok")
+    selection = ranking.select_endpoints(scored_endpoints(spark, sf)).select("profile_id", "endpoint_id", F.col("seedable").alias("supported"))
+    return metrics.seed_scan_summary(selection, rows).select(
+        "profile_id", "endpoint_id", "supported", "found", "kept", "title_skipped", "place_skipped"
+    )
+
+
+@query("A18_seed_run_totals")
+def _(spark, sf):
+    rows = pages.feed_rows(feed(spark, sf)).select("endpoint_id", "title_ok", "place_ok")
+    selection = ranking.select_endpoints(scored_endpoints(spark, sf)).select("profile_id", "endpoint_id", F.col("seedable").alias("supported"))
+    return metrics.seed_run_totals(metrics.seed_scan_summary(selection, rows))
+
+
+@query("X5_parse_delimited_feed")
+def _(spark, sf):
+    n, sep = (F.col("posting_id") + 10000).cast("string"), "!|!"
+    title = F.when(F.col("title") == "", F.lit("None given")).otherwise(F.replace("title", F.lit("&"), F.lit("&amp;")))
+    place = F.when(F.col("location") == "", F.lit("-")).otherwise(F.col("location"))
+    group = F.concat_ws(sep, n, title, n, title, n, n, n, n, n, place, F.lit("false"), F.lit(""), F.lit(""), F.lit(""), F.lit(""),
+                        F.lit("a"), F.lit("b"), F.lit("1"), F.lit("Apply"), F.lit(""))
+    page = F.floor(F.col("posting_id") / 20).cast("long")
+    body = d.postings(spark, sf).groupBy(page.alias("endpoint_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("posting_id", group.alias("g")))), lambda x: x["g"]), "~").alias("body")
+    )
+    rows = body.withColumns(
+        {
+            "profile_id": (F.col("endpoint_id") % 5).cast("int"),
+            "endpoint_url": F.lit("https://a.taleo.net/careersection/2/jobsearch.ftl?lang=en"),
+        }
+    )
+    out = pages.parse_delimited_feed(matching.with_profile(rows, d.profiles(spark, sf)))
+    return out.select("endpoint_id", "job_id", "title", "location", "detail_url")
+
+
+@query("X6_refresh_diff")
+def _(spark, sf):
+    return _diff(spark, sf).select("posting_id", F.array_join("notes", "; ").alias("notes"), "changed")
+
+
+@query("X6_refresh_counts")
+def _(spark, sf):
+    return pages.refresh_counts(_diff(spark, sf))
+
+
+def _diff(spark, sf):
+    old = d.postings(spark, sf).withColumn("compensation_status", pay.status_of_raw(F.col("compensation_raw")))
+    n = F.col("posting_id")
+    new = old.withColumns(
+        {
+            "title": F.when(n % 3 == 0, F.lit("")).when(n % 5 == 0, F.upper("title")).otherwise(F.col("title")),
+            "compensation_raw": F.when(n % 4 == 0, F.lit("$1 - $2")).otherwise(F.col("compensation_raw")),
+        }
+    )
+    return pages.refresh_diff(old, new, ["company", "title", "location", "compensation_raw", "compensation_status"])
+
+
+# --- model results and reports ----------------------------------------------------------
+
+
+def scored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers for postings, with their profile's levels."""
+    rows = d.model_results(spark, sf_dir).withColumn("posting_id", F.col("result_id"))
+    named = rows.join(d.postings(spark, sf_dir).select("posting_id", "title"), "posting_id")
+    return results.normalise_scores(matching.with_profile(named.withColumn("profile_id", (F.col("posting_id") % 5).cast("int")), d.profiles(spark, sf_dir)))
+
+
+@query("C4_normalise_scores")
+def _(spark, sf):
+    return scored_results(spark, sf).select(
+        "posting_id", "status", "fit_score", "fit_label", "recommended_action", "confidence", "match_rationale", "risk_flags", "application_angle"
+    )
+
+
+@query("C5_apply_corrections")
+def _(spark, sf):
+    rows = enriched(spark, sf).withColumns(
+        {
+            "description_text": F.when(F.col("posting_id") % 7 == 0, F.lit("")).otherwise(F.lit("days per week")),
+            "normalized_title": F.lower("title"), "remote_type": F.lit("Other"), "dallas_dfw_match": F.lit("No"),
+            "risk_flags": F.lit("one; two"), "ai_priority": F.when(F.col("posting_id") % 2 == 0, "Apply").otherwise("Hold"),
+        }
+    )
+    n = F.col("posting_id")
+    fixes = rows.select(
+        "posting_id", F.when(n % 3 == 0, "clean").when(n % 3 == 1, "Reject").otherwise("odd").alias("scrub_status"),
+        F.array(F.lit("two"), F.lit(" three ")).alias("scrub_flags"), F.when(n % 4 == 0, F.lit("Fixed Title")).otherwise(F.lit("")).alias("corrected_title"),
+        F.lit("").alias("corrected_company"), F.when(n % 6 == 0, F.lit("Plano, TX")).otherwise(F.lit("")).alias("corrected_location"),
+        F.lit("").alias("corrected_compensation_raw"), F.when(n % 5 == 0, "low").otherwise("HIGH").alias("correction_confidence"),
+        F.array().cast("array<string>").alias("correction_notes"),
+    )
+    return results.apply_corrections(rows, fixes).select(
+        "posting_id", "title", "location", "duplicate_key", "normalized_title", "remote_type", "dallas_dfw_match", "risk_flags", "ai_priority"
+    )
+
+
+@query("J14_score_profiles_by_posting")
+def _(spark, sf):
+    rows = matching.fan_out(d.postings(spark, sf).filter("title <> ''"), range(5))
+    scored = matching.qualify(matching.with_profile(rows, d.profiles(spark, sf)))
+    return scored.select("posting_id", "profile_id", "score", "accepted")
+
+
+@query("A12_profile_scoreboard")
+def _(spark, sf):
+    return metrics.profile_scoreboard(scored_results(spark, sf).withColumn("profile_id", (F.col("posting_id") % 5).cast("int")))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = d.table(spark, sf_dir, "labels")
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    cases = labels.select(
+        F.col("doc_id").alias("case_id"), F.when(good & toxic, "maybe").when(good, "yes").otherwise("no").alias("expected_label")
+    )
+    said = F.when(F.col("doc_id") % 3 == 0, "no").when(F.col("doc_id") % 3 == 1, "maybe").otherwise("yes")
+    other = F.when(F.col("doc_id") % 13 == 0, F.lit("skipped")).when(F.col("doc_id") % 2 == 0, "yes").otherwise("no")
+    votes = labels.select(
+        F.col("doc_id").alias("case_id"),
+        F.inline(F.array(F.struct(F.lit("qualifier").alias("scorer"), said.alias("predicted_label")), F.struct(F.lit("model").alias("scorer"), other.alias("predicted_label")))),
+    )
+    return metrics.calibration_rows(cases, votes)
+
+
+@query("A13_calibration_report")
+def _(spark, sf):
+    return metrics.calibration_report(calibration(spark, sf))
+
+
+@query("A13_calibration_cross")
+def _(spark, sf):
+    return metrics.calibration_cross(calibration(spark, sf))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Reports per profile, provider and mode, and their URLs as rows."""
+    seen = gates.classify_source_url(gates.url_quality_gate(d.url_observations(spark, sf_dir)))
+    skip = (
+        F.when(F.col("gate_reason") == "greenhouse_detail", F.lit("stale_ats_posting"))
+        .when(F.col("gate_reason") == "workday_detail", F.lit("parse_failed"))
+        .when(F.col("gate_reason") == "blocked_generic_host", F.lit("weak_url_title_match"))
+        .when(~F.col("is_posting_url"), F.lit("non_job_url"))
+    )
+    mode = F.when(F.col("obs_id") % 2 == 0, F.lit("legacy")).otherwise(F.lit("next_gen"))
+    rows = seen.select(
+        F.concat_ws("-", "profile_id", "provider", mode).alias("report_id"), F.concat(F.lit("g"), "profile_id").alias("group"),
+        F.col("provider").alias("variant"), mode.alias("mode"), skip.alias("skip"), "keep", "class_reason", "raw_url", "obs_id",
+    )
+    rows = cut(rows)
+    id_columns = ["report_id", "group", "variant", "mode"]
+    base = rows.groupBy(*id_columns).agg(F.count(F.lit(1)).alias("seen_urls"), F.count_if(F.col("skip").isNull()).alias("accepted_jobs"), F.max("obs_id").alias("created"))
+    counts = lambda df, column: df.groupBy("report_id", column).agg(F.count(F.lit(1)).alias("n"))
+    as_map = lambda df, column, name: df.groupBy("report_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(column, "n"))).alias(name)
+    )
+    skips = as_map(counts(rows.filter("skip IS NOT NULL"), "skip"), "skip", "skip_summary")
+    drops = as_map(counts(rows.filter("NOT keep"), "class_reason"), "class_reason", "dropped")
+    full = base.join(skips, "report_id", "left").join(drops, "report_id", "left")
+    full = full.withColumn("drop_summary", F.create_map(F.col("variant"), "dropped")).drop("dropped")
+    return full, rows.filter("raw_url <> ''").select("report_id", "group", "variant", "mode", F.lower("raw_url").alias("url"))
+
+
+def cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    full, links = reports(spark, sf_dir)
+    return cut(metrics.case_metrics(full, links)), links
+
+
+@query("A2_flatten_drop_counts")
+def _(spark, sf):
+    return metrics.flatten_drop_counts(reports(spark, sf)[0])
+
+
+@query("A14_case_metrics")
+def _(spark, sf):
+    return cases(spark, sf)[0].select(
+        "report_id", "seen_urls", "accepted_jobs", "acceptance_pct", "broken_url_count", "blocked_domain_drop_count",
+        "weak_title_match_count", "duplicate_count", "url_count", "domain_count",
+    )
+
+
+@query("A10_variant_overlap")
+def _(spark, sf):
+    rows, links = cases(spark, sf)
+    return metrics.variant_overlap(rows.filter("mode = 'legacy'"), links.filter("mode = 'legacy'"))
+
+
+@query("A11_benchmark_overall")
+def _(spark, sf):
+    rows, links = cases(spark, sf)
+    return metrics.benchmark_overall(rows, metrics.variant_overlap(rows.filter("mode = 'legacy'"), links.filter("mode = 'legacy'")))
+
+
+@query("J9_compare_reports")
+def _(spark, sf):
+    rows = cases(spark, sf)[0]
+    key = ["group", "variant"]
+    old = rows.filter("mode = 'legacy' AND variant <> 'search'")
+    return ranking.compare_reports(old, rows.filter("mode = 'next_gen'"), key, ["url_count", "accepted_jobs", "broken_url_count"])
+
+
+@query("J10_pair_modes")
+def _(spark, sf):
+    rows = cases(spark, sf)[0].withColumn("title", F.concat_ws("/", "group", "variant"))
+    return ranking.pair_modes(rows, ["legacy", "next_gen"], ["url_count", "accepted_jobs"], "created")
+
+
+@query("U2_url_set_algebra")
+def _(spark, sf):
+    links = reports(spark, sf)[1]
+    return ranking.url_set_algebra(links.filter("mode = 'legacy'"), links.filter("mode = 'next_gen'"))
