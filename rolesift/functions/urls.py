@@ -204,9 +204,10 @@ def redirect_target(url: Column) -> Column:
 
 
 def _redirect_in(pairs: Column) -> Column:
-    found = [
-        _decode(F.get(F.filter(pairs, lambda kv, k=key: kv["key"] == k), F.lit(0))["value"]) for key in REDIRECT_KEYS
-    ]
+    def first_of(key: str) -> Column:
+        return _decode(F.get(F.filter(pairs, lambda kv: kv["key"] == key), F.lit(0))["value"])
+
+    found = [first_of(key) for key in REDIRECT_KEYS]
     http = [F.when(f.rlike("^https?://"), f) for f in found]
     return F.coalesce(*http, F.lit(""))
 

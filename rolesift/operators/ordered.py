@@ -31,8 +31,10 @@ def mark_first(df: DataFrame, keys: Sequence[str], pos: str, flag: str, among: C
     The first positions come from a partially aggregated min; they are joined
     back on `pos`, which is unique, so no key gathers in one task.
     """
-    scope = df if among is None else df.filter(among)
-    firsts = scope.groupBy(*keys).agg(F.min(pos).alias(pos)).select(pos, F.lit(True).alias(flag))
+    # A condition inside the min, not a filter before it: a filter on computed
+    # columns would be pushed down with all their expressions written out.
+    candidate = F.col(pos) if among is None else F.when(among, F.col(pos))
+    firsts = df.groupBy(*keys).agg(F.min(candidate).alias(pos)).select(pos, F.lit(True).alias(flag))
     return df.join(firsts, pos, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 

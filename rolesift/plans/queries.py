@@ -46,6 +46,8 @@ def gated_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = matching.title_prefilter(
         gates.url_quality_gate(matching.with_profile(seen, d.profiles(spark, sf_dir)), "url")
     )
+    # Narrow, then computed once: the first-of-run join reads it twice.
+    checked = cut(checked.select("obs_id", "run_id", "profile_id", "provider", "url", "is_posting_url", "title_pass"))
     ready = F.col("is_posting_url") & F.col("title_pass")
     marked = ordered.mark_first(checked, ["run_id", "url"], "obs_id", "first_in_run", among=ready)
     return gates.gate_cascade(

@@ -48,14 +48,14 @@ def read_endpoint_contract(spark: SparkSession, path: str, version: str = CONTRA
     """
     raw = spark.read.schema(CONTRACT_SCHEMA).option("multiLine", True).json(path)
     given = clean(F.col("schema_version"), False)
-    checked = raw.withColumn(
-        "_v",
+    # The check sits inside the exploded value: no filter can come before it.
+    checked = (
         F.when(given == "", F.raise_error(F.lit("Import file is missing schema_version.")))
         .when(given != version, F.raise_error(F.concat(F.lit("Unsupported schema_version "), given)))
         .when(F.col("records").isNull(), F.raise_error(F.lit("Import file must contain a records list.")))
-        .otherwise(given),
+        .otherwise(F.col("records"))
     )
-    rows = checked.filter(F.col("_v") != "").select("_v", F.posexplode("records").alias("pos", "r"))
+    rows = raw.select(F.posexplode(checked).alias("pos", "r"))
     return rows.select(F.col("pos").cast("long").alias("pos"), *[F.col(f"r.{f}").alias(f) for f in CONTRACT_FIELDS])
 
 

@@ -98,7 +98,7 @@ def test_redirects_and_relative_links(evaluate):
 
 def test_url_title_hints(evaluate):
     cases = {
-        "https://jobs.ashbyhq.com/acme/vice-president-of-it/application": "vice president of it",
+        "https://jobs.ashbyhq.com/acme/vice-president-of-it": "vice president of it",
         "https://acme.wd1.myworkdayjobs.com/en-US/External/job/Dallas-TX/Director-of-IT_R12": "director of it_r12",
         "https://jobs.lever.co/acme/0f2c1ab4-1234-4abc-9def-1234567890ab": "",
         "https://example.com/jobs/123": "",
