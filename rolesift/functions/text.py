@@ -44,7 +44,8 @@ def clean(c: Column, nan_is_blank: bool = True) -> Column:
     text = strip(F.coalesce(c.cast("string"), F.lit("")))
     if not nan_is_blank:
         return text
-    return F.when(F.lower(text) == "nan", F.lit("")).otherwise(text)
+    # A pattern names its input once; a CASE would compute it twice.
+    return F.regexp_replace(text, "(?i)^nan$", "")
 
 
 def or_default(c: Column, default: Column | str) -> Column:

@@ -8,21 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trust, urls
-from ..functions.text import clean, norm_plain
+from ..functions.text import clean, let, norm_plain
 from .ordered import BLOCK_ROWS, running, top_n
 
 
 def batch_key() -> Column:
     """Normal duplicate key, else lower URL, else company/title/location."""
-    dup, url = norm_plain(F.col("duplicate_key")), clean(F.col("job_posting_url"))
     named = F.concat_ws(
         "|", *[F.nullif(norm_plain(F.col(c)), F.lit("")) for c in ("company", "title", "location")]
     )
-    return (
-        F.when(dup != "", F.concat(F.lit("dup:"), dup))
-        .when(url != "", F.concat(F.lit("url:"), F.lower(url)))
-        .when(named != "", F.concat(F.lit("fallback:"), named))
-        .otherwise(F.lit(""))
+    parts = F.struct(
+        norm_plain(F.col("duplicate_key")).alias("dup"), F.lower(clean(F.col("job_posting_url"))).alias("url"), named.alias("named")
+    )
+    return let(
+        parts,
+        lambda p: F.when(p["dup"] != "", F.concat(F.lit("dup:"), p["dup"]))
+        .when(p["url"] != "", F.concat(F.lit("url:"), p["url"]))
+        .when(p["named"] != "", F.concat(F.lit("fallback:"), p["named"]))
+        .otherwise(F.lit("")),
     )
 
 
