@@ -171,3 +171,8 @@ add("J10_pair_modes", f"""WITH {REP} SELECT grp || '/' || provider AS title, max
  max(url_count) FILTER (mode = 'next_gen') AS next_gen_url_count, max(accepted_jobs) FILTER (mode = 'next_gen') AS next_gen_accepted_jobs FROM ca GROUP BY 1""")
 add("U2_url_set_algebra", f"""WITH {REP} SELECT lower(raw_url) AS url, CASE WHEN count(DISTINCT mode) = 2 THEN 'shared' WHEN min(mode) = 'legacy' THEN 'first_only' ELSE 'second_only' END AS side FROM rp WHERE raw_url <> '' GROUP BY 1""")
 assert GATED and LOC and norm and MANY
+
+add("S1_S7_url_list_round_trip", "SELECT url FROM pages WHERE url <> ''")
+add("S6_append_run_ledger", f"""WITH {OBS} SELECT run_id, count(*) AS total_seen, count(*) AS items, (count(*) FILTER (provider = 'search'))::VARCHAR AS search, 'legacy' AS mode FROM obs GROUP BY 1""")
+add("S8_write_report", f"""WITH {GATED}, r AS (SELECT run_id, reason, count(*) AS n, min(obs_id) AS p FROM gated WHERE reason NOT IN ('', 'duplicate_in_batch') GROUP BY 1, 2)
+SELECT run_id, count(*) AS seen, count(*) FILTER (reason = '') AS accepted, (SELECT reason FROM r WHERE r.run_id = g.run_id ORDER BY n DESC, p LIMIT 1) AS dominant_reason FROM gated g GROUP BY 1""")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +19,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rolesift-"))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh path in the same shared folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.mkdtemp(prefix='rolesift-')}/{uuid.uuid4().hex}"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import pay, titles, trust, urls
 from ..functions.text import split_titles
 from ..operators import dedupe, gates, matching, metrics, ordered, pages, planning, profiles, ranking, results, store
-from ..operators.lineage import cut
+from ..operators.lineage import cut, scratch
+from ..sources import files
 from . import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1104,3 +1105,36 @@ def _(spark, sf):
 def _(spark, sf):
     links = reports(spark, sf)[1]
     return ranking.url_set_algebra(links.filter("mode = 'legacy'"), links.filter("mode = 'next_gen'"))
+
+
+# --- files ---------------------------------------------------------------------------
+
+
+@query("S1_S7_url_list_round_trip")
+def _(spark, sf):
+    path = scratch(spark)
+    files.write_ranked_list(d.table(spark, sf, "pages"), "url", [F.asc("page_id")], path)
+    return files.read_url_list(spark, path).select("url")
+
+
+@query("S6_append_run_ledger")
+def _(spark, sf):
+    seen, root = d.url_observations(spark, sf), scratch(spark)
+    summary = seen.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("total_seen"), F.count_if(F.col("provider") == "search").cast("string").alias("search")
+    )
+    files.append_run_ledger(summary, seen.select("run_id", "obs_id", "raw_url"), root, ["search"])
+    runs = spark.read.parquet(f"{root}/runs")
+    extra = summary.select("run_id", F.lit("mode").alias("key"), F.lit("legacy").alias("value"))
+    merged = files.merge_run_details(runs, extra)
+    items = spark.read.parquet(f"{root}/run_items").groupBy("run_id").agg(F.count(F.lit(1)).alias("items"))
+    field = lambda k: F.get_json_object("details_json", f"$.{k}").alias(k)
+    return merged.join(items, "run_id").select("run_id", "total_seen", "items", field("search"), field("mode"))
+
+
+@query("S8_write_report")
+def _(spark, sf):
+    path = scratch(spark)
+    report = metrics.run_quality(gated_observations(spark, sf), "obs_id")
+    files.write_report(report, ["run_id", "seen", "accepted", "dominant_reason"], path, "csv")
+    return spark.read.schema("run_id int, seen long, accepted long, dominant_reason string").option("header", True).csv(path)
