@@ -5,18 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import leaks, near, packing, quality, secrets, toxicity
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document; learned without the held-out quarter."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.train(docs, labels.where(~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages")
+    )
+
+
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair with a leaked passage."""
+    return leaks.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and robust outlier verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under two-word shingles at 80 in a hundred."""
+    return near.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2, percent=80)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 tokens."""
+    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_benchmark_leaks": op2_benchmark_leaks,
     "op4_quality_rules": op4_quality_rules,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 #: The same results as SQL; what SQL cannot express is tested by brute force in tests/llm.
