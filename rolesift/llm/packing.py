@@ -22,8 +22,10 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,11 @@ CAPACITY = 2048
 #: Groups of the large lengths, and the part of the capacity from which a length is large.
 GROUPS, LARGE = 24, 0.125
 #: Words whose ids a worker keeps; when full it starts anew.
-CACHE = 300_000
+CACHE = 600_000
+#: A comma or full stop that ends a word of letters is a token of its own.
+END = re.compile(rb"(?<=[a-z])([,.])(?![^\x20\x09-\x0D])")
+#: Lower-case Latin letters alone: one piece for the merges, needing no normalizer or splitter.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 def default_vocabulary() -> str:
@@ -58,21 +64,37 @@ def _cache(path: str) -> dict[bytes, bytes]:
     return {}
 
 
-def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
+def _byte_letters() -> dict[int, str]:
+    """The printable letters that byte-level vocabularies write for bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
+def token_ids(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text.
 
-    The vocabulary's splitter drops white space, so a text's ids are those of
-    its words in a row; each different word is encoded once.
+    The vocabulary lower-cases and its splitter drops white space, so a text's
+    ids are those of its words in a row; each different word is encoded once.
     """
     tok, cache = _tokenizer(path), _cache(path)
     for data in texts:
-        words = data.split()
+        # Special strings are found before lower-casing.
+        words = data.split() if b"<|" in data else END.sub(rb" \1", data.lower()).split()
         if len(cache) > CACHE:
             cache.clear()
-        new = list({w for w in words if w not in cache})
-        if new:
-            for w, e in zip(new, tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+        other = []
+        for w in {w for w in words if w not in cache}:
+            if PLAIN.fullmatch(w):
+                cache[w] = array("I", [t.id for t in tok.model.tokenize(w.decode("latin-1").translate(LETTERS))]).tobytes()
+            else:
+                other.append(w)
+        if other:
+            for w, e in zip(other, tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+                cache[w] = array("I", e.ids).tobytes()
         yield b"".join([cache[w] for w in words])
 
 
