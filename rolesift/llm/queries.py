@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, near, packing, quality, secrets, toxicity
+from . import extract, leaks, near, packing, preference, quality, repeats, secrets, toxicity, urls
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rules and robust outlier verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
@@ -36,6 +41,22 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=2, percent=80)
 
 
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of every conversation and its resampled rival."""
+    return preference.pairs(*preference.resampled(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return extract.extract(pages, extract.train(pages))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -49,11 +70,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_benchmark_leaks": op2_benchmark_leaks,
+    "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_preference_pairs": op6_preference_pairs,
+    "op7_repeated_passages": op7_repeated_passages,
+    "op8_html_extraction": op8_html_extraction,
     "op9_secret_scan": op9_secret_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 #: The same results as SQL; what SQL cannot express is tested by brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_preference_pairs": preference.SQL,
+}
