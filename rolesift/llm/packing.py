@@ -39,9 +39,7 @@ CAPACITY = 2048
 #: Groups of the large lengths, and the part of the capacity from which a length is large.
 GROUPS, LARGE = 24, 0.125
 #: Words whose ids a worker keeps; when full it starts anew.
-CACHE = 600_000
-#: A comma or full stop that ends a word of letters is a token of its own.
-END = re.compile(rb"(?<=[a-z])([,.])(?![^\x20\x09-\x0D])")
+KEPT = 600_000
 #: Lower-case Latin letters alone: one piece for the merges, needing no normalizer or splitter.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
@@ -59,11 +57,6 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@functools.lru_cache(2)
-def _cache(path: str) -> dict[bytes, bytes]:
-    return {}
-
-
 def _byte_letters() -> dict[int, str]:
     """The printable letters that byte-level vocabularies write for bytes."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -74,28 +67,52 @@ def _byte_letters() -> dict[int, str]:
 LETTERS = _byte_letters()
 
 
+class Words(dict):
+    """Little-endian 32-bit ids of lower-case words; kept from the second time a word is seen."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tok, self.model = tok, tok.model
+        self.seen = bytearray(1 << 22)
+        self.ends = {b",": self.encoded(b","), b".": self.encoded(b".")}
+
+    def encoded(self, word: bytes) -> bytes:
+        return array("I", self.tok.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        # A comma or full stop after a word of letters is a token of its own.
+        end = self.ends.get(word[-1:])
+        if end is not None and PLAIN.fullmatch(word, 0, len(word) - 1):
+            return self[word[:-1]] + end
+        if PLAIN.fullmatch(word):
+            ids = array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(LETTERS))]).tobytes()
+        else:
+            ids = self.encoded(word)
+        at, bit = (hash(word) & 0x1FFFFFF) >> 3, 1 << (hash(word) & 7)
+        if self.seen[at] & bit:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = ids
+        self.seen[at] |= bit
+        return ids
+
+
+@functools.lru_cache(2)
+def _words(path: str) -> Words:
+    return Words(_tokenizer(path))
+
+
 def token_ids(texts: Iterable[bytes], path: str) -> Iterator[bytes]:
     """Little-endian 32-bit ids of each text.
 
     The vocabulary lower-cases and its splitter drops white space, so a text's
-    ids are those of its words in a row; each different word is encoded once.
+    ids are those of its words in a row; frequent words are encoded once.
     """
-    tok, cache = _tokenizer(path), _cache(path)
+    known = _words(path)
     for data in texts:
         # Special strings are found before lower-casing.
-        words = data.split() if b"<|" in data else END.sub(rb" \1", data.lower()).split()
-        if len(cache) > CACHE:
-            cache.clear()
-        other = []
-        for w in {w for w in words if w not in cache}:
-            if PLAIN.fullmatch(w):
-                cache[w] = array("I", [t.id for t in tok.model.tokenize(w.decode("latin-1").translate(LETTERS))]).tobytes()
-            else:
-                other.append(w)
-        if other:
-            for w, e in zip(other, tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
-                cache[w] = array("I", e.ids).tobytes()
-        yield b"".join([cache[w] for w in words])
+        words = map(known.encoded, data.split()) if b"<|" in data else map(known.__getitem__, data.lower().split())
+        yield b"".join(words)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
