@@ -3,9 +3,9 @@
 Every element of a page gets features: text and link density of its subtree,
 depth, place among its siblings, tag and attribute words, and the same of its
 parent. Boosted trees give the probability that it belongs to the article or
-leads to it. Decoding picks the most likely labelling in which a dropped element
-has no kept descendant, by one pass up and one down the tree; the text of the
-kept elements is the result.
+leads to it, given that its parent does. Decoding picks the most likely labelling
+in which a dropped element has no kept descendant, by one pass up and one down
+the tree; the text of the kept elements is the result.
 
 Training pages are made from a bounded sample of the pages: the part under an
 ``article`` or ``main`` element, or else the densest block, is set into new
@@ -69,13 +69,12 @@ NEVER = {"head", "title", "nav", "footer", "aside", "form", "button", "dialog",
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "kids", "text", "links", "size", "n_kids", "commas", "stops", "paras", "mark", "depth")
+    __slots__ = ("tag", "attrs", "parent", "kids", "text", "links", "size", "n_kids", "paras", "depth")
 
     def __init__(self, tag: str, attrs: str, parent: int, depth: int):
         self.tag, self.attrs, self.parent, self.depth = tag, attrs, parent, depth
         self.kids: list = []  # child numbers and texts in order
-        self.text = self.links = self.size = self.n_kids = self.commas = self.stops = self.paras = 0
-        self.mark = None
+        self.text = self.links = self.size = self.n_kids = self.paras = 0
 
 
 def parse(page: str) -> list[Node]:
@@ -142,17 +141,12 @@ def features(nodes: list[Node]) -> np.ndarray:
         x = nodes[k]
         for kid in x.kids:
             if isinstance(kid, str):
-                s = kid.strip()
-                x.text += len(s)
-                x.commas += s.count(",")
-                x.stops += s.count(".")
+                x.text += len(kid.strip())
             else:
                 y = nodes[kid]
                 x.text += y.text
                 x.links += y.text if y.tag == "a" else y.links
                 x.size += y.size + 1
-                x.commas += y.commas
-                x.stops += y.stops
                 x.paras += y.paras + (y.tag == "p" and y.text > 60)
                 x.n_kids += 1
     total = max(1, nodes[0].text)
@@ -176,8 +170,7 @@ def features(nodes: list[Node]) -> np.ndarray:
                 i += 1
     one = np.array(
         [
-            [np.log1p(x.text), x.text / total, x.links / max(1, x.text), np.log1p(x.size), x.text / (x.size + 1), x.n_kids, x.commas / max(1, x.text) * 100,
-             x.stops / max(1, x.text) * 100, x.paras, x.depth, TAGS.index(x.tag) if x.tag in TAGS else -1, x.tag in NEVER, x.tag in ("article", "main"),
+            [np.log1p(x.text), x.text / total, x.links / max(1, x.text), np.log1p(x.size), x.text / (x.size + 1), x.n_kids, x.paras, x.depth, TAGS.index(x.tag) if x.tag in TAGS else -1, x.tag in NEVER, x.tag in ("article", "main"),
              x.tag in INLINE, x.tag == "p", x.tag in ("header", "h1", "h2", "h3")]
             for x in nodes
         ],
@@ -189,22 +182,19 @@ def features(nodes: list[Node]) -> np.ndarray:
     for k, x in enumerate(nodes):
         own = [x.tag in NEVER, bad[k, :-1].any(), x.tag in ("article", "main") or bad[k, -1] > 0]
         above[k] = own if x.parent < 0 else np.maximum(own, above[x.parent])
-    return np.column_stack([one, bad, place, before, above, one[parent][:, [0, 1, 2, 5, 8, 10]], bad[parent].max(axis=1)])
+    return np.column_stack([one, bad, place, before, above, one[parent][:, [0, 1, 2, 5, 6, 8]], bad[parent].max(axis=1)])
 
 
 def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
-    """The likeliest labels without a kept element under a dropped one."""
+    """The likeliest labels; ``p``: that an element is kept if its parent is. Under a dropped one all is dropped."""
     keep, drop = np.log(p), np.log1p(-p)
-    off = drop.copy()
+    below = np.zeros(len(nodes))  # of the best labels under a kept element
     for k in range(len(nodes) - 1, 0, -1):
-        off[nodes[k].parent] += off[k]
-    on = keep.copy()
-    for k in range(len(nodes) - 1, 0, -1):
-        on[nodes[k].parent] += max(on[k], off[k])
+        below[nodes[k].parent] += max(keep[k] + below[k], drop[k])
     out = np.zeros(len(nodes), bool)
     out[0] = True
     for k in range(1, len(nodes)):
-        out[k] = out[nodes[k].parent] and on[k] > off[k]
+        out[k] = out[nodes[k].parent] and keep[k] + below[k] > drop[k]
     return out
 
 
@@ -323,8 +313,10 @@ def examples(pages: DataFrame, sample_pages: int = 300, versions: int = 3, seed:
                     keep = [k == 0 or "data-keep" in x.attrs for k, x in enumerate(nodes)]
                     for x in nodes:
                         x.attrs = x.attrs.replace("data-keep", "")
-                    rows += features(nodes).tolist()
-                    labels += map(int, keep)
+                    # Only where the parent is kept is there anything to decide.
+                    asked = [k for k, x in enumerate(nodes) if k and keep[x.parent] and x.tag != "head"]
+                    rows += features(nodes)[asked].tolist()
+                    labels += [int(keep[k]) for k in asked]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], names=["features", "label"])
 
     return written(picked.mapInArrow(make, "features array<double>, label int"))
