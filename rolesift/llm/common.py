@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,37 @@ def words(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
+
+
+def bitmap(keys: DataFrame, least_bits: int = 20, most_bits: int = 30):
+    """A broadcast bit for each key: 32 bits a key, 2**most_bits bits at most. Keys that are not there hit one now and then."""
+    bits = min(most_bits, max(least_bits, int(keys.count() * 32).bit_length()))
+    small = min(bits, 19)
+    mask = np.uint64((1 << bits) - 1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & mask
+            yield pa.RecordBatch.from_arrays([signed(at >> np.uint64(small)), signed(at & np.uint64((1 << small) - 1))], names=["part", "bit"])
+
+    def gather(part: pa.Table) -> pa.Table:
+        out = np.zeros(1 << small, np.uint8)
+        out[part.column("bit").to_numpy()] = 1
+        return pa.table({"part": part.column("part")[:1], "data": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    places = keys.mapInArrow(place, "part long, bit long").distinct()
+    rows = places.groupBy("part").applyInArrow(gather, "part long, data binary").collect()
+    full = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        full[r.part << (small - 3) : (r.part + 1) << (small - 3)] = np.frombuffer(r.data, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast((full, int(mask)))
+
+
+def hit(bitmap_, keys: np.ndarray) -> np.ndarray:
+    full, mask = bitmap_.value
+    at = keys & np.uint64(mask)
+    return (full[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

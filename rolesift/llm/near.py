@@ -5,12 +5,13 @@
    hash in each bucket (each bucket has a hash function of its own).
 2. Texts with the same set are one class; its least doc_id stands for it.
 3. Bands of registers are hashed to buckets. In each bucket all members are
-   compared with one pivot, the least id: a star, never all pairs. Registers
-   give a collision-corrected Jaccard estimate; what may reach the threshold is
-   confirmed on the full sets.
+   compared with two pivots, the least id and one that differs from bucket to
+   bucket: stars, never all pairs. Registers give a collision-corrected Jaccard
+   estimate; what may reach the threshold is confirmed on the full sets.
 4. Members of a bucket that the stars have not joined into one component are
-   paired among themselves. Jaccard distance is a metric, so a member joined to
-   the pivot needs no comparison with one over two thresholds away from it.
+   compared among themselves, in bounded blocks; only links leave a block.
+   Jaccard distance is a metric, so a member joined to the pivot needs no
+   comparison with one over two thresholds away from it.
 5. Components of the confirmed links, by alternating large and small stars.
 
 At a similarity of 0.8, forty bands of six registers miss a pair once in 200,000
@@ -33,9 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import written
+from .common import bitmap, hit, signed, written
 
 REGISTERS, ROWS = 240, 6
 BANDS = REGISTERS // ROWS
@@ -103,7 +105,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """rid and bucket, one row for each band."""
+    """rid, bucket and band, one row for each band."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +117,10 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 acc = (acc ^ r[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                 acc ^= acc >> np.uint64(29)
             rid = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(acc.reshape(-1).view(np.int64))], names=["rid", "bucket"])
+            band = np.tile(np.arange(BANDS, dtype=np.int16), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(acc.reshape(-1).view(np.int64)), pa.array(band)], names=["rid", "bucket", "band"])
 
-    return classes.select("rid", "registers").mapInArrow(cut, "rid long, bucket long")
+    return classes.select("rid", "registers").mapInArrow(cut, "rid long, bucket long, band short")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -140,14 +143,36 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(estimate, "a long, b long, est double")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs a, b whose full sets reach the threshold."""
+def _sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """rid and its set, for the documents of ``ids``; the texts are read again, not shuffled."""
+    some = bitmap(ids.mapInArrow(_mixed, "key long"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keep = hit(some, _mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            batch = batch.filter(pa.array(keep))
             out = [shingles(x.as_py(), width).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["rid", "s"])
 
+    texts = docs.where("doc_id is not null").select("doc_id", F.col("text").cast("binary").alias("data"))
+    # One text for each id, should rows be repeated.
+    found = texts.mapInArrow(sets, "rid long, s binary").join(ids, "rid", "left_semi")
+    return written(found.groupBy("rid").agg(F.min("s").alias("s")))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([signed(_mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))], names=["key"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose full sets reach the threshold."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -157,11 +182,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("data")).join(ids, "doc_id", "left_semi")
-    # One text for each id, should rows be repeated.
-    table = written(texts.mapInArrow(sets, "rid long, s binary").groupBy("rid").agg(F.min("s").alias("s")))
-    both = pairs.join(table.withColumnsRenamed({"rid": "a", "s": "x"}), "a").join(table.withColumnsRenamed({"rid": "b", "s": "y"}), "b")
+    both = pairs.join(sets.withColumnsRenamed({"rid": "a", "s": "x"}), "a").join(sets.withColumnsRenamed({"rid": "b", "s": "y"}), "b")
     return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
@@ -183,7 +204,60 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(small.select("x.a", F.col("x.m").alias("b")).where("a > b").distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def _rest(
+    own: DataFrame, near: DataFrame, far: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, least: float, block: int
+) -> DataFrame:
+    """Links between members of one bucket in different components, neither of them its first pivot.
+
+    A bucket is cut into blocks of about ``block`` members and each pair of
+    blocks is one group, so none is larger than two blocks. Inside, a pair is
+    looked at in the first band that it shares, estimated by the registers and
+    confirmed by counting shared shingles; only links leave the group.
+    """
+    own = written(own.where("rid <> first"))
+    split = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
+    split = split.where("lo <> hi").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = own.join(split, "bucket").join(near, ["rid", "first"], "left").join(far, ["rid", "first"], "left")
+    mine = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
+    rows = written(
+        rows.select("bucket", "band", "rid", "c", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("far", F.lit(False)).alias("far"), "blocks", mine.alias("mine"))
+    )
+    loose = rows.where("not core").select("bucket").distinct()
+    rows = rows.join(loose, "bucket", "left_semi").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("mine", "x").alias("lo"), F.greatest("mine", "x").alias("hi"), "band", "rid", "c", "core", "far", "mine")
+    rows = rows.join(classes.select("rid", "registers"), "rid").join(sets, "rid")
+
+    def compare(part: pa.Table) -> pa.Table:
+        lo, hi, band = (part.column(k)[0].as_py() for k in ("lo", "hi", "band"))
+        rid, c, core, far, mine = (part.column(k).to_numpy() for k in ("rid", "c", "core", "far", "mine"))
+        regs = np.frombuffer(b"".join(part.column("registers").to_pylist()), np.uint16).reshape(len(rid), -1)
+        own = [np.frombuffer(s, np.uint64) for s in part.column("s").to_pylist()]
+        size = np.array([len(s) for s in own])
+        every, start = np.concatenate(own), np.r_[0, np.cumsum(size)[:-1]]
+        out = []
+        for k in np.flatnonzero(~core).tolist():
+            other = (c != c[k]) & ~(core & far[k]) & (core | (rid < rid[k]))
+            if lo != hi:
+                other &= mine != mine[k]
+            at = np.flatnonzero(other)
+            same = regs[at] == regs[k]
+            first = same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            at = at[(same.mean(axis=1) >= least) & (first == band)]
+            if not len(at):
+                continue
+            if len(at) * 8 > len(rid):
+                found = np.searchsorted(own[k], every)
+                equal = own[k][np.minimum(found, size[k] - 1)] == every
+                both = np.add.reduceat(equal, start, dtype=np.int64)[at]
+            else:
+                both = np.array([len(np.intersect1d(own[k], own[x], assume_unique=True)) for x in at])
+            out += [(rid[k], rid[x]) for x in at[100 * both >= percent * (size[k] + size[at] - both)]]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: int = 2000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their
@@ -199,36 +273,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         )
     )
     buckets = written(_buckets(classes))
-    pivots = buckets.groupBy("bucket").agg(F.min("rid").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = written(buckets.join(pivots, "bucket"))
-    star = shared.where("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
-    star = written(_estimated(star, classes))
-    links = written(_confirmed(star.where(F.col("est") >= t - slack), docs, width, percent))
+    pivots = buckets.groupBy("bucket").agg(
+        F.min("rid").alias("first"), F.min_by("rid", F.xxhash64("bucket", "rid")).alias("other"), F.count(F.lit(1)).alias("n")
+    )
+    shared = written(buckets.join(pivots.where("n > 1").drop("n"), "bucket"))
+    sets = _sets(shared.select("rid").distinct(), docs, width)
+    star = shared.select(F.col("rid").alias("a"), F.explode(F.array(F.struct(F.col("first").alias("b"), F.lit(1).alias("f")), F.struct(F.col("other").alias("b"), F.lit(0).alias("f")))).alias("x"))
+    star = star.select("a", "x.b", "x.f").where("a <> b").groupBy("a", "b").agg(F.max("f").alias("f"))
+    star = written(_estimated(star.select("a", "b"), classes).join(star, ["a", "b"]))
+    # Any spanning set of links will do: those to the first pivots, and the likeliest two others of each member.
+    likely = Window.partitionBy("a").orderBy(F.desc("est"), "b")
+    tried = star.where(F.col("est") >= t - slack).withColumn("k", F.row_number().over(likely)).where("f = 1 or k <= 2").select("a", "b")
+    links = written(_confirmed(tried, sets, percent))
 
     # What the stars left apart: members of one bucket in different components.
     comp = components(links)
-    near = links.select("a", "b", F.lit(True).alias("core"))
-    far = star.where(F.col("est") < 1 - 2 * (1 - t) - slack).select("a", "b", F.lit(True).alias("far"))
-    member = (
-        shared.join(comp.withColumnRenamed("node", "rid"), "rid", "left")
-        .join(near.toDF("rid", "pivot", "core"), ["rid", "pivot"], "left")
-        .join(far.toDF("rid", "pivot", "far"), ["rid", "pivot"], "left")
-        .select(
-            "bucket", "rid", F.coalesce("component", "rid").alias("c"), (F.col("rid") == F.col("pivot")).alias("is_pivot"),
-            F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("far", F.lit(False)).alias("far"),
-        )
-    )
-    member = written(member)
-    split = member.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.when(~F.col("core") & ~F.col("is_pivot"), 1)).alias("n"))
-    # A bucket whose only stranger is far from a pivot that all others are joined to is settled by the metric.
-    open_ = member.where("not is_pivot").join(split.where("lo <> hi and n > 0").select("bucket"), "bucket", "left_semi")
-    loose = open_.where("not core").select("bucket", F.col("rid").alias("a"), F.col("c").alias("ca"), F.col("far").alias("fa"))
-    other = open_.select("bucket", F.col("rid").alias("b"), F.col("c").alias("cb"), F.col("core").alias("kb"))
-    pairs = loose.join(other, "bucket").where("ca <> cb and not (fa and kb) and (kb or a > b)")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = written(_estimated(pairs, classes).where(F.col("est") >= t - slack).select("a", "b"))
-    more = _confirmed(rest, docs, width, percent)
-    final = components(links.union(more).select("a", "b"))
+    near = links.select(F.col("a").alias("rid"), F.col("b").alias("first"), F.lit(True).alias("core"))
+    far = star.where(F.col("est") < 1 - 2 * (1 - t) - slack).select(F.col("a").alias("rid"), F.col("b").alias("first"), F.lit(True).alias("far"))
+    own = shared.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "band", "rid", "first", F.coalesce("component", "rid").alias("c"))
+    final = components(links.union(_rest(own, near, far, classes, sets, percent, t - slack, block)))
 
     named = classes.select("digest", "rid").join(final.withColumnRenamed("node", "rid"), "rid", "left")
     named = named.select("digest", F.coalesce("component", "rid").alias("component_id"))

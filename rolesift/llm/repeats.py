@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from .common import written
+from .common import bitmap, hit, signed, written
 
 LENGTH, GRAM = 200, 48
 #: Bytes that are hashed at once, and occurrences that are sorted at once.
@@ -102,44 +102,10 @@ class Cover:
         return grams[pos], ctx, lo + at, count, pos - lo
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
-
-
 def _both(gram: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     return _mix(gram * np.uint64(3) + ctx)
 
 
-def _bitmap(keys: DataFrame, least_bits: int = 20, most_bits: int = 30):
-    """A broadcast bit for each key: 32 bits a key, 2**most_bits bits at most. Keys that are not there hit one now and then."""
-    bits = min(most_bits, max(least_bits, int(keys.count() * 32).bit_length()))
-    small = min(bits, 19)
-    mask = np.uint64((1 << bits) - 1)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & mask
-            yield pa.RecordBatch.from_arrays([_signed(at >> np.uint64(small)), _signed(at & np.uint64((1 << small) - 1))], names=["part", "bit"])
-
-    def gather(part: pa.Table) -> pa.Table:
-        out = np.zeros(1 << small, np.uint8)
-        out[part.column("bit").to_numpy()] = 1
-        return pa.table({"part": part.column("part")[:1], "data": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
-
-    places = keys.mapInArrow(place, "part long, bit long").distinct()
-    rows = places.groupBy("part").applyInArrow(gather, "part long, data binary").collect()
-    full = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows:
-        full[r.part << (small - 3) : (r.part + 1) << (small - 3)] = np.frombuffer(r.data, np.uint8)
-    return keys.sparkSession.sparkContext.broadcast((full, int(mask)))
-
-
-def _hit(bitmap, keys: np.ndarray) -> np.ndarray:
-    full, mask = bitmap.value
-    at = keys & np.uint64(mask)
-    return (full[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _positions(docs: DataFrame, schema: str, row, length: int, gram: int) -> DataFrame:
     """Rows that ``row`` makes of each text's cover: a list of arrays for (doc_id, data, cover)."""
 
@@ -270,14 +236,14 @@ def _spans(docs: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     """gram, ctx and the repeated windows of the context: null for all of them."""
 
     def grams(doc, data, found):
-        return [_signed(found[0])]
+        return [signed(found[0])]
 
     repeated = _positions(docs, "gram long", grams, length, gram).groupBy("gram").count().where("count > 1").select("gram")
-    some = _bitmap(written(repeated))
+    some = bitmap(written(repeated))
 
     def contexts(doc, data, found):
-        keep = _hit(some, found[0])
-        return [_signed(found[0][keep]), _signed(found[1][keep])]
+        keep = hit(some, found[0])
+        return [signed(found[0][keep]), signed(found[1][keep])]
 
     classes = written(_positions(docs, "gram long, ctx long", contexts, length, gram).groupBy("gram", "ctx").agg(F.count(F.lit(1)).alias("n")))
     buckets = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("gram", "m")
@@ -286,15 +252,15 @@ def _spans(docs: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             g, c = (batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([_signed(_both(g, c))], names=["key"])
+            yield pa.RecordBatch.from_arrays([signed(_both(g, c))], names=["key"])
 
-    wanted = _bitmap(open_.select("gram", "ctx").mapInArrow(both, "key long"))
+    wanted = bitmap(open_.select("gram", "ctx").mapInArrow(both, "key long"))
 
     def bytes_(doc, data, found):
-        keep = _hit(wanted, _both(found[0], found[1]))
+        keep = hit(wanted, _both(found[0], found[1]))
         g, c, lo, count, offset = (x[keep] for x in found)
         around = [data[a : a + k - 1 + length] for a, k in zip(lo.tolist(), count.tolist(), strict=True)]
-        return [_signed(g), _signed(c), pa.array(count), pa.array(offset), pa.array(around, pa.binary())]
+        return [signed(g), signed(c), pa.array(count), pa.array(offset), pa.array(around, pa.binary())]
 
     sent = _positions(docs, "gram long, ctx long, count long, offset long, data binary", bytes_, length, gram)
     sent = sent.groupBy("gram", "ctx").agg(F.first("count").alias("count"), F.first("offset").alias("offset"), F.first("data").alias("data"))
@@ -308,14 +274,14 @@ def _spans(docs: DataFrame, length: int, gram: int, block: int) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every document."""
     spans, both = _spans(docs, length, gram, block)
-    hit = _bitmap(spans.select("gram", "ctx").mapInArrow(both, "key long"))
+    open_ = bitmap(spans.select("gram", "ctx").mapInArrow(both, "key long"))
 
     def places(doc, data, found):
-        keep = _hit(hit, _both(found[0], found[1]))
+        keep = hit(open_, _both(found[0], found[1]))
         g, c, lo, count, _ = (x[keep] for x in found)
         n = len(g)
         t = np.full(n, xxh3_64_intdigest(data), np.uint64)
-        return [pa.array([doc] * n, pa.int64()), _signed(t), _signed(g), _signed(c), pa.array(lo), pa.array(count)]
+        return [pa.array([doc] * n, pa.int64()), signed(t), signed(g), signed(c), pa.array(lo), pa.array(count)]
 
     at = _positions(docs, "doc_id long, t long, gram long, ctx long, lo long, count long", places, length, gram)
     at = at.join(spans, ["gram", "ctx"]).select("doc_id", "t", "lo", "count", "spans")
@@ -335,7 +301,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = np.array([xxh3_64_intdigest(x.as_py() or b"") for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed(t)], names=["doc_id", "data", "t"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(t)], names=["doc_id", "data", "t"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

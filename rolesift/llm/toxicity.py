@@ -5,7 +5,7 @@ different contexts (neighbouring tokens) they have in toxic and in other texts,
 so that copies of a text count once. The share of toxic contexts gets a
 two-category Dirichlet prior whose mean is the share of the token's four-letter
 prefix, which in turn is drawn to the share of all tokens; the log-odds against
-the latter are the token's score. Tokens with no evidence score slightly below
+the latter, less their standard deviation, are the token's score. Tokens with no evidence score slightly below
 zero, so that a segment ends where nothing toxic follows.
 
 Scoring, over every whole text: one linear scan finds all maximal scoring
@@ -120,7 +120,7 @@ def token_table(texts: DataFrame, most: int = 500_000) -> tuple[Weights, float,
     rows = words.select("toxic", "w", F.posexplode("w").alias("p", "word"))
     rows = rows.select("word", "toxic", F.xxhash64(F.get("w", F.col("p") - 1), F.get("w", F.col("p") + 1)).alias("c"))
     counts = written(
-        rows.groupBy("word", "c").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+        rows.groupBy("word", "c").agg(F.avg("toxic").alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     )
     total = counts.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
     if not total.n:
@@ -128,13 +128,18 @@ def token_table(texts: DataFrame, most: int = 500_000) -> tuple[Weights, float,
     base = _share(total.t, total.n, 0.5, 1.0)
     least = max(3, total.n / most)
     prefixes = counts.groupBy(F.substring("word", 1, PREFIX).alias("q")).agg(F.sum("t").alias("qt"), F.sum("n").alias("qn"))
-    odds = lambda share: F.log(share / (1 - share)) - F.log(F.lit(base / (1 - base)))
+
+    def odds(toxic, total, prior, weight):
+        """Log-odds against the base share, less one standard deviation."""
+        a, b = toxic + weight * prior, total - toxic + weight * (1 - prior)
+        return F.log(a / b) - F.log(F.lit(base / (1 - base))) - F.sqrt(1 / a + 1 / b)
+
     pre = prefixes.withColumn("qs", _share(F.col("qt"), F.col("qn"), base, PRIOR_PREFIX))
     named = counts.where(F.col("n") >= least).withColumn("q", F.substring("word", 1, PREFIX)).join(pre, "q")
-    named = named.select("word", odds(_share(F.col("t"), F.col("n"), F.col("qs"), PRIOR_TOKEN)).alias("s"), (F.col("n") - F.col("t")).alias("clean"))
+    named = named.select("word", odds(F.col("t"), F.col("n"), F.col("qs"), PRIOR_TOKEN).alias("s"), (F.col("n") - F.col("t")).alias("clean"))
     # Tokens that score no better than neutral are listed only where their prefix does.
     listed = [(r.word, r.s, r.clean) for r in named.where(F.col("s") >= LEAST).collect()]
-    pre_listed = {r.q: r.s for r in pre.where(F.col("qn") >= least).select("q", odds(F.col("qs")).alias("s")).where(F.col("s") >= LEAST).collect()}
+    pre_listed = {r.q: r.s for r in pre.where(F.col("qn") >= least).select("q", odds(F.col("qt"), F.col("qn"), F.lit(base), PRIOR_PREFIX).alias("s")).where(F.col("s") >= LEAST).collect()}
     tokens = {w: s for w, s, _ in listed}
     quiet = named.where(F.col("s") < LEAST).where(F.substring("word", 1, PREFIX).isin(list(pre_listed))) if pre_listed else None
     if quiet is not None:
