@@ -138,10 +138,6 @@ SELECT posting_id, CASE WHEN tt THEN 'Fixed Title' ELSE title END AS title, CASE
  concat('one; two; three', CASE WHEN tt THEN concat('; AI scrub updated Title: ', CASE WHEN title = '' THEN 'blank' ELSE title END, ' -> Fixed Title') ELSE '' END,
   CASE WHEN tl THEN concat('; AI scrub updated Location: ', CASE WHEN location = '' THEN 'blank' ELSE location END, ' -> Plano, TX') ELSE '' END) AS risk_flags,
  CASE WHEN posting_id % 3 = 1 THEN 'Skip' WHEN posting_id % 3 = 2 AND posting_id % 2 = 0 THEN 'Hold' WHEN posting_id % 2 = 0 THEN 'Apply' ELSE 'Hold' END AS ai_priority FROM c""")
-FAN = QUAL.replace("SELECT p.*, r.* EXCLUDE (profile_id), nrm, rem, why FROM postings p JOIN prepared r USING (profile_id) JOIN places USING (location) LEFT JOIN hit USING (location, profile_id)",
-                   "SELECT p.* REPLACE (p.posting_id * 10 + r.profile_id AS posting_id, r.profile_id AS profile_id), r.* EXCLUDE (profile_id), nrm, rem, why FROM postings p CROSS JOIN prepared r JOIN places USING (location) LEFT JOIN hit ON hit.location = p.location AND hit.profile_id = r.profile_id WHERE title <> ''")
-assert FAN != QUAL
-add("J14_score_profiles_by_posting", f"WITH {FAN} SELECT posting_id // 10 AS posting_id, profile_id, score::INT AS score, acc OR forced AS accepted FROM q")
 CAL = """cal AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'maybe' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS e, ['no', 'maybe', 'yes'][doc_id % 3 + 1] AS p, 'qualifier' AS scorer FROM labels
  UNION ALL SELECT doc_id, CASE WHEN quality = 1 AND toxic = 1 THEN 'maybe' WHEN quality = 1 THEN 'yes' ELSE 'no' END, CASE WHEN doc_id % 13 = 0 THEN 'skipped' WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END, 'model' FROM labels),
  cg AS (SELECT *, abs(list_position(['no', 'maybe', 'yes'], e) - list_position(['no', 'maybe', 'yes'], p)) AS g FROM cal)"""

@@ -262,7 +262,7 @@ add("W1_dedupe_batch_best", f"""WITH {KEYED} SELECT posting_id, batch_key, count
 QUALIFY row_number() OVER (PARTITION BY batch_key ORDER BY CASE source_trust WHEN 'ATS Confirmed' THEN 4 WHEN 'Career Site Confirmed' THEN 3 WHEN 'Web Discovered' THEN 2 ELSE 1 END DESC,
  length(source_detail) DESC, length(job_posting_url) DESC, length(title) DESC, posting_id) = 1""")
 add("W2_distinct_in_order", f"WITH {OBS}, v AS (SELECT obs_id, {vendor_form('raw_url')} AS url FROM obs) SELECT min(obs_id) AS obs_id, url FROM v WHERE url <> '' GROUP BY url")
-ENTITY = f"{OBS}, e AS (SELECT *, {canonical('raw_url')} AS entity FROM obs WHERE raw_url <> '')"
+ENTITY = f"{OBS}, e AS (SELECT *, {canonical('raw_url')} AS entity FROM obs)"
 add("W3_discovery_state", f"""WITH {ENTITY}, r AS (SELECT DISTINCT entity FROM e WHERE obs_id % 17 = 0 AND entity LIKE '%lever.co%')
 SELECT obs_id, entity, run_id, CASE WHEN entity IN (SELECT entity FROM r) THEN 'skipped_removed'
  ELSE CASE WHEN lag(run_id) OVER w IS NULL THEN 'net_new' WHEN lag(run_id) OVER w = run_id THEN 'duplicate_in_run' ELSE 'rediscovered' END END AS discovery_state

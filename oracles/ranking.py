@@ -68,12 +68,12 @@ add("W8_split_and_cap_sources", f"""WITH {RANKED}, d AS (SELECT *, priority_scor
  k AS (SELECT *, row_number() OVER (PARTITION BY ats_type, strong ORDER BY priority_score DESC, m DESC, s DESC, source_root) AS rn, CASE WHEN ats_type = 'Lever' THEN CASE WHEN strong THEN 10 ELSE 5 END ELSE CASE WHEN strong THEN 25 ELSE 15 END END AS cap FROM d)
 SELECT ats_type, source_root, strong, rn <= cap AS kept, CASE WHEN rn <= cap THEN rn ELSE 0 END::INT AS rank_in_class FROM k""")
 add("W7_cap_per_group", f"WITH {POSTINGS} SELECT posting_id, company FROM postings QUALIFY row_number() OVER (PARTITION BY company ORDER BY posting_id) <= 2")
-add("W9_latest_per_key", f"WITH {OBS} SELECT profile_id, provider, run_id, obs_id FROM obs WHERE raw_url <> '' QUALIFY row_number() OVER (PARTITION BY profile_id, provider ORDER BY run_id DESC, obs_id DESC) <= 3")
+add("W9_latest_per_key", f"WITH {OBS} SELECT profile_id, provider, run_id, obs_id FROM obs QUALIFY row_number() OVER (PARTITION BY profile_id, provider ORDER BY run_id DESC, obs_id DESC) <= 3")
 add("W10_label_latest_run", f"""WITH {POSTINGS} SELECT posting_id, CASE WHEN last_seen_run_id < (SELECT max(last_seen_run_id) FROM postings) THEN '' WHEN posting_id % 3 <= 1 THEN 'Net New' ELSE 'Rediscovered' END AS discovery_state FROM postings""")
 OPEN = "postings WHERE workflow_status = 'New' AND active_status = 'Active'"
 add("W12_page", f"""WITH {POSTINGS}, o AS (SELECT posting_id, row_number() OVER (ORDER BY fit_score DESC NULLS LAST, company, title, posting_id) AS rn, count(*) OVER () AS n FROM {OPEN})
 SELECT posting_id, rn::INT AS row_no, 3::BIGINT AS page_no, n AS total_rows, ceil(n / 25.0)::BIGINT AS total_pages FROM o WHERE rn BETWEEN 51 AND 75""")
-add("W13_new_per_tier", f"""WITH {OBS}, v AS (SELECT (obs_id % 6)::INT AS tier, {canonical('raw_url')} AS url FROM obs WHERE raw_url <> ''), f AS (SELECT url, min(tier) AS tier FROM v GROUP BY 1)
+add("W13_new_per_tier", f"""WITH {OBS}, v AS (SELECT (obs_id % 6)::INT AS tier, {canonical('raw_url')} AS url FROM obs), f AS (SELECT url, min(tier) AS tier FROM v GROUP BY 1)
 SELECT tier, count(*) AS results, (SELECT count(*) FROM f WHERE f.tier = v.tier) AS new_urls FROM v GROUP BY 1""")
 PAY = "coalesce(list_max(list_transform(regexp_extract_all(replace(compensation_raw, ',', ''), '[0-9]+([.][0-9]+)?'), lambda x: x::DOUBLE)), -1)"
 TRUST = "CASE source_trust WHEN 'ATS Confirmed' THEN 4 WHEN 'Career Site Confirmed' THEN 3 WHEN 'Web Discovered' THEN 2 ELSE 1 END"

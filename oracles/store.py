@@ -19,10 +19,10 @@ RESOLVED = f"""{SNAP}, bk AS (SELECT duplicate_key AS k, min(posting_id) AS i FR
  res AS (SELECT c.*, coalesce(bk.i, bc.i, bu.i) AS eid FROM canon c LEFT JOIN bk ON c.duplicate_key = bk.k LEFT JOIN bc ON c.curl = bc.k
    LEFT JOIN bu ON c.job_posting_url = bu.k WHERE posting_id % 3 = 0)"""
 UPS = f"""{RESOLVED}, live AS (SELECT * FROM res WHERE duplicate_key NOT IN (SELECT duplicate_key FROM tomb)),
- heads AS (SELECT duplicate_key, min(posting_id) AS p, arg_min(curl, posting_id) AS c FROM live WHERE eid IS NULL GROUP BY 1),
- own AS (SELECT c, arg_min(duplicate_key, p) AS o FROM heads GROUP BY 1),
- ent AS (SELECT live.*, CASE WHEN eid IS NOT NULL THEN 'id' || eid ELSE 'k' || own.o END AS entity
-   FROM live LEFT JOIN heads USING (duplicate_key) LEFT JOIN own USING (c)),
+ heads AS (SELECT duplicate_key, min(posting_id) AS p, arg_min(curl, posting_id) AS c, arg_min(coalesce(eid, -1), posting_id) AS e0 FROM live GROUP BY 1),
+ own AS (SELECT c, arg_min(CASE WHEN e0 >= 0 THEN 'id' || e0 ELSE 'k' || duplicate_key END, p) AS o, arg_min(e0, p) AS oe FROM heads GROUP BY 1),
+ ent AS (SELECT live.* EXCLUDE (eid), CASE WHEN e0 >= 0 THEN 'id' || e0 ELSE o END AS entity, nullif(CASE WHEN e0 >= 0 THEN e0 ELSE oe END, -1) AS eid
+   FROM live JOIN heads USING (duplicate_key) LEFT JOIN own USING (c)),
  fold AS (SELECT e.entity, any_value(e.eid) AS eid, min(e.posting_id) AS fp, max(e.posting_id) AS lp, count(*) AS n, bool_or(e.fit_score IS NOT NULL) AS sc,
    list({{'t': {RANK.format('e.source_trust')}, 'd': e.source_detail, 'n': e.source_trust, 'y': {TYPE_RANK.format('e.source_type')}, 'm': e.source_type}} ORDER BY e.posting_id) AS hist FROM ent e GROUP BY 1),
  base AS (SELECT f.*, s.posting_id IS NOT NULL AS old, list_reduce(CASE WHEN s.posting_id IS NULL THEN hist ELSE list_concat([{{'t': {RANK.format('s.source_trust')}, 'd': s.source_detail,
@@ -77,7 +77,7 @@ add("S5_load_settings", f"""WITH {MANY} SELECT profile_id, target_titles, CASE W
  'broad_recall' AS search_strategy, '' AS default_min_fit_score, '10' AS default_jobs_per_page FROM profiles""")
 add("M7_append_artifact", f"""WITH {SNAP}, a AS (SELECT l_orderkey, max(l_orderkey * 10 + l_linenumber) AS i FROM lineitem GROUP BY 1)
 SELECT posting_id, CASE WHEN i IS NULL THEN '' ELSE '/out/' || i || '.txt' END AS artifact_path FROM snap LEFT JOIN a ON l_orderkey = posting_id""")
-add("S9_align_schema", f"""WITH {POSTINGS} SELECT posting_id, CASE WHEN posting_id % 2 = 0 THEN 'New' ELSE workflow_status END AS status, 'Local Pipeline' AS source, active_status, 'validate_job_url_v1' AS parser_version,
+add("S9_align_schema", f"""WITH {POSTINGS} SELECT posting_id, CASE WHEN posting_id % 2 = 0 THEN 'New' ELSE workflow_status END AS status, 'Local Pipeline' AS source, active_status, 'rolesift_v1' AS parser_version,
  '' AS source_type, '' AS risk_flags, array_to_string(list_filter(string_split(regexp_replace(lower(company || ' ' || title || ' ' || location), '[^a-z0-9]+', ' ', 'g'), ' '), lambda s: s <> ''), '|') AS duplicate_key,
  {canonical('job_posting_url')} AS canonical_job_posting_url, coalesce(fit_score, -1.0) AS fit_score FROM postings""")
 
@@ -98,12 +98,19 @@ add("M5_import_endpoints", f"""WITH {CONTRACT}, {OLD_EP}, pairs AS (SELECT ent,
 SELECT (SELECT count(*) FROM ver) AS total_records, (SELECT count(*) FROM ver WHERE verdict = 'invalid') AS invalid, (SELECT count(*) FROM ver WHERE verdict = 'skipped') AS skipped,
  (SELECT count(DISTINCT ent) FROM who WHERE id IS NULL) AS company_inserted, (SELECT count(*) FROM who) - (SELECT count(DISTINCT ent) FROM who WHERE id IS NULL) AS company_updated,
  (SELECT count(*) FROM pk WHERE NOT old) AS endpoint_inserted, (SELECT count(*) FROM who) - (SELECT count(*) FROM pk WHERE NOT old) AS endpoint_updated""")
-add("M5_imported_endpoints", f"""WITH {CONTRACT}, fresh AS (SELECT ent, id, endpoint_url, arg_max(ats_vendor, pos) AS v, arg_max(review_status, pos) AS r, arg_max(conf, pos) AS c FROM who GROUP BY 1, 2, 3),
- old AS (SELECT * FROM endpoints WHERE endpoint_id % 3 = 0),
- m AS (SELECT f.v AS ats_vendor, CASE WHEN f.v = 'unknown' THEN 'careers_page' ELSE f.v END AS extraction_method, f.r AS review_status, CASE WHEN f.r = 'rejected' THEN 0 ELSE 1 END AS active, f.c AS conf
-   FROM fresh f LEFT JOIN old o ON o.company_id = f.id AND o.endpoint_url = f.endpoint_url
-  UNION ALL SELECT o.ats_vendor, '', o.review_status, o.active, o.confidence_score FROM old o WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.id = o.company_id AND f.endpoint_url = o.endpoint_url))
-SELECT ats_vendor, extraction_method, review_status, count(*) AS n, sum(active)::BIGINT AS active, round(sum(conf), 4) AS confidence FROM m GROUP BY 1, 2, 3""")
+FIRM = """firm AS (SELECT ent, coalesce(any_value(id), (SELECT coalesce(max(company_id), 0) FROM companies) + min(pos) + 1) AS fid, arg_max(company_name, pos) AS nm,
+  arg_min(dom, pos) AS dm FROM who GROUP BY 1)"""
+add("M5_imported_endpoints", f"""WITH {CONTRACT}, {FIRM}, fresh AS (SELECT fid, endpoint_url, arg_max(ats_vendor, pos) AS v, arg_max(review_status, pos) AS r,
+  arg_max(conf, pos) AS c, max(pos) AS pos FROM who JOIN firm USING (ent) GROUP BY 1, 2),
+ old AS (SELECT * FROM endpoints WHERE endpoint_id % 3 = 0)
+SELECT f.fid AS company_id, f.endpoint_url, coalesce(o.endpoint_id, (SELECT coalesce(max(endpoint_id), 0) FROM old) + f.pos + 1) AS endpoint_id, f.v AS ats_vendor,
+  CASE WHEN f.v = 'unknown' THEN 'careers_page' ELSE f.v END AS extraction_method, f.r AS review_status, CASE WHEN f.r = 'rejected' THEN 0 ELSE 1 END AS active, f.c AS confidence_score
+FROM fresh f LEFT JOIN old o ON o.company_id = f.fid AND o.endpoint_url = f.endpoint_url
+UNION ALL SELECT o.company_id, o.endpoint_url, o.endpoint_id, o.ats_vendor, '', o.review_status, o.active, o.confidence_score FROM old o
+WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.fid = o.company_id AND f.endpoint_url = o.endpoint_url)""")
+add("M5_imported_companies", f"""WITH {CONTRACT}, {FIRM} SELECT coalesce(c.company_id, fid) AS company_id, coalesce(nm, name) AS name,
+  coalesce(nullif(canonical_domain, ''), dm, '') AS canonical_domain, coalesce(hq, '') AS hq, coalesce(company_active, -1) AS company_active
+FROM companies c FULL JOIN firm ON c.company_id = fid""")
 add("U3_registry_delta", f"WITH {CONTRACT} SELECT pos, endpoint_url FROM con WHERE endpoint_url NOT IN (SELECT endpoint_url FROM endpoints WHERE endpoint_id % 7 = 0)")
 add("U3_registry_delta_count", f"""WITH {CONTRACT} SELECT count(*) AS export_rows, (SELECT count(*) FROM endpoints WHERE endpoint_id % 7 = 0) AS registry_rows,
  greatest(count(*) - (SELECT count(*) FROM endpoints WHERE endpoint_id % 7 = 0), 0) AS delta FROM con""")

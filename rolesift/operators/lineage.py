@@ -12,16 +12,31 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the cluster's checkpoint folder.
 
     The folder is the session's spark.checkpoint.dir, shared storage that
-    outlives an executor. Only where none is set (tests, a laptop) a
-    temporary one is used.
+    outlives an executor.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rolesift-"))
+    at = shared(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(at)
     return df.checkpoint(eager=True)
 
 
+def shared(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir.
+
+    Where it is unset, a local session, which is one process, gets a temporary
+    folder; on a cluster, where executors would not see it, the job fails.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="rolesift-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the same shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='rolesift-')}/{uuid.uuid4().hex}"
+    return f"{shared(spark)}/{uuid.uuid4().hex}"

@@ -83,15 +83,6 @@ def with_profile(rows: DataFrame, profiles: DataFrame, resolver=None) -> DataFra
     return rows.join(prepare(profiles, resolver), "profile_id")
 
 
-def fan_out(rows: DataFrame, profile_ids: Sequence[int]) -> DataFrame:
-    """Every row once per listed profile, the list given by the caller."""
-    ids = F.array(*[F.lit(int(p)) for p in profile_ids])
-    return rows.drop("profile_id").withColumn("profile_id", F.explode(ids))
-
-
-# --- URL prefilters ----------------------------------------------------------
-
-
 def _hint_signature_ok(hint: Column) -> Column:
     return titles.signature_fits(
         titles.leadership(hint), titles.lanes(hint), F.col("hint_levels"), F.col("hint_lanes")

@@ -57,7 +57,7 @@ PAYLOAD_DEFAULTS = {
     "status": "New",
     "active_status": "Active",
     "source": "Local Pipeline",
-    "parser_version": "validate_job_url_v1",
+    "parser_version": "rolesift_v1",
 }
 SOURCE_COLUMNS = ["source_type", "source_trust", "source_detail"]
 # Overwritten on update: everything but the first date and source standing.
@@ -123,7 +123,10 @@ def coerce_payload(batch: DataFrame, extra: Sequence[str] = ("pos",)) -> DataFra
 def drop_tombstoned(rows: DataFrame, removed: DataFrame, key: str = "duplicate_key") -> tuple[DataFrame, DataFrame]:
     """(rows to go on with, rows whose key is tombstoned)."""
     gone = removed.select(key).filter(F.col(key) != "").distinct()
-    return rows.join(gone, key, "left_anti"), rows.join(gone, key, "left_semi")
+    keyed = F.coalesce(F.col(key) != "", F.lit(False))
+    # Rows without a key go round the join, where they would meet in one task.
+    live = rows.filter(keyed).join(gone, key, "left_anti").unionByName(rows.filter(~keyed))
+    return live, rows.filter(keyed).join(gone, key, "left_semi")
 
 
 def resolve_existing(batch: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -184,10 +187,12 @@ def upsert_postings(
 ) -> Upsert:
     """M1: insert or update a batch, as if its rows came one by one in `pos`.
 
-    A row matches the snapshot (J3), else an earlier row of the batch by key,
-    else the key group whose first row has its canonical URL. A URL that ends
-    up under several entities would need a longer chain: it is reported in
-    `ambiguous`, its rows are stored under their own entity.
+    Rows of one key go where the first of them goes, since a key match comes
+    before a URL match: to the snapshot row it matches (J3), else to the group
+    whose first row has its canonical URL, else to a new row. So one non-blank
+    key never makes two rows. A URL that ends up under several entities would
+    need a longer chain: it is reported in `ambiguous`, its rows are stored
+    under their own entity.
     """
     coerced = coerce_payload(batch).withColumn(
         "_scored",
@@ -205,20 +210,23 @@ def upsert_postings(
         .otherwise(F.concat(F.lit("p:"), "pos"))
     )
     grouped = resolved.withColumn("_group", own)
-    heads = (
-        grouped.filter(F.col("existing_id").isNull())
-        .groupBy("_group")
-        .agg(F.min("pos").alias("_p"), F.min_by(canonical, "pos").alias("_c"))
+    heads = grouped.groupBy("_group").agg(
+        F.min("pos").alias("_p"), F.min_by(F.struct(canonical.alias("c"), F.col("existing_id").alias("id")), "pos").alias("_h")
     )
-    owners = heads.filter(F.col("_c") != "").groupBy("_c").agg(F.min_by("_group", "_p").alias("_owner"))
-    entity_of = heads.join(owners, "_c", "left").select("_group", F.coalesce("_owner", "_group").alias("_owner"))
+    heads = heads.select("_group", "_p", F.col("_h.c").alias("_c"), F.col("_h.id").alias("_id"))
+    own_entity = F.coalesce(F.concat(F.lit("id:"), F.col("_id").cast("string")), F.col("_group"))
+    owners = heads.filter(F.col("_c") != "").groupBy("_c").agg(F.min_by(F.struct(own_entity.alias("e"), F.col("_id").alias("id")), "_p").alias("_o"))
+    entity_of = heads.join(owners, "_c", "left").select(
+        "_group",
+        F.when(F.col("_id").isNotNull(), own_entity).otherwise(F.coalesce("_o.e", own_entity)).alias("_owner"),
+        F.coalesce("_id", "_o.id").alias("_owner_id"),
+    )
+    keyless = (F.col("duplicate_key") == "") & F.col("existing_id").isNotNull()
     rows = (
         grouped.join(entity_of, "_group", "left")
-        .withColumn(
-            "entity",
-            F.when(F.col("existing_id").isNotNull(), F.concat(F.lit("id:"), "existing_id")).otherwise(F.col("_owner")),
-        )
-        .drop("_group", "_owner")
+        .withColumn("entity", F.when(keyless, F.concat(F.lit("id:"), F.col("existing_id").cast("string"))).otherwise(F.col("_owner")))
+        .withColumn("existing_id", F.when(keyless, F.col("existing_id")).otherwise(F.col("_owner_id")))
+        .drop("_group", "_owner", "_owner_id")
     )
     rows = cut(rows)
     ambiguous = (
@@ -493,6 +501,7 @@ def import_endpoints(companies: DataFrame, endpoints: DataFrame, records: DataFr
         "company_id",
         F.coalesce("_name", "name").alias("name"),
         F.coalesce(F.nullif("canonical_domain", F.lit("")), "_domain", F.lit("")).alias("canonical_domain"),
+        *[F.col(c) for c in companies.columns if c not in ("company_id", "name", "canonical_domain")],
     )
 
     vendor = F.lower(clean(F.col("ats_provider"), False))
@@ -518,12 +527,14 @@ def import_endpoints(companies: DataFrame, endpoints: DataFrame, records: DataFr
     )
     fields = [c for c in fresh.columns if c not in ("company_id", "endpoint_url", "pos")]
     key = ["company_id", "endpoint_url"]
-    latest = top_n(fresh, key, [F.desc("pos")]).drop("pos")
+    latest = top_n(fresh, key, [F.desc("pos")])
     known = endpoints.groupBy(*key).agg(F.min("endpoint_id").alias("_eid"))
     new = latest.join(known, key, "left")
     old = endpoints.select(*key, "endpoint_id", *[F.col(c).alias(f"_o_{c}") if c in endpoints.columns else F.lit(None).alias(f"_o_{c}") for c in fields])
-    merged = old.join(new.drop("_eid").withColumn("_hit", F.lit(True)), key, "full_outer").select(
-        *key, "endpoint_id", *[F.when(F.col("_hit"), F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c) for c in fields]
+    # Ids of new endpoints follow their last record's position, like those of companies.
+    last = F.broadcast(endpoints.agg(F.coalesce(F.max("endpoint_id"), F.lit(0)).alias("_last")))
+    merged = old.join(new.drop("_eid").withColumn("_hit", F.lit(True)), key, "full_outer").join(last, F.lit(True)).select(
+        *key, F.coalesce("endpoint_id", F.col("_last") + F.col("pos") + 1).alias("endpoint_id"), *[F.when(F.col("_hit"), F.col(c)).otherwise(F.col(f"_o_{c}")).alias(c) for c in fields]
     )
     sums = checked.agg(
         F.count(F.lit(1)).alias("total_records"),

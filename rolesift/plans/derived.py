@@ -90,7 +90,7 @@ MANY_PROFILES = (
 
 MODEL_RESULTS = """
 SELECT doc_id AS result_id,
-  CASE WHEN doc_id % 19 = 0 THEN substr(text, 1, 200)
+  CASE WHEN doc_id % 19 = 0 THEN text
     ELSE concat(CASE WHEN doc_id % 2 = 0 THEN 'Here it is: ' ELSE '' END,
       '{{"fit_score": ', (doc_id * 13) % 140 - 20,
       CASE doc_id % 4 WHEN 0 THEN ', "fit_label": "Weird"' WHEN 1 THEN ', "fit_label": "Good Match"' ELSE '' END,
@@ -102,17 +102,8 @@ FROM {documents}
 """
 
 
-# The driver writes each table as one row group, which only one task can scan.
-SPREAD = ["events", "orders", "pages", "documents", "part", "customer"]
-
-
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; a growing one spread out if it comes in few splits."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _derive(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:

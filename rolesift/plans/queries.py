@@ -208,7 +208,7 @@ def _(spark, sf):
 
 
 def _entity_observations(spark, sf):
-    return d.url_observations(spark, sf).withColumn("entity", urls.canonical(F.col("raw_url"))).filter("entity <> ''")
+    return d.url_observations(spark, sf).withColumn("entity", urls.canonical(F.col("raw_url")))
 
 
 @query("W3_discovery_state")
@@ -608,9 +608,17 @@ def _(spark, sf):
 def _(spark, sf):
     known = d.endpoints(spark, sf).filter("endpoint_id % 3 = 0")
     out = store.import_endpoints(d.companies(spark, sf), known, contract(spark, sf)).endpoints
-    return out.groupBy("ats_vendor", "extraction_method", "review_status").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("active").alias("active"), F.round(F.sum("confidence_score"), 4).alias("confidence")
-    ).fillna({"extraction_method": ""})
+    return out.select(
+        "company_id", "endpoint_url", "endpoint_id", "ats_vendor", F.coalesce("extraction_method", F.lit("")).alias("extraction_method"),
+        "review_status", "active", "confidence_score",
+    )
+
+
+@query("M5_imported_companies")
+def _(spark, sf):
+    known = d.endpoints(spark, sf).filter("endpoint_id % 3 = 0")
+    out = store.import_endpoints(d.companies(spark, sf), known, contract(spark, sf)).companies
+    return out.select("company_id", "name", "canonical_domain", F.coalesce("hq", F.lit("")).alias("hq"), F.coalesce("company_active", F.lit(-1)).alias("company_active"))
 
 
 @query("U3_registry_delta")
@@ -673,7 +681,7 @@ def _(spark, sf):
 
 @query("W9_latest_per_key")
 def _(spark, sf):
-    out = ranking.latest_per_key(d.url_observations(spark, sf).filter("raw_url <> ''"), ["profile_id", "provider"], [F.desc("run_id"), F.desc("obs_id")], 3)
+    out = ranking.latest_per_key(d.url_observations(spark, sf), ["profile_id", "provider"], [F.desc("run_id"), F.desc("obs_id")], 3)
     return out.select("profile_id", "provider", "run_id", "obs_id")
 
 
@@ -693,7 +701,7 @@ def _(spark, sf):
 @query("W13_new_per_tier")
 def _(spark, sf):
     seen = d.url_observations(spark, sf).withColumn("tier", (F.col("obs_id") % 6).cast("int"))
-    found = seen.withColumn("url", urls.canonical(F.col("raw_url"))).filter("url <> ''")
+    found = seen.withColumn("url", urls.canonical(F.col("raw_url")))
     return ranking.new_per_tier(found, "tier", "url")
 
 
@@ -992,13 +1000,6 @@ def _(spark, sf):
     )
 
 
-@query("J14_score_profiles_by_posting")
-def _(spark, sf):
-    rows = matching.fan_out(d.postings(spark, sf).filter("title <> ''"), range(5))
-    scored = matching.qualify(matching.with_profile(rows, d.profiles(spark, sf)))
-    return scored.select("posting_id", "profile_id", "score", "accepted")
-
-
 @query("A12_profile_scoreboard")
 def _(spark, sf):
     return metrics.profile_scoreboard(scored_results(spark, sf).withColumn("profile_id", (F.col("posting_id") % 5).cast("int")))

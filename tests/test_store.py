@@ -106,6 +106,35 @@ def test_url_match_within_the_batch(spark):
     assert (row.title, row.duplicate_key, row.seen_count) == ("u", "k2", 2)
 
 
+def test_a_key_goes_where_its_first_row_goes(spark):
+    removed = spark.createDataFrame([], "duplicate_key string")
+    now = F.lit(NOW).cast("timestamp")
+    start = store.upsert_postings(
+        empty_snapshot(spark), spark.createDataFrame([(0, "A", "t0", "https://a.com/u", "", "", "", "", "k0")], COLUMNS), removed, 1, now
+    ).snapshot
+    start = spark.createDataFrame(start.collect(), start.schema)
+    moved = [(1, "A", "t1", "https://a.com/u", "", "", "", "", "k1"), (2, "A", "t2", "https://a.com/v", "", "", "", "", "k1")]
+    result = store.upsert_postings(start, spark.createDataFrame(moved, COLUMNS), removed, 2, now)
+    (row,) = result.snapshot.collect()
+    assert (row.title, row.duplicate_key, row.seen_count) == ("t2", "k1", 3)
+    # The key comes before the URL: a new key's second row leaves the row that has its URL alone.
+    new_first = [(1, "A", "t1", "https://a.com/x", "", "", "", "", "k2"), (2, "A", "t2", "https://a.com/u", "", "", "", "", "k2")]
+    result = store.upsert_postings(start, spark.createDataFrame(new_first, COLUMNS), removed, 2, now)
+    assert sorted((r.duplicate_key, r.title, r.seen_count) for r in result.snapshot.collect()) == [("k0", "t0", 1), ("k2", "t2", 2)]
+
+
+def test_keys_stay_unique_when_keys_and_urls_are_mixed(spark):
+    removed = spark.createDataFrame([], "duplicate_key string")
+    snapshot = empty_snapshot(spark)
+    for run in (1, 2, 3):
+        rnd = random.Random(run)
+        rows = [(p, "A", f"t{p}", f"https://a.com/{rnd.randrange(12)}", "", "", "", "", f"k{rnd.randrange(12)}") for p in range(40)]
+        result = store.upsert_postings(snapshot, spark.createDataFrame(rows, COLUMNS), removed, run, F.lit(NOW).cast("timestamp"))
+        snapshot = spark.createDataFrame(result.snapshot.collect(), result.snapshot.schema)
+        entities = result.outcomes.groupBy("duplicate_key").agg(F.count_distinct("job_id").alias("n"))
+        assert entities.filter("n > 1").count() == 0
+
+
 def test_removed_rows_become_tombstones(spark):
     snapshot = spark.createDataFrame(
         [(1, "k1", "a", "t", "l", "u"), (2, "k2", "b", "t", "l", "u")],
