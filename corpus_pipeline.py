@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rolesift.llm import leaks, near, packing, quality, secrets
-from rolesift.llm.common import shared_dir, table
+from rolesift.llm.common import shared_dir, shipped, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    shipped(spark)
     groups = near.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
     return docs.join(groups.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
@@ -29,11 +30,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in the text masked."""
+    shipped(spark)
     return secrets.redacted(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 2048 tokens."""
+    shipped(spark)
     return packing.packed(docs)
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,19 @@ WHITE = " \t\n\x0b\x0c\r"
 WHITE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once for each context, as ``--py-files`` would."""
+    if getattr(spark.sparkContext, "_rolesift_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="rolesift-")) / "rolesift_package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(at))
+    spark.sparkContext._rolesift_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Named columns of one table; nothing else of it is read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import extract, leaks, near, packing, preference, quality, repeats, secrets, toxicity, urls
-from .common import table
+from .common import shipped, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,17 +68,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def _on_executors(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shipped(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity": op1_toxicity,
-    "op2_benchmark_leaks": op2_benchmark_leaks,
-    "op3_url_filter": op3_url_filter,
-    "op4_quality_rules": op4_quality_rules,
-    "op5_near_duplicates": op5_near_duplicates,
-    "op6_preference_pairs": op6_preference_pairs,
-    "op7_repeated_passages": op7_repeated_passages,
-    "op8_html_extraction": op8_html_extraction,
-    "op9_secret_scan": op9_secret_scan,
-    "op10_best_fit_packing": op10_best_fit_packing,
+    "op1_toxicity": _on_executors(op1_toxicity),
+    "op2_benchmark_leaks": _on_executors(op2_benchmark_leaks),
+    "op3_url_filter": _on_executors(op3_url_filter),
+    "op4_quality_rules": _on_executors(op4_quality_rules),
+    "op5_near_duplicates": _on_executors(op5_near_duplicates),
+    "op6_preference_pairs": _on_executors(op6_preference_pairs),
+    "op7_repeated_passages": _on_executors(op7_repeated_passages),
+    "op8_html_extraction": _on_executors(op8_html_extraction),
+    "op9_secret_scan": _on_executors(op9_secret_scan),
+    "op10_best_fit_packing": _on_executors(op10_best_fit_packing),
 }
 
 #: The same results as SQL; what SQL cannot express is tested by brute force in tests/llm.
