@@ -354,66 +354,71 @@ PLACE_SHAPES = [
 
 def tidy(c: Column) -> Column:
     """A location candidate without label, tail and edge marks."""
-    text = F.trim(squeeze(clean(c, False)), F.lit(" -|,"))
-    bare = strip(F.regexp_replace(text, r"(?i)^(location|locations)\s*[:\-]?\s*", ""))
-    bare = strip(F.regexp_replace(bare, r"\s*\|\s*.*$", ""))
-    return F.when(F.lower(text).isin(*LABEL_ONLY), F.lit("")).otherwise(bare)
+
+    def bare(text: Column) -> Column:
+        rest = strip(F.regexp_replace(text, r"(?i)^(location|locations)\s*[:\-]?\s*", ""))
+        rest = strip(F.regexp_replace(rest, r"\s*\|\s*.*$", ""))
+        return F.when(F.lower(text).isin(*LABEL_ONLY), F.lit("")).otherwise(rest)
+
+    return let(F.trim(squeeze(clean(c, False)), F.lit(" -|,")), bare)
 
 
 def looks_like_place(c: Column) -> Column:
-    text = tidy(c)
-    low = F.lower(text)
-    shape = F.lit(False)
-    for pattern in PLACE_SHAPES:
-        shape = shape | text.rlike(pattern)
     codes = F.array(*[F.lit(s) for s in STATE_CODES.values()])
-    return (text != "") & (
-        low.contains("remote")
-        | contains_any(low, METRO_CITIES)
-        | shape
-        | F.arrays_overlap(F.split(low, r"[\s,/-]+"), codes)
-    )
+
+    def test(s: Column) -> Column:
+        text, low = s["text"], s["low"]
+        shape = F.lit(False)
+        for pattern in PLACE_SHAPES:
+            shape = shape | text.rlike(pattern)
+        return (text != "") & (
+            low.contains("remote")
+            | contains_any(low, METRO_CITIES)
+            | shape
+            | F.arrays_overlap(F.split(low, r"[\s,/-]+"), codes)
+        )
+
+    return let(tidy(c), lambda text: let(F.struct(text.alias("text"), F.lower(text).alias("low")), test))
 
 
 def _city_state(text: Column, pattern: str) -> Column:
-    city = strip(F.regexp_extract(text, pattern, 1))
-    state = strip(F.regexp_extract(text, pattern, 2))
-    return F.when(city != "", F.concat(city, F.lit(", "), state))
+    """City and state of the first match; the text is searched once."""
+    part = lambda found, k: strip(F.regexp_extract(found, pattern, k))
+    return let(F.regexp_extract(text, pattern, 0), lambda found: F.when(found != "", F.concat(part(found, 1), F.lit(", "), part(found, 2))))
 
 
 def infer(text: Column) -> Column:
     """A location read from running page text, 'Unknown' when none shows."""
-    low = F.lower(text)
-    hybrid = contains_any(low, HYBRID_TEXT_MARKERS)
-    upper_state = lambda p: F.regexp_replace(
-        _city_state(text, p), r", [A-Za-z]{2}$", ""
-    )
-    stated = [
-        F.when(_city_state(text, p).isNotNull(), F.concat(upper_state(p), F.lit(", "), F.upper(F.regexp_extract(text, p, 2))))
-        for p in HYBRID_PLACE_PATTERNS
-    ]
-    comma, dash = _city_state(text, CITY_COMMA_STATE), _city_state(text, CITY_DASH_STATE)
-    metro = F.coalesce(*[F.when(low.contains(m), F.lit(m.title())) for m in METRO_CITIES])
-    return F.coalesce(
-        *[F.when(hybrid, s) for s in stated],
-        F.when(hybrid, comma),
-        F.when(hybrid, dash),
-        F.when(low.contains("remote") & low.contains("united states"), F.lit("Remote, United States")),
-        F.when(low.contains("remote"), F.lit("Remote")),
-        comma,
-        dash,
-        metro,
-        F.lit("Unknown"),
-    )
+
+    def read(s: Column) -> Column:
+        text, low = s["text"], s["low"]
+        upper = lambda c: F.concat(F.substring_index(c, ", ", 1), F.lit(", "), F.upper(F.substring_index(c, ", ", -1)))
+        comma, dash = _city_state(text, CITY_COMMA_STATE), _city_state(text, CITY_DASH_STATE)
+        metro = F.coalesce(*[F.when(low.contains(m), F.lit(m.title())) for m in METRO_CITIES])
+        return F.coalesce(
+            F.when(
+                contains_any(low, HYBRID_TEXT_MARKERS),
+                F.coalesce(*[let(_city_state(text, p), upper) for p in HYBRID_PLACE_PATTERNS], comma, dash),
+            ),
+            F.when(low.contains("remote") & low.contains("united states"), F.lit("Remote, United States")),
+            F.when(low.contains("remote"), F.lit("Remote")),
+            comma,
+            dash,
+            metro,
+            F.lit("Unknown"),
+        )
+
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), read)
 
 
 def remote_type(location: Column, text: Column | None = None) -> Column:
     low = F.lower(location if text is None else F.concat_ws(" ", location, text))
-    return (
-        F.when(contains_any(low, HYBRID_MARKERS), F.lit("Hybrid"))
-        .when(low.contains("remote"), F.lit("Fully Remote"))
-        .when(contains_any(F.lower(location), METRO_CITIES), F.lit("Dallas / DFW"))
-        .otherwise(F.lit("Other"))
+    return let(
+        F.struct(low.alias("low"), F.lower(location).alias("place")),
+        lambda s: F.when(contains_any(s["low"], HYBRID_MARKERS), F.lit("Hybrid"))
+        .when(s["low"].contains("remote"), F.lit("Fully Remote"))
+        .when(contains_any(s["place"], METRO_CITIES), F.lit("Dallas / DFW"))
+        .otherwise(F.lit("Other")),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -35,6 +35,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(rows: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """The rows with new columns, worked out once each whatever uses them later.
+
+    The optimizer writes a column's expression out wherever a later step names
+    it; through ``let`` it cannot.
+    """
+    packed = rows.withColumn("_bound", let(F.struct(*[c.alias(k) for k, c in new.items()]), lambda s: s))
+    return packed.withColumns({k: F.col(f"_bound.{k}") for k in new}).drop("_bound")
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WHITESPACE))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import companies, markup, pay, places, titles, trust, urls
-from ..functions.text import clean, contains_any, let, norm_plain, strip
+from ..functions.text import bound, clean, contains_any, let, norm_plain, strip
 from .gates import PREFERRED_HOSTS, SENIOR_TITLE_PARTS, is_detail_url, is_gateway_host, is_preferred_host
 from .matching import match_seed_place, match_seed_title
 from .ordered import top_n
@@ -101,19 +101,20 @@ def expired_pages(pages: DataFrame) -> DataFrame:
     """
     text = F.lower(markup.text_of(F.col("html")))
     title = F.lower(markup.tag_text(F.col("html"), "title"))
-    staged = pages.withColumns({"_text": text, "_title": title})
-    phrase = F.coalesce(
-        *[F.when(F.col("_text").contains(p) | F.col("_title").contains(p), F.lit(p)) for p in EXPIRED_PHRASES]
-    )
-    support = contains_any(F.col("_text"), EXPIRED_SUPPORT) | contains_any(F.col("_title"), ["404", "not found"])
-    reason = F.when(support, phrase)
+
+    def said(s: Column) -> Column:
+        phrase = F.coalesce(*[F.when(s["text"].contains(p) | s["title"].contains(p), F.lit(p)) for p in EXPIRED_PHRASES])
+        support = contains_any(s["text"], EXPIRED_SUPPORT) | contains_any(s["title"], ["404", "not found"])
+        return F.when(support, phrase)
+
+    # A filter on the reason is pushed down whole; inside ``let`` it cleans the page once.
+    reason = let(F.struct(text.alias("text"), title.alias("title")), said)
     if "status" in pages.columns:
         gone = (F.col("status") == 404) & urls.on_any_host(urls.host(F.col("url")), urls.VENDOR_HOSTS)
         reason = F.coalesce(F.when(gone, F.lit("http_404")), reason)
     return (
-        staged.withColumn("expired_reason", F.coalesce(reason, F.lit("")))
+        pages.withColumn("expired_reason", F.coalesce(reason, F.lit("")))
         .withColumn("expired", F.col("expired_reason") != "")
-        .drop("_text", "_title")
     )
 
 
@@ -168,7 +169,8 @@ def extract_page_fields(pages: DataFrame) -> DataFrame:
     The page's markup is read here and not carried on.
     """
     html = F.col("html")
-    staged = pages.withColumns(
+    staged = bound(
+        pages,
         {
             "text": markup.text_of(html),
             "_lines": markup.lines_of(html),
@@ -176,7 +178,7 @@ def extract_page_fields(pages: DataFrame) -> DataFrame:
             "_h1": markup.tag_text(html, "h1"),
             "_title": markup.tag_text(html, "title"),
             "_slug": slug_fields(F.col("url")),
-        }
+        },
     )
     blank = F.lit("")
     some = lambda c: F.nullif(c, blank)
@@ -220,7 +222,7 @@ def extract_page_fields(pages: DataFrame) -> DataFrame:
     names = F.transform(F.concat(ld_firms, site, pieces), companies.tidy)
     company = F.coalesce(F.get(F.filter(names, lambda n: ~companies.is_generic(n)), F.lit(0)), blank)
     hidden = [c for c in staged.columns if c.startswith("_")]
-    return staged.withColumns({"title": title, "page_location": location, "page_company": company}).drop(*hidden, "html")
+    return bound(staged, {"title": title, "page_location": location, "page_company": company}).drop(*hidden, "html")
 
 
 # Families that count as a strong title.
@@ -234,7 +236,7 @@ def rough_fit(rows: DataFrame) -> DataFrame:
     """
     low = F.lower("text")
     kind = places.remote_type(F.col("location"), F.col("text"))
-    staged = rows.withColumns({"_low": low, "_kind": kind})
+    staged = bound(rows, {"_low": low, "_kind": kind})
     strong = F.col("role_family").isin(*STRONG_FAMILIES)
     ai = contains_any(F.col("_low"), ["ai", "artificial intelligence"])
     lead = contains_any(F.col("_low"), ["vice president", "chief", "head of"])
@@ -283,7 +285,8 @@ def build_postings(pages: DataFrame) -> DataFrame:
     """One parsed record per live page (expired ones are left out)."""
     live = expired_pages(pages).filter(~F.col("expired")).drop("expired", "expired_reason")
     fields = extract_page_fields(live)
-    named = fields.withColumns(
+    named = bound(
+        fields,
         {
             "job_posting_url": F.col("url"),
             "company": companies.choose(F.col("page_company"), companies.from_host(F.col("url")), F.col("url")),
@@ -294,7 +297,7 @@ def build_postings(pages: DataFrame) -> DataFrame:
             "role_family": titles.role_family(F.col("title")),
             "normalized_title": titles.normalized_title(F.col("title")),
             "compensation_raw": pay.raw(F.col("text")),
-        }
+        },
     )
     scored = rough_fit(named)
     good_title = F.length("normalized_title") > 3
