@@ -117,7 +117,9 @@ def skip_known(batch: DataFrame, known: Sequence[DataFrame], key: str) -> DataFr
     for side in known:
         side = side.select(key).filter(F.col(key) != "")
         keys = side if keys is None else keys.union(side)
-    return batch.join(keys.distinct(), key, "left_anti")
+    keyed = F.coalesce(F.col(key) != "", F.lit(False))
+    # Blank keys are known to nobody and would meet in one task of the join.
+    return batch.filter(keyed).join(keys.distinct(), key, "left_anti").unionByName(batch.filter(~keyed))
 
 
 def merge_providers(
@@ -140,5 +142,5 @@ def seed_attribution(accepted: DataFrame, seeds: DataFrame, url: str = "job_post
         seeds.select(key(url).alias("_seed")).filter(F.col("_seed") != "").distinct().withColumn("_s", F.lit(True))
     )
     own = accepted.withColumn("_seed", F.lower(clean(F.col(url))))
-    joined = own.join(seeded, "_seed", "left")
-    return joined.withColumn("seeded", F.coalesce(F.col("_s"), F.lit(False))).drop("_s", "_seed")
+    joined = own.filter("_seed <> ''").join(seeded, "_seed", "left").withColumn("seeded", F.coalesce(F.col("_s"), F.lit(False))).drop("_s")
+    return joined.unionByName(own.filter("_seed = ''").withColumn("seeded", F.lit(False))).drop("_seed")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import notes, trust, urls
 from ..functions.text import clean, first_number, or_default
@@ -38,9 +39,9 @@ def reason_summary(gated: DataFrame, pos: str, detail: str, reason: str = "reaso
         .agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("first_pos"), F.min_by(detail, shown).alias("example"))
     )
     # One row per reason: the total over them is a small window.
-    total = counts.agg(F.sum("n").alias("total"))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
     ranked = counts.orderBy(F.desc("n"), F.asc("first_pos")).limit(top)
-    return ranked.join(total, F.lit(True)).withColumn("example", F.coalesce("example", F.lit("")))
+    return ranked.withColumn("example", F.coalesce("example", F.lit("")))
 
 
 def tier_samples(rejected: DataFrame, tier: str, reason: str, pos: str, samples: int = 5) -> DataFrame:

@@ -75,7 +75,10 @@ def resolve_gateways(observations: DataFrame, pages: DataFrame, url: str = "raw_
     crawled = per_page.select("_light").distinct().withColumn("_crawled", F.lit(True))
 
     seen = observations.withColumn("_light", urls.light(F.col(url))).withColumn("_u", urls.parts(F.col("_light")))
-    joined = seen.join(crawled.join(first, "_light", "left"), "_light", "left")
+    found = crawled.join(first, "_light", "left")
+    # Blank URLs have no page and would meet in one task of the join.
+    blank = seen.filter("_light = ''").withColumns({"_crawled": F.lit(None).cast("boolean"), "_target": F.lit(None).cast("string")})
+    joined = seen.filter("_light <> ''").join(found, "_light", "left").unionByName(blank)
     u = F.col("_u")
     reason = (
         F.when(F.col("_light") == "", F.lit("blank"))

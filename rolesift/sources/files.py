@@ -34,11 +34,10 @@ def read_url_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("pos"),
         strip(F.col("value")).alias("url"),
     )
-    return lines.filter((F.col("url") != "") & ~F.col("url").startswith("#")).drop("_block")
+    return lines.filter((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
 def read_endpoint_contract(spark: SparkSession, path: str, version: str = CONTRACT_VERSION) -> DataFrame:
