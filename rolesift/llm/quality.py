@@ -104,7 +104,8 @@ def transformed() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return [
         F.log1p(F.col("n_words").cast("double")).alias("x_words"),
-        F.log1p(F.col("word_chars") / n).alias("x_length"),
+        # Ten words of five letters are added: the mean of a few words says little.
+        F.log1p((F.col("word_chars") + 50) / (n + 10)).alias("x_length"),
         F.log1p(F.col("n_symbols") / n).alias("x_symbols"),
         (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))).alias("x_lines"),
         (F.col("n_repeat_words") / n).alias("x_repeats"),

@@ -34,13 +34,14 @@ def expected(rows, width, percent=80):
     return {k: (len(own[k]), find(k), find(k) == k) for k in own}
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_components_match_brute_force(docs, rows, width):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(docs, width).collect()}
+@pytest.mark.parametrize("width,block", [(2, 3), (5, 2000)])
+def test_components_match_brute_force(docs, rows, width, block):
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(docs, width, block=block).collect()}
     assert got == expected(rows, width)
 
 
-def test_pivot_far_from_a_group_does_not_hide_its_links(spark):
+@pytest.mark.parametrize("block", [2000, 4])
+def test_pivot_far_from_a_group_does_not_hide_its_links(spark, block):
     rng = random.Random(2)
     words = prose(rng, 200, 5000).split()
     rows = []
@@ -49,7 +50,7 @@ def test_pivot_far_from_a_group_does_not_hide_its_links(spark):
         for j in range(11 if k else 0):
             w[(k // 2 * 13 + j * 17) % 200] = f"p{k // 2}x{j}"
         rows.append((k, " ".join(w), None, None, 0, "", "", 0, 0, 0.0))
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(spark.createDataFrame(rows, SCHEMA), 2, block=block).collect()}
     assert got == expected(rows, 2)
 
 
