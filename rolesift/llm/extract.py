@@ -3,9 +3,10 @@
 Every element of a page gets features: text and link density of its subtree,
 depth, place among its siblings, tag and attribute words, and the same of its
 parent. Boosted trees give the probability that it belongs to the article or
-leads to it, given that its parent does. Decoding picks the most likely labelling
-in which a dropped element has no kept descendant, by one pass up and one down
-the tree; the text of the kept elements is the result.
+leads to it, given that its parent does. Decoding goes down the tree with these
+conditional probabilities, so a dropped element never has a kept descendant nor a
+kept one a dropped ancestor; the text of the kept elements is the result. (The
+jointly likeliest labelling would charge long articles for their many elements.)
 
 Training pages are made from a bounded sample of the pages: the part under an
 ``article`` or ``main`` element, or else the densest block, is set into new
@@ -186,15 +187,11 @@ def features(nodes: list[Node]) -> np.ndarray:
 
 
 def decode(nodes: list[Node], p: np.ndarray) -> np.ndarray:
-    """The likeliest labels; ``p``: that an element is kept if its parent is. Under a dropped one all is dropped."""
-    keep, drop = np.log(p), np.log1p(-p)
-    below = np.zeros(len(nodes))  # of the best labels under a kept element
-    for k in range(len(nodes) - 1, 0, -1):
-        below[nodes[k].parent] += max(keep[k] + below[k], drop[k])
+    """Labels down the tree: kept if the parent is, and likelier than not given that (``p``)."""
     out = np.zeros(len(nodes), bool)
     out[0] = True
     for k in range(1, len(nodes)):
-        out[k] = out[nodes[k].parent] and keep[k] + below[k] > drop[k]
+        out[k] = out[nodes[k].parent] and p[k] > 0.5
     return out
 
 

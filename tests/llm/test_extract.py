@@ -51,19 +51,27 @@ def test_frames_are_dropped_under_other_names(spark):
     assert hits >= 32, (hits, len(want), len(got), len(forest))
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_decoding_is_the_likeliest_consistent_labelling(seed):
+@pytest.mark.parametrize("seed", range(10))
+def test_decoding_has_no_contradictions(seed):
     rng = random.Random(seed)
-    n = rng.randint(1, 11)
-    nodes = [extract.Node("div", "", -1, 0)] + [extract.Node("div", "", rng.randrange(k), 1) for k in range(1, n)]
-    p = np.array([rng.uniform(0.02, 0.98) for _ in range(n)])
-    best = None
-    for mask in range(1 << (n - 1)):
-        keep = [True] + [bool(mask >> k & 1) for k in range(n - 1)]
-        if all(keep[x.parent] or not keep[k] for k, x in enumerate(nodes) if k):
-            value = sum(np.log(p[k]) if keep[k] else np.log(1 - p[k]) for k, x in enumerate(nodes) if k and keep[x.parent])
-            best = max(best or (-1e9, None), (value, keep))
-    assert extract.decode(nodes, p).tolist() == best[1]
+    nodes = [extract.Node("div", "", -1, 0)] + [extract.Node("div", "", rng.randrange(k), 1) for k in range(1, 200)]
+    p = np.array([rng.uniform(0.02, 0.98) for _ in nodes])
+    kept = extract.decode(nodes, p)
+    for k, x in enumerate(nodes):
+        path = [k]
+        while nodes[path[-1]].parent >= 0:
+            path.append(nodes[path[-1]].parent)
+        assert kept[k] == all(p[j] > 0.5 for j in path[:-1])
+
+
+def test_long_articles_are_kept_whole(spark):
+    rng = random.Random(3)
+    rows = [(k, "u", page(k, rng)[0]) for k in range(40)]
+    body = "".join(f"<p>{prose(rng, 20)} <b>{prose(rng, 3)}</b></p>" for _ in range(500))
+    rows.append((99, "u", f"<html><body><nav><ul><li><a href='/'>{prose(rng, 2)}</a></li></ul></nav><article>{body}</article></body></html>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.extract(pages, extract.train(pages, n_trees=8)).collect()}
+    assert len(got[99].split()) == 500 * 23
 
 
 def test_empty_table(spark):
