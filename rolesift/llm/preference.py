@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import written
+
 END = "<|end|>\n"
 
 
@@ -38,14 +40,17 @@ def resampled(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     conversation whose id differs in the last bit; without such a turn on either
     side it has nothing there.
     """
-    chosen = numbered(turns)
+    chosen = written(numbered(turns))
     last = chosen.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("pos", "text")).alias("x"))
     last = last.select("conv_id", F.col("x.pos").alias("last"), F.col("x.text").alias("answer"))
-    own = chosen.join(last.select("conv_id", "last"), "conv_id", "left").where("last is null or pos < last").drop("last")
-    partner = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "answer")
-    other = last.drop("answer").join(partner, "conv_id")
-    other = other.select("conv_id", F.col("last").alias("pos"), F.lit("assistant").alias("role"), F.col("answer").alias("text"))
-    return chosen, own.unionByName(other)
+    partner = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "answer", F.lit(True).alias("known"))
+    rows = chosen.join(last.drop("answer"), "conv_id", "left").join(partner, "conv_id", "left")
+    swapped = F.coalesce(F.col("pos") == F.col("last"), F.lit(False))
+    rejected = rows.where("last is null or pos < last or (pos = last and known)").select(
+        "conv_id", "pos", F.when(swapped, "assistant").otherwise(F.col("role")).alias("role"),
+        F.when(swapped, F.col("answer")).otherwise(F.col("text")).alias("text"),
+    )
+    return chosen, rejected
 
 
 def _rendered(role: Column, text: Column) -> Column:
@@ -73,7 +78,8 @@ def pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     Both sides: conv_id, pos (distinct in a conversation), role, text.
     """
     side = lambda df, s: df.select("conv_id", "pos", "role", "text", F.lit(s).alias("side"))
-    both = side(chosen, "c").unionByName(side(rejected, "r"))
+    # Written first: a union of two inputs that are both dealt by conv_id fails when one is dealt anew at run time.
+    both = written(side(chosen, "c")).unionByName(written(side(rejected, "r")))
     turn = F.struct("role", "text")
     same = both.groupBy("conv_id", "pos").agg(((F.count(F.lit(1)) == 2) & F.min(turn).eqNullSafe(F.max(turn))).alias("same"))
     common = same.groupBy("conv_id").agg(F.min(F.when(~F.col("same"), F.col("pos"))).alias("first"), F.count(F.lit(1)).alias("n"))
