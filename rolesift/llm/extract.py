@@ -15,8 +15,9 @@ footers under changing tags and class names, or none; their labels are known
 because the frames are made here.
 
 Defined results: null and empty pages have empty text; script, style and similar
-elements and comments never count; text outside any element is text of the
-body; repeated rows are extracted each; a sample without pages gives
+elements and comments never count, a self-closed svg ends at once; text outside
+any element is text of the body; an open head ends at text or at an element that
+cannot stand in it; repeated rows are extracted each; a sample without pages gives
 a model that keeps all that is no boilerplate by its tag. Other columns are not
 read. Pages are parsed whole, in Arrow batches, with nothing shuffled.
 """
@@ -38,12 +39,15 @@ from .common import written
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"""|<svg(?=[\s/>])(?:[^>"']++|"[^"]*"|'[^']*')*+(?<=/)>"""
+    r"|<(script|style|noscript|template|iframe|svg|textarea|select)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Elements that can stand in head; any other ends it.
+IN_HEAD = set("base basefont bgsound head link meta noframes title".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; all others end a block.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
@@ -86,6 +90,8 @@ def parse(page: str) -> list[Node]:
 
     def text(s: str) -> None:
         if s:
+            if nodes[open_[-1]].tag == "head" and not s.isspace():
+                open_.pop()
             nodes[open_[-1]].kids.append(html.unescape(s) if "&" in s else s)
 
     for m in TOKEN.finditer(page):
@@ -118,6 +124,8 @@ def parse(page: str) -> list[Node]:
                     continue
                 if t in HOLDS.get(tag, ()) or (t not in INLINE and tag not in CLOSES):
                     break
+        if nodes[open_[-1]].tag == "head" and tag not in IN_HEAD:
+            open_.pop()
         parent = open_[-1]
         nodes.append(Node(tag, m[4] or "", parent, nodes[parent].depth + 1))
         nodes[parent].kids.append(len(nodes) - 1)

@@ -51,6 +51,24 @@ def test_frames_are_dropped_under_other_names(spark):
     assert hits >= 32, (hits, len(want), len(got), len(forest))
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<article><svg-icon name="x"></svg-icon><p>All of the article.</p></article>',
+        '<article><select-box></select-box><template-card /><p>All of the article.</p></article>',
+        '<article><svg viewBox="0 0 1 1"/><p>All of the article.</p></article>',
+        '<article><svg/><svg title="a>b" /><p>All of the article.</p></article><svg></svg>',
+        "<article><svg><title>no</title></svg><p>All of the article.</p></article>",
+        "<html><head><title>T <b>no</b></title><meta charset=utf-8><script>no</script><article><p>All of the article.</p></article>",
+        "<head><title>T</title>\n<p>All of the article.</p>",
+        "<head><title>T</title>All of <i>the</i> article.",
+        "<head><title>T</title></head><body><p>All of the article.</p></body>",
+    ],
+)
+def test_pages_that_leave_out_tags_keep_their_text(html):
+    assert extract.text_of([html], None) == ["All of the article."]
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_decoding_has_no_contradictions(seed):
     rng = random.Random(seed)
