@@ -4,7 +4,7 @@ Language costs a byte-pair vocabulary few tokens for its length; random strings
 cost many. Runs of key characters are encoded with a tiktoken vocabulary, and a
 run with fewer than ``ratio`` characters per token is reported as kind
 ``token``, unless it is a known digest or identifier: hexadecimal digests of
-the usual lengths, UUIDs, plain numbers, dates, or a run of one letter case
+the usual lengths, UUIDs, plain numbers, dates, a capitalised word, or a run of one letter case
 without digits. Runs that a fixed pattern has reported are not tested again.
 
 Each text is scanned whole and on its own, in Arrow batches; nothing is
@@ -31,16 +31,13 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Runs that the token-efficiency test looks at.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 IDENTIFIER = re.compile(
-    r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}"  # UUID
+    r"(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})"  # UUID
     r"|[0-9+/_=-]+"  # numbers, dates, rulers
-    r"|[a-z+/_=-]+|[A-Z+/_=-]+|[A-Z][a-z]+"  # one case, no digit
-    r"|(?:[A-Za-z]+[/_-])*[A-Za-z]+(?:[/_-]?[0-9]{1,8})?",  # names with a number at the end
-    re.I,
+    r"|[a-z+/_=-]+|[A-Z+/_=-]+|[A-Z][a-z]+"  # one case or a capitalised word, no digit
 )
-CASES = re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[0-9]")
 #: Characters per token under which a run counts as random.
 RATIO = 2.0
 
@@ -62,7 +59,7 @@ def _encoding(path: str):
 
 
 def random_run(run: str, path: str, ratio: float = RATIO) -> bool:
-    """Digits and both cases, or digits among letters, at few characters a token."""
+    """No digest or identifier, and few characters a token."""
     if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
         return False
     return len(run) < ratio * len(_encoding(path).encode_ordinary(run))
@@ -85,7 +82,7 @@ def all_spans(text: str, path: str, ratio: float = RATIO) -> tuple[list, list]:
     more = [
         (m.start(), 3, m.end())
         for m in RUN.finditer(text)
-        if CASES[2].search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base) and random_run(m[0], path, ratio)
+        if not any(s < m.end() and m.start() < e for s, _, e in base) and random_run(m[0], path, ratio)
     ]
     return base, sorted(base + more) if more else base
 

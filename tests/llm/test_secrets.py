@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 
 from rolesift.llm import secrets
 
@@ -28,5 +30,20 @@ def test_spans(spark):
     assert clean[12].text == "é😀 [secret] é" and clean[0].text is None and clean[3].text == TEXTS[3]
 
 
+def test_random_keys_without_inner_digits_are_found():
+    rng, path = random.Random(0), secrets.default_vocabulary()
+    letters = ["".join(rng.choices(string.ascii_letters, k=n)) for n in (12, 16, 20, 32) for _ in range(200)]
+    ends = [k[:-4] + "".join(rng.choices(string.digits, k=4)) for k in letters]
+    for keys in (letters, ends):
+        found = [secrets.all_spans(f"a {k} b", path)[1] == [(2, 3, 2 + len(k))] for k in keys]
+        assert sum(found) >= 0.97 * len(keys)
+
+
+def test_names_are_no_keys():
+    path = secrets.default_vocabulary()
+    for name in ("getElementsByClassName", "International-Organisation", "chapter-twelve-section-12", "internationalization2024", "QWZXKVJPQWZXKVJPQW"):
+        assert not secrets.all_spans(f"a {name} b", path)[1], name
+
+
 def test_empty_table(no_docs):
     assert secrets.scan(no_docs).count() == 0 and secrets.redacted(no_docs).columns == no_docs.columns
