@@ -1,10 +1,10 @@
 """Benchmark decontamination: SimHash windows, multi-index blocks, exact check.
 
 For every benchmark item of L words the L-word windows of a document are
-compared with it. A window can reach the threshold only if it shares a shingle
-with the item, so windows are cut where a document shingle occurs in the
-benchmark, at the starts that line the two up; all others have similarity 0 or
-are shifts of these. Each window and each item gets a 64-bit SimHash of its
+compared with it. The similarity is at most the part of the item's shingles that
+the window shares, so all windows are cut, at any start and in any order of their
+words, that hold so many places with a shingle of items of that size as the
+threshold asks; all others stay under it. Each window and each item gets a 64-bit SimHash of its
 words. The fingerprints are cut into eight blocks: two that differ in at most 15
 bits differ in at most one bit in some block, so items are listed under each
 block value and its one-bit neighbours, and every pair within the radius meets.
@@ -80,6 +80,21 @@ def _probes(near: bool) -> Column:
     )
 
 
+def _starts(at: str, most: Column, percent: int) -> Column:
+    """Starts of all windows of ``most`` shingles that hold at least ``percent`` in a hundred as many places of the sorted array ``at``.
+
+    The window has k places if it holds some i-th to (i + k - 1)-th; those that
+    held the (i - 1)-th to (i + k - 2)-th too are listed there.
+    """
+    k = F.ceil(most * percent / 100).cast("int")
+
+    def new(i: Column) -> Column:
+        low = F.greatest(F.get(at, i + k - 1) - most + 1, F.coalesce(F.get(at, i - 1), F.lit(-1)) + 1)
+        return F.when(low <= F.get(at, i), F.sequence(low, F.get(at, i))).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(at) >= k, F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - k), new))).otherwise(F.array().cast("array<int>"))
+
+
 def leaks(
     docs: DataFrame, bench: DataFrame, percent: int = 80, width: int = WIDTH, radius: int = RADIUS, broadcast_rows: int = 2_000_000
 ) -> DataFrame:
@@ -88,18 +103,22 @@ def leaks(
         raise ValueError("blocks guarantee a radius under twice their number")
     items = bench.where("item_id is not null").groupBy("item_id").agg(F.min(F.lower("text")).alias("text"))
     items = written(items.select("item_id", words(F.col("text")).alias("w")).withColumn("size", F.size("w")).where(F.col("size") >= width))
-    spots = items.select("item_id", "size", "w", F.explode(F.sequence(F.lit(0), F.col("size") - width)).alias("o"))
-    spots = spots.select(_shingle("w", F.col("o"), width).alias("h"), "o", "size").groupBy("h").agg(F.collect_set(F.struct("o", "size")).alias("at"))
+    spots = items.select("size", "w", F.explode(F.sequence(F.lit(0), F.col("size") - width)).alias("o"))
+    spots = spots.select(_shingle("w", F.col("o"), width).alias("h"), "size").groupBy("h").agg(F.collect_set("size").alias("sizes"))
     spots = written(spots)
     if spots.count() <= broadcast_rows:
         spots = F.broadcast(spots)
 
-    base = docs.where("doc_id is not null").select("doc_id", words(F.lower("text")).alias("w"))
-    hits = base.select("doc_id", "w", F.posexplode("w").alias("p", "_x")).where(F.col("p") <= F.size("w") - width)
-    hits = hits.select("doc_id", "w", "p", _shingle("w", F.col("p"), width).alias("h")).join(spots, "h")
-    cut = hits.select("doc_id", "w", "p", F.explode("at").alias("at")).select(
-        "doc_id", F.greatest(F.col("p") - F.col("at.o"), F.lit(0)).alias("start"), F.col("at.size").alias("size"), "w"
-    )
+    # Two texts under one id are two documents here; equal rows are one.
+    base = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), words(F.lower("text")).alias("w"))
+    hits = base.select("doc_id", "t", "w", F.posexplode("w").alias("p", "_x")).where(F.col("p") <= F.size("w") - width)
+    hits = hits.select("doc_id", "t", "p", _shingle("w", F.col("p"), width).alias("h")).join(spots, "h")
+    hits = hits.select("doc_id", "t", "p", F.explode("sizes").alias("size"))
+    found = hits.groupBy("doc_id", "t", "size").agg(F.sort_array(F.collect_set("p")).alias("at"))
+    found = written(found.withColumn("starts", _starts("at", F.col("size") - width + 1, percent)).where(F.size("starts") > 0).drop("at"))
+    if found.count() <= broadcast_rows:
+        found = F.broadcast(found)
+    cut = base.join(found, ["doc_id", "t"]).select("doc_id", "size", "w", F.explode("starts").alias("start"))
     windows = cut.select("doc_id", "start", "size", F.array_join(F.slice("w", F.col("start") + 1, F.col("size")), " ").alias("text"))
     windows = written(windows.groupBy("doc_id", "size", "text").agg(F.min("start").alias("start")))
 

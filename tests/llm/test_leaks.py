@@ -50,6 +50,27 @@ def test_leaks_match_brute_force_over_all_windows(spark):
     assert kept == {r[0] for r in rows} - {k for k, _ in want}
 
 
+def test_swapped_and_moved_parts_match_brute_force(spark):
+    rng = random.Random(8)
+    bench = [(k, prose(rng, rng.randint(40, 70), 5000)) for k in range(6)] + [(50, "the of " * 20)]
+    rows = []
+    for k in range(36):
+        item = bench[k % 6][1].split()
+        half, third = len(item) // 2, len(item) // 3
+        item = [item[half:] + item[:half], item[third:] + item[:third], item[:third] + item[2 * third :] + item[third : 2 * third]][k % 3]
+        text = " ".join(item) if k % 4 == 0 else f"{prose(rng, 30)} {' '.join(item)} {prose(rng, k % 7)}"
+        rows.append((k, text, None, None, 0, "", "", 0, 0, 0.0))
+    rows += [(k, prose(rng, 90), *rows[0][2:]) for k in (3, 70)] + [(80, "of the " * 50, *rows[0][2:])]
+    want = {}
+    for r in rows:
+        want |= {k: max(v, want.get(k, 0)) for k, v in expected([r], bench).items()}
+    assert len(want) > 20
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.leaks(spark.createDataFrame(rows, SCHEMA), items).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_plan_has_no_python_and_no_pairing(docs, spark):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     plan = leaks.leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
