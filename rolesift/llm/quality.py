@@ -2,9 +2,12 @@
 
 Every text gives five transformed statistics. For each (lang, source) group a
 minimum-covariance-determinant estimate of their mean and covariance is made:
-from coordinate medians, concentration steps keep the ``share`` of rows nearest
-to the current estimate and estimate again. A text is rejected when its squared
-Mahalanobis distance to its group is over the limit.
+from four deterministic starts (medians, shortest halves, and the correlations of
+bounded values and of spatial signs), concentration steps keep the nearest half
+of the rows, (n + p + 1) / 2 of n, and estimate again until the determinant
+stays. The start that ends at the least determinant counts; as usual, one last
+estimate is made from all rows within its 97.5 % limit. A text is rejected when
+its squared Mahalanobis distance to its group is over the limit.
 
 All steps are column expressions and grouped sums. Only the five numbers of a
 text are shuffled, summed before the exchange; the quantile of the distances is
@@ -19,6 +22,7 @@ added to every covariance, so the estimate is never singular.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -33,6 +37,8 @@ WINDOW = 5
 #: Standard deviation that every transformed statistic has at least.
 TOLERANCE = {"x_words": 0.5, "x_length": 0.05, "x_symbols": 0.05, "x_lines": 0.1, "x_repeats": 0.05}
 STATS = list(TOLERANCE)
+#: Part of normal rows within the limit of the last estimate.
+WITHIN = 0.975
 
 
 def counts(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -157,8 +163,8 @@ def _with_distance(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, total).drop(*[f"_y{i}" for i in range(len(STATS))])
 
 
-def _factored(groups: DataFrame) -> DataFrame:
-    """lang, source, m and the Cholesky factor c of columns ``s_i_j`` (one group each)."""
+def _factored(groups: DataFrame, *keep: str) -> DataFrame:
+    """lang, source, m, the Cholesky factor c of columns ``s_i_j`` (one row each) and the log determinant."""
     p = len(STATS)
     for i in range(p):
         for j in range(i + 1):
@@ -169,65 +175,139 @@ def _factored(groups: DataFrame) -> DataFrame:
             part = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"f_{j}_{j}")
             groups = groups.withColumn(f"f_{i}_{j}", part)
     cells = [F.col(f"f_{i}_{j}") if j <= i else F.lit(0.0) for i in range(p) for j in range(p)]
-    return groups.select("lang", "source", "m", F.array(*cells).alias("c"))
+    size = sum((2 * F.log(f"f_{i}_{i}") for i in range(p)), F.lit(0.0))
+    return groups.select("lang", "source", *keep, "m", F.array(*cells).alias("c"), size.alias("log_det"))
 
 
-def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, groups: DataFrame, how: str = "left") -> DataFrame:
     """Every row with the estimate of its group; null is a group like any other."""
     g = groups.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     return rows.join(
-        g, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
+        g, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), how
     ).drop("_lang", "_source")
 
 
-def estimates(rows: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """Location and factor of the scatter per (lang, source), by ``steps`` concentration steps.
+def _moments(widen: Column) -> list[Column]:
+    """Means m and widened covariances ``s_i_j`` of a group."""
+    return [F.array(*[F.avg(x) for x in STATS]).alias("m")] + [
+        (F.covar_pop(a, STATS[j]) * widen + (TOLERANCE[a] ** 2 if i == j else 0.0)).alias(f"s_{i}_{j}")
+        for i, a in enumerate(STATS)
+        for j in range(i + 1)
+    ]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """lang, source, start, n, m, c and log_det of four starting estimates per group.
 
-    ``rows``: a written table of lang, source and the five statistics.
+    0: medians and median absolute deviations. 1: centre and width of the
+    shortest half of each statistic. 2 and 3: the same with the correlations of
+    the hyperbolic tangents, and of the spatial signs, of the rows so scaled.
     """
     p = len(STATS)
-    q = chi2_quantile(share, p)
-    widen = share / chi2_cdf(q, p + 2)
-    # Start: coordinate medians and median absolute deviations.
-    medians = rows.groupBy("lang", "source").agg(F.array(*[F.percentile_approx(x, 0.5, 1000) for x in STATS]).alias("m"))
-    off = _joined(rows, medians)
-    spread = off.groupBy("lang", "source").agg(
-        F.first("m").alias("m"),
-        *[F.percentile_approx(F.abs(F.col(x) - F.get("m", F.lit(i))), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(STATS)],
+    at = [k / 100 for k in range(101)]
+    quantiles = rows.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, at, 1000).alias(f"q{i}") for i, x in enumerate(STATS)]
     )
-    for i, x in enumerate(STATS):
-        for j in range(i + 1):
-            spread = spread.withColumn(
-                f"s_{i}_{j}", F.pow(1.4826 * F.col(f"d{i}"), 2) + TOLERANCE[x] ** 2 if i == j else F.lit(0.0)
+
+    def half(q: str) -> Column:
+        return F.array_min(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(50)),
+                lambda k: F.struct((F.get(q, k + 50) - F.get(q, k)).alias("width"), F.get(q, k + 25).alias("centre")),
             )
-    groups = written(_factored(spread))
+        )
+
+    quantiles = written(
+        quantiles.select(
+            "lang", "source", "n", F.array(*[F.get(f"q{i}", F.lit(50)) for i in range(p)]).alias("m0"), F.array(*[half(f"q{i}") for i in range(p)]).alias("h")
+        ).select(
+            "lang", "source", "n", "m0", F.transform("h", lambda x: x["centre"]).alias("m1"),
+            F.array(*[F.sqrt(F.pow(F.get("h", F.lit(i))["width"] * 0.7413, 2) + TOLERANCE[x] ** 2) for i, x in enumerate(STATS)]).alias("e"),
+        )
+    )
+    scaled = _joined(rows, quantiles)
+    for i, x in enumerate(STATS):
+        scaled = scaled.withColumn(f"z{i}", (F.col(x) - F.get("m1", F.lit(i))) / F.get("e", F.lit(i)))
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)), F.lit(1e-12)))
+    scaled = scaled.withColumn("_r", length)
+    sums = written(
+        scaled.groupBy("lang", "source").agg(
+            *[F.first(x).alias(x) for x in ("n", "m0", "m1", "e")],
+            *[F.percentile_approx(F.abs(F.col(x) - F.get("m0", F.lit(i))), 0.5, 1000).alias(f"d{i}") for i, x in enumerate(STATS)],
+            *[F.covar_pop(F.tanh(f"z{i}"), F.tanh(f"z{j}")).alias(f"t_{i}_{j}") for i in range(p) for j in range(i + 1)],
+            *[F.avg(F.col(f"z{i}") * F.col(f"z{j}") / (F.col("_r") * F.col("_r"))).alias(f"v_{i}_{j}") for i in range(p) for j in range(i + 1)],
+        )
+    )
+
+    def one(number: int, m: str, scale, between) -> DataFrame:
+        cells = [
+            ((F.pow(scale(i), 2) if i == j else F.coalesce(between(i, j), F.lit(0.0)) * scale(i) * scale(j))).alias(f"s_{i}_{j}")
+            for i in range(p)
+            for j in range(i + 1)
+        ]
+        return sums.select("lang", "source", F.lit(number).alias("start"), "n", F.col(m).alias("m"), *cells)
+
+    def mad(i: int) -> Column:
+        return F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + TOLERANCE[STATS[i]] ** 2)
+
+    def width(i: int) -> Column:
+        return F.get("e", F.lit(i))
+
+    def ratio(name: str):
+        """Correlation from the sums of that name; constant statistics have none."""
+        both = lambda i, j: F.sqrt(F.col(f"{name}_{i}_{i}") * F.col(f"{name}_{j}_{j}"))
+        return lambda i, j: F.when(both(i, j) > 0, F.col(f"{name}_{i}_{j}") / both(i, j))
+
+    made = one(0, "m0", mad, lambda i, j: F.lit(0.0)).unionByName(one(1, "m1", width, lambda i, j: F.lit(0.0)))
+    made = made.unionByName(one(2, "m1", width, ratio("t"))).unionByName(one(3, "m1", width, ratio("v")))
+    return _factored(made, "start", "n")
+
+
+def estimates(rows: DataFrame, share: float = 0.5, steps: int = 40) -> DataFrame:
+    """Location and factor of the scatter per (lang, source): the minimum-covariance-determinant estimate.
+
+    ``rows``: a written table of lang, source and the five statistics. ``share``
+    is the least part that is kept, ``steps`` bounds the concentration steps.
+    """
+    p, parts = len(STATS), 200
+    # Kept part of a group of n rows, as a place in a table of limits and of consistency factors.
+    tabled = [k / parts for k in range(int(share * parts), parts + 1)]
+    factors = [x / chi2_cdf(chi2_quantile(x, p), p + 2) if x < 1 else 1.0 for x in tabled]
+    part = F.greatest(F.lit(share), F.least(F.lit(1.0), (F.col("n") + p + 1) / (2 * F.col("n"))))
+    place = F.least(F.lit(len(tabled) - 1), F.ceil(F.round((part - tabled[0]) * parts, 6)).cast("int"))
+    moving = written(starts(rows).withColumn("log_det", F.lit(1e300)).withColumn("place", place).drop("n"))
+    ended = []
     for _ in range(steps):
-        near = written(_with_distance(_joined(rows, groups), "d2").select("lang", "source", *STATS, "d2"))
-        limit = near.groupBy("lang", "source").agg(F.percentile_approx("d2", share, 1000).alias("_limit"))
-        limit = limit.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-        kept = near.join(
-            limit, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-        ).where("d2 <= _limit")
-        sums = kept.groupBy("lang", "source").agg(
-            F.array(*[F.avg(x) for x in STATS]).alias("m"),
-            *[
-                (
-                    F.covar_pop(a, STATS[j]) * widen + (TOLERANCE[a] ** 2 if i == j else 0.0)
-                ).alias(f"s_{i}_{j}")
-                for i, a in enumerate(STATS)
-                for j in range(i + 1)
-            ],
+        near = _with_distance(_joined(rows, moving, "inner"), "d2")
+        limits = near.groupBy("lang", "source", "start").agg(
+            *[F.first(x).alias(x) for x in ("m", "c", "place", "log_det")], F.percentile_approx("d2", tabled, 1000).alias("_at")
         )
-        groups = written(_factored(sums))
-    return groups
+        limits = written(limits.withColumn("_limit", F.get("_at", F.col("place"))).drop("_at"))
+        kept = _with_distance(_joined(rows, limits, "inner"), "d2").where("d2 <= _limit")
+        widen = F.get(F.array(*[F.lit(x) for x in factors]), F.first("place"))
+        sums = kept.groupBy("lang", "source", "start").agg(F.first("place").alias("place"), F.first("log_det").alias("before"), *_moments(widen))
+        step = written(_factored(sums, "start", "place", "before"))
+        # Quantiles are sketches: a gain below their error is none.
+        goes_on = F.col("before") - F.col("log_det") > 1e-3
+        ended.append(step.where(~goes_on).drop("before"))
+        moving = step.where(goes_on).drop("before")
+        if moving.isEmpty():
+            break
+    ended.append(moving)
+    every = functools.reduce(DataFrame.unionByName, [x.select("lang", "source", "log_det", "m", "c") for x in ended])
+    best = every.groupBy("lang", "source").agg(F.min(F.struct("log_det", "m", "c")).alias("x"))
+    best = written(best.select("lang", "source", "x.m", "x.c"))
+    near = _with_distance(_joined(rows, best, "inner"), "d2").where(F.col("d2") <= chi2_quantile(WITHIN, p))
+    widen = F.lit(WITHIN / chi2_cdf(chi2_quantile(WITHIN, p), p + 2))
+    return written(_factored(near.groupBy("lang", "source").agg(*_moments(widen))))
 
 
 def judge(
     docs: DataFrame,
     least_words: int = 10,
     most_repeats: int = 20,
-    share: float = 0.75,
-    steps: int = 4,
+    share: float = 0.5,
+    steps: int = 40,
     confidence: float = 1 - 1e-9,
 ) -> DataFrame:
     """Counts, base verdict, squared distance and ``kept`` of every document.

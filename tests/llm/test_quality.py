@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 
 from rolesift.llm import quality
 
@@ -41,6 +42,22 @@ def test_outliers_go_and_plain_texts_stay(spark):
     assert all(r.kept == (r.doc_id < 1000) for r in got)
 
 
+@pytest.mark.parametrize("part", [0.3, 0.38, 0.45])
+def test_many_outliers_do_not_hide_each_other(spark, part):
+    rng = np.random.default_rng(2)
+    n = 4000
+    x = rng.normal(0, 1, (n, 5)) * [0.7, 0.08, 0.01, 0.05, 0.02] + [5, 1.8, 0.02, 0.05, 0.02]
+    bad = int(part * n)
+    x[:bad, 2] += np.log(4)  # three symbols a word
+    x[:bad, 1] += 0.4
+    rows = [("a", "s", *map(float, v)) for v in x]
+    frame = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{s} double" for s in quality.STATS))
+    r = quality.estimates(frame).first()
+    y = np.linalg.solve(np.array(r.c).reshape(5, 5), (x - r.m).T)
+    out = (y**2).sum(axis=0) > quality.chi2_quantile(1 - 1e-9, 5)
+    assert out[:bad].all() and not out[bad:].any()
+
+
 def test_estimate_is_the_one_of_the_clean_rows(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(0, 1, (3000, 5)) @ np.diag([1, 2, 1, 3, 1])
