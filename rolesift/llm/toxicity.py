@@ -5,8 +5,12 @@ different contexts (neighbouring tokens) they have in toxic and in other texts,
 so that copies of a text count once. The share of toxic contexts gets a
 two-category Dirichlet prior whose mean is the share of the token's four-letter
 prefix, which in turn is drawn to the share of all tokens; the log-odds against
-the latter, less their standard deviation, are the token's score. Tokens with no evidence score slightly below
-zero, so that a segment ends where nothing toxic follows.
+the latter, drawn to zero by their standard deviation, are the token's score,
+also where negative; positive ones under ``LEAST`` are mostly chance and count as
+no evidence. A token with no evidence either way scores the mean log-odds
+of the clean contexts' tokens, which is negative, so that a segment ends where
+nothing toxic follows; should the clean tokens' mean score not be negative, this
+drift is lowered until it is.
 
 Scoring, over every whole text: one linear scan finds all maximal scoring
 segments. Their scores are normalised for text length by the extreme-value law
@@ -25,7 +29,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +43,33 @@ TOKEN = re.compile(r"[^\W_]+")
 PREFIX = 4
 #: Prior weights: of the prefix's share for a token, of the base share for a prefix.
 PRIOR_TOKEN, PRIOR_PREFIX = 3.0, 3.0
-#: Log-odds from which a token counts; score of all others.
-LEAST, NEUTRAL = 1.5, -0.02
+#: Score of a token without evidence where no model says more, and the least distance of it from zero.
+NEUTRAL = -0.1
+#: Positive log-odds that count as evidence.
+LEAST = 1.5
 
 
 def segments(hits: list[tuple[int, float]], neutral: float = NEUTRAL) -> list[tuple[float, int, int]]:
     """All maximal scoring segments as (score, first token, end token), left to right.
 
-    ``hits`` are the tokens with positive scores; each token between two hits
-    scores ``neutral``. Ruzzo and Tompa's scan over cumulative sums.
+    ``hits`` are the tokens with scores of their own, in order; every other
+    scores ``neutral``.
     """
-    found: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
+    steps = []
     total, last = 0.0, 0
     for at, score in hits:
         left = total + neutral * (at - last)
-        right, first = left + score, at
-        total, last = right, at + 1
+        total, last = left + score, at + 1
+        if score > 0:
+            steps.append((at, left, total))
+    return _maximal(steps)
+
+
+def _maximal(steps: Iterable[tuple[int, float, float]]) -> list[tuple[float, int, int]]:
+    """Ruzzo and Tompa's scan over (token, sum before it, sum after it) of the tokens with positive scores."""
+    found: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, end
+    for at, left, right in steps:
+        first = at
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][0] >= left:
@@ -67,21 +83,22 @@ def segments(hits: list[tuple[int, float]], neutral: float = NEUTRAL) -> list[tu
 
 
 class Weights(dict):
-    """Scores of tokens; one that is not listed has its prefix's, or none."""
+    """Scores of tokens; one that is not listed has its prefix's, or ``neutral``."""
 
-    def __init__(self, tokens: dict[str, float], prefixes: dict[str, float]):
+    def __init__(self, tokens: dict[str, float], prefixes: dict[str, float], neutral: float = NEUTRAL):
         super().__init__(tokens)
-        self.prefixes = prefixes
+        self.prefixes, self.neutral = prefixes, neutral
 
     def __missing__(self, token: str) -> float:
-        return self.prefixes.get(token[:PREFIX], 0.0)
+        return self.prefixes.get(token[:PREFIX], self.neutral)
 
 
 def evidence(text: str | None, weights: Weights) -> tuple[int, list[tuple[float, int, int]]]:
     """Number of tokens of a text, and its maximal segments."""
     tokens = TOKEN.findall((text or "").lower())
-    scores = map(weights.__getitem__, tokens)
-    return len(tokens), segments([(k, s) for k, s in enumerate(scores) if s > 0])
+    scores = [weights[t] for t in tokens]
+    sums = list(accumulate(scores, initial=0.0))
+    return len(tokens), _maximal((k, sums[k], sums[k + 1]) for k, s in enumerate(scores) if s > 0)
 
 
 def features(n: int, found: list[tuple[float, int, int]], lam: float, ln_k: float) -> tuple[float, float]:
@@ -130,33 +147,48 @@ def token_table(texts: DataFrame, most: int = 500_000) -> tuple[Weights, float,
     prefixes = counts.groupBy(F.substring("word", 1, PREFIX).alias("q")).agg(F.sum("t").alias("qt"), F.sum("n").alias("qn"))
 
     def odds(toxic, total, prior, weight):
-        """Log-odds against the base share, less one standard deviation."""
+        """Log-odds against the base share."""
         a, b = toxic + weight * prior, total - toxic + weight * (1 - prior)
-        return F.log(a / b) - F.log(F.lit(base / (1 - base))) - F.sqrt(1 / a + 1 / b)
+        return F.log(a / b) - F.log(F.lit(base / (1 - base))), F.sqrt(1 / a + 1 / b)
+
+    def drawn(odds_and_error):
+        """Log-odds drawn to zero by their standard deviation; positive ones under ``LEAST`` are none."""
+        o, e = odds_and_error
+        return F.when(o - e >= LEAST, o - e).otherwise(F.least(o + e, F.lit(0.0)))
 
     pre = prefixes.withColumn("qs", _share(F.col("qt"), F.col("qn"), base, PRIOR_PREFIX))
-    named = counts.where(F.col("n") >= least).withColumn("q", F.substring("word", 1, PREFIX)).join(pre, "q")
-    named = named.select("word", odds(F.col("t"), F.col("n"), F.col("qs"), PRIOR_TOKEN).alias("s"), (F.col("n") - F.col("t")).alias("clean"))
-    # Tokens that score no better than neutral are listed only where their prefix does.
-    listed = [(r.word, r.s, r.clean) for r in named.where(F.col("s") >= LEAST).collect()]
-    pre_listed = {r.q: r.s for r in pre.where(F.col("qn") >= least).select("q", odds(F.col("qt"), F.col("qn"), F.lit(base), PRIOR_PREFIX).alias("s")).where(F.col("s") >= LEAST).collect()}
-    tokens = {w: s for w, s, _ in listed}
-    quiet = named.where(F.col("s") < LEAST).where(F.substring("word", 1, PREFIX).isin(list(pre_listed))) if pre_listed else None
-    if quiet is not None:
-        tokens |= {r.word: 0.0 for r in quiet.collect()}
-    clean = max(1, total.n - total.t)
-    positive = [(s, (c + 0.5) / clean) for _, s, c in listed]
+    pre = pre.withColumn("ps", F.when(F.col("qn") >= least, drawn(odds(F.col("qt"), F.col("qn"), F.lit(base), PRIOR_PREFIX))).otherwise(F.lit(0.0)))
+    every = written(
+        counts.withColumn("q", F.substring("word", 1, PREFIX)).join(pre, "q").select(
+            "word", "q", "ps", (F.col("n") - F.col("t")).alias("clean"), (F.col("n") >= least).alias("listed"),
+            odds(F.col("t"), F.col("n"), F.col("qs"), PRIOR_TOKEN)[0].alias("o"), drawn(odds(F.col("t"), F.col("n"), F.col("qs"), PRIOR_TOKEN)).alias("s"),
+        )
+    )
+    # A listed token has its own score; it has to be named where that is not the one of its prefix.
+    tokens = {r.word: r.s for r in every.where("listed and (s <> 0 or ps <> 0)").select("word", "s").collect()}
+    pre_listed = {r.q: r.ps for r in every.where("ps <> 0").select("q", "ps").distinct().collect()}
+    clean = max(1e-9, total.n - total.t)
+    drift = min(NEUTRAL, every.agg(F.sum(F.col("clean") * F.col("o"))).first()[0] / clean)
+    # Scores of clean tokens: those with evidence by their score, and the part of all others.
+    score = F.when(F.col("listed"), F.col("s")).otherwise(F.col("ps"))
+    scored = every.select(F.round(score, 3).alias("s"), "clean").groupBy("s").agg(F.sum("clean").alias("c")).collect()
+    known = [(r.s, r.c / clean) for r in scored if r.s]
+    rest = max(1e-9, 1 - sum(c for _, c in known))
+    mean = sum(s * c for s, c in known)
+    drift = min(drift, (NEUTRAL - mean) / rest)
+    tokens = {w: s or drift for w, s in tokens.items()}
 
     def over(lam: float) -> float:
-        mass = sum(p for _, p in positive)
-        return sum(p * math.exp(lam * s) for s, p in positive) + (1 - min(mass, 1)) * math.exp(lam * NEUTRAL) - 1
+        return sum(c * math.exp(min(lam * s, 600.0)) for s, c in known) + rest * math.exp(lam * drift) - 1
 
     low, high = 1e-3, 1.0
+    while over(high) < 0 and high < 16:
+        high *= 2
     if over(high) > 0 and over(low) < 0:
         for _ in range(60):
             mid = (low + high) / 2
             low, high = (low, mid) if over(mid) > 0 else (mid, high)
-    return Weights(tokens, pre_listed), high if over(low) < 0 else 1.0, base
+    return Weights(tokens, pre_listed, drift), high if over(low) < 0 else 1.0, base
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> dict:
@@ -199,12 +231,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> dict
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, and the significant passages as token spans with their scores."""
     shared = docs.sparkSession.sparkContext.broadcast(
-        {"tokens": dict(model["weights"]), "prefixes": model["weights"].prefixes, **{k: model[k] for k in ("lam", "ln_k", "curve", "share")}}
+        {"tokens": dict(model["weights"]), "prefixes": model["weights"].prefixes, "neutral": model["weights"].neutral, **{k: model[k] for k in ("lam", "ln_k", "curve", "share")}}
     )
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        weights = Weights(m["tokens"], m["prefixes"])
+        weights = Weights(m["tokens"], m["prefixes"], m["neutral"])
         for batch in batches:
             scores, passages = [], []
             for value in batch.column(1):

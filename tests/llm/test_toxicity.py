@@ -33,6 +33,24 @@ def test_segments_are_all_maximal_ones():
         assert all(abs(a[0] - b[0]) < 1e-6 for a, b in zip(got, want, strict=True))
 
 
+def test_distant_passages_stay_apart():
+    weights = toxicity.Weights({"vile": 3.0, "meh": 1.6, "kind": -1.0}, {})
+    far = " ".join(["vile"] * 5 + ["plain"] * 595 + ["vile"] * 5)
+    assert [(s, e) for _, s, e in toxicity.evidence(far, weights)[1]] == [(0, 5), (600, 605)]
+    lone = " ".join(["meh", *["plain"] * 69] * 40)
+    assert [(s, e) for _, s, e in toxicity.evidence(lone, weights)[1]] == [(70 * k, 70 * k + 1) for k in range(40)]
+    near = "vile plain vile kind kind kind kind vile"
+    assert [(s, e) for _, s, e in toxicity.evidence(near, weights)[1]] == [(0, 3), (7, 8)]
+
+
+def test_clean_tokens_score_negative_on_average(spark):
+    rng = random.Random(6)
+    texts = [(" ".join([prose(rng, 40), "kind" if k % 5 else "vile"]), int(k % 5 == 0)) for k in range(300)]
+    weights, lam, _ = toxicity.token_table(spark.createDataFrame(texts, "text string, toxic int"))
+    scores = [weights[w] for t, toxic in texts if not toxic for w in toxicity.TOKEN.findall(t.lower())]
+    assert weights["vile"] > 1 and weights.neutral < 0 and sum(scores) < 0 and weights["kind"] < 0 and lam > 0
+
+
 def test_held_out_accuracy_with_copies(spark):
     rng = random.Random(5)
     rows, labels = [], []
