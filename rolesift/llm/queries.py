@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, leaks, near, packing, preference, quality, repeats, secrets, toxicity, urls
+from . import extract, leaks, near, packing, preference, quality, repeats, secrets, sentencepieces, toxicity, urls
 from .common import shipped, table
 
 
@@ -68,6 +68,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and their text again, as digests."""
+    rows = sentencepieces.decoded(sentencepieces.encoded(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text"))
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def _on_executors(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": _on_executors(op8_html_extraction),
     "op9_secret_scan": _on_executors(op9_secret_scan),
     "op10_best_fit_packing": _on_executors(op10_best_fit_packing),
+    "op11_sentencepiece": _on_executors(op11_sentencepiece),
 }
 
 #: The same results as SQL; what SQL cannot express is tested by brute force in tests/llm.
