@@ -39,7 +39,9 @@ SPACE = "▁"
 #: A space run and what follows, up to the next.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Parts whose ids a worker keeps, their longest length in characters, and the pair tests it keeps.
-KEPT, LONGEST, PAIRS = 500_000, 40, 2_000_000
+KEPT, LONGEST, PAIRS = 300_000, 40, 1_000_000
+#: Rows that are held at once in their new form.
+ROWS = 500
 PROBES = ("", " ", "a", "  A  b\n\tc ", "Ⅸ Ａ é 中\U0001f642 don't 1234 </s><unk> ")
 
 codecs.register_error("each byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -208,6 +210,12 @@ def _with(rows: DataFrame, name: str, kind: T.DataType) -> tuple[list[str], T.St
     return keep, T.StructType([*[f for f in rows.schema if f.name != name], T.StructField(name, kind)])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """All columns but ``ids``, and ``ids``: the ids as little-endian unsigned 32-bit integers in a row."""
     path = path or default_model()
@@ -215,7 +223,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = model(path).encode
-        for batch in batches:
+        for batch in _parts(batches):
             ids = pa.array([encode(t.as_py() or "") for t in batch.column(batch.num_columns - 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*keep, "ids"])
 
@@ -229,7 +237,7 @@ def decoded(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataF
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = model(path).decode
-        for batch in batches:
+        for batch in _parts(batches):
             out = pa.array([decode(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keep, "decoded"])
 
