@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, leaks, near, packing, preference, quality, repeats, secrets, sentencepieces, toxicity, urls
-from .common import shipped, table
+from . import extract, leaks, lexical, near, packing, preference, quality, repeats, runs, secrets, sentencepieces, toxicity, urls
+from .common import shipped, table, words
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,32 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The documents; those whose crc32(doc_id) ends in 0 repeat a stretch of their words up to their end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def periodic(w):
+        n, g = F.size(w), F.floor(h / 10)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a), F.slice(again, 1, n - a)), " ")).otherwise("")
+
+    made = F.get(F.transform(F.array(words(F.col("text"))), periodic), 0)
+    return docs.select("doc_id", F.when(h % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and what is left without them."""
+    docs = with_periods(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return runs.digests(runs.periodic_runs(docs, texts=False))
+
+
 def _on_executors(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +126,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": _on_executors(op9_secret_scan),
     "op10_best_fit_packing": _on_executors(op10_best_fit_packing),
     "op11_sentencepiece": _on_executors(op11_sentencepiece),
+    "op12_lexical_search": _on_executors(op12_lexical_search),
+    "op13_periodic_runs": _on_executors(op13_periodic_runs),
 }
 
 #: The same results as SQL; what SQL cannot express is tested by brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op6_preference_pairs": preference.SQL,
+    "op12_lexical_search": lexical.SQL,
 }
