@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: A space run and what follows, up to the next.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Parts whose ids a worker keeps, their longest length in characters, and the pair tests it keeps.
-KEPT, LONGEST, PAIRS = 300_000, 40, 1_000_000
+#: Units whose ids a worker keeps, later parts of units, their longest length in characters, and the pair tests it keeps.
+KEPT, TAILS, LONGEST, PAIRS = 600_000, 50_000, 40, 1_000_000
 #: Rows that are held at once in their new form.
 ROWS = 500
 PROBES = ("", " ", "a", "  A  b\n\tc ", "Ⅸ Ａ é 中\U0001f642 don't 1234 </s><unk> ")
@@ -87,7 +87,7 @@ class Model:
                 self.automaton.add_word(piece, (len(piece), i, piece))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.units = Units(self)
+        self.units, self.tails = Units(self), {}
         for text in PROBES:
             ids = array("I", proc.encode(text, add_bos=True, add_eos=True)).tobytes()
             if self.encode(text) != ids or self.decode(ids) != proc.decode(list(array("I", ids))):
@@ -140,14 +140,24 @@ class Model:
             n -= size[n]
         return out[::-1]
 
-    def unit(self, unit: str) -> bytes:
-        """Little-endian ids of a unit, cut where no piece reaches across."""
-        inner, start, out = self.inner, 0, []
-        for k in range(1, len(unit) + 1):
-            if k == len(unit) or unit[k - 1 : k + 1] not in inner:
-                out += self.tokens(unit[start:k])
-                start = k
-        return array("I", out).tobytes()
+    def unit(self, key: str) -> bytes:
+        """Little-endian ids of a space and what follows it, cut where no piece reaches across; the first part is a unit itself."""
+        unit, inner = SPACE + key, self.inner
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inner]
+        if not cuts:
+            return array("I", self.tokens(unit)).tobytes()
+        out = [self.units[unit[1 : cuts[0]]]]
+        for a, b in zip(cuts, [*cuts[1:], len(unit)], strict=True):
+            part = unit[a:b]
+            ids = self.tails.get(part)
+            if ids is None:
+                ids = array("I", self.tokens(part)).tobytes()
+                if b - a <= LONGEST:
+                    if len(self.tails) >= TAILS:
+                        self.tails.clear()
+                    self.tails[part] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Begin id, the text's ids, end id."""
@@ -188,7 +198,7 @@ class Units(dict):
         self.model, self.seen = model, bytearray(1 << 22)
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.model.unit(SPACE + key)
+        ids = self.model.unit(key)
         if len(key) <= LONGEST:
             at = hash(key) & 0x1FFFFFF
             if self.seen[at >> 3] >> (at & 7) & 1:
