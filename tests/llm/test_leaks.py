@@ -71,6 +71,39 @@ def test_swapped_and_moved_parts_match_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_repeated_ids_and_null_ids(spark):
+    rng = random.Random(11)
+    one, two, other = (prose(rng, 30, 5000) for _ in range(3))
+    items = spark.createDataFrame([(1, one, "x"), (1, two, "y"), (1, two, "z"), (2, one, "x"), (None, other, "x")], "item_id long, text string, t string")
+    rows = [(1, f"{prose(rng, 9)} {one}"), (2, f"{two} {prose(rng, 9)}"), (2, other), (2, prose(rng, 40)), (None, one), (None, prose(rng, 40)), (3, other), (4, None)]
+    docs = spark.createDataFrame([(k, t, "a", "b") for k, t in rows + rows[:1]], "doc_id long, text string, t string, size string")
+    got = sorted(((r.doc_id, r.item_id) for r in leaks.leaks(docs, items).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 2), (2, 1), (None, 1), (None, 2)], key=str)
+    kept = leaks.decontaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[k] for k in (2, 3, 5, 6, 7)], key=str)
+
+
+def test_fingerprints_of_many_words(spark):
+    words = [f"w{k % 701}" for k in range(40_000)]
+    rows = spark.createDataFrame([(1, 1, words), (2, 1, words * 3)], "id int, size int, w array<string>")
+    assert len({r.fp for r in leaks.fingerprints(rows, "id").collect()}) == 1
+
+
+def test_nearly_all_near_the_threshold_come_within_the_radius(spark):
+    rng = random.Random(12)
+    bench, rows = [], []
+    for k in range(120):
+        item = prose(rng, rng.randint(35, 60), 5000).split()
+        most = (len(item) - 4) // 9  # shingles that differ: a similarity of 0.8 or little more
+        bench.append((k, " ".join(item)))
+        rows.append((k, " ".join(item[: len(item) - most] + [f"other{j}" for j in range(most)])))
+    want = {x for k in range(120) for x in expected([rows[k]], [bench[k]])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert len(want) == 120 and len(got & want) >= 0.95 * len(want)
+
+
 def test_plan_has_no_python_and_no_pairing(docs, spark):
     items = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     plan = leaks.leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
