@@ -11,8 +11,8 @@ weighted sums of these bitmaps are upper bounds of all scores of a block at once
 2. The documents that hold each asked term are counted exactly, in one scan.
 3. The ``top`` documents by upper bound are scored exactly; the least of their
    scores is a score that ``top`` documents reach.
-4. All documents whose upper bound reaches it are scored exactly. No other
-   document can be among the first.
+4. All documents whose upper bound is above it, or equal with no later id, are scored
+   exactly. No other document can be among the first.
 
 The questions are taken in blocks of about ``block_terms`` terms, so what is
 broadcast (their terms, and weights of items times terms) has a bound. Candidates
@@ -30,6 +30,7 @@ other columns are not read; empty tables give no rows.
 
 from __future__ import annotations
 
+import heapq
 import math
 import uuid
 import zlib
@@ -207,42 +208,55 @@ def _sums(docs: DataFrame, asked: Broadcast) -> dict[bytes, int]:
     return {bytes(r.term): r.df for r in found.collect()}
 
 
+def _place(bound: float, doc: object) -> tuple:
+    """Order of the results: the highest first, equal ones by id, null last."""
+    return -bound, doc is None, 0 if doc is None else doc
+
+
 def _highest(index: DataFrame, asked: Broadcast, top: int) -> DataFrame:
-    """q and doc_id of the ``top`` upper bounds of each item."""
+    """q and doc_id of the ``top`` upper bounds of each item, equal ones by id."""
     kind = index.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("doc_id", kind), T.StructField("bound", T.DoubleType())])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, kept, ids, id_type = asked.value, np.zeros((len(asked.value.ids), 0)), np.zeros((len(asked.value.ids), 0), object), pa.int64()
+        items = len(asked.value.ids)
+        kept: list[list] = [[] for _ in range(items)]
+        least, id_type = np.ones(items), pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type.value_type
             for own, sizes, bits, slices in zip(*batch.columns, strict=True):
-                bounds = q.bounds(np.array(sizes.as_py()), bits.as_py(), slices.as_py())
-                names = np.empty(bounds.shape[1], object)
-                names[:] = own.as_py()
-                kept = np.concatenate([kept, bounds], axis=1)
-                ids = np.concatenate([ids, np.broadcast_to(names, bounds.shape)], axis=1)
-                if kept.shape[1] > top:
-                    at = np.argpartition(kept, -top, axis=1)[:, -top:]
-                    kept, ids = np.take_along_axis(kept, at, 1), np.take_along_axis(ids, at, 1)
-        item, place = np.nonzero(kept > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(item, pa.int32()), pa.array(ids[item, place].tolist(), id_type), pa.array(kept[item, place], pa.float64())], names=schema.names)
-
-    by = Window.partitionBy("q").orderBy(F.desc("bound"))
+                bounds = asked.value.bounds(np.array(sizes.as_py()), bits.as_py(), slices.as_py())
+                hits = bounds >= least[:, None]
+                own = own.as_py()
+                for q in np.flatnonzero(hits.any(axis=1)).tolist():
+                    more = [(bounds[q, d], own[d]) for d in np.flatnonzero(hits[q]).tolist()]
+                    kept[q] = heapq.nsmallest(top, kept[q] + more, key=lambda x: _place(*x))
+                    if len(kept[q]) == top:
+                        least[q] = kept[q][-1][0]
+        flat = [(q, doc, bound) for q, found in enumerate(kept) for bound, doc in found]
+        columns = zip(*flat, strict=True) if flat else ([], [], [])
+        kinds = pa.int32(), id_type, pa.float64()
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=schema.names)
+
+    by = Window.partitionBy("q").orderBy(F.desc("bound"), F.asc_nulls_last("doc_id"))
     found = index.mapInArrow(best, schema)
     return found.withColumn("r", F.row_number().over(by)).where(F.col("r") <= top).select("q", "doc_id")
 
 
-def _reaching(index: DataFrame, asked: Broadcast, least: np.ndarray) -> DataFrame:
-    """q and doc_id of all upper bounds that reach an item's least score."""
+def _reaching(index: DataFrame, asked: Broadcast, least: np.ndarray, last: list) -> DataFrame:
+    """q and doc_id of all upper bounds above an item's least score, or equal to it with an id up to ``last``."""
     kind = index.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("doc_id", kind)])
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, sizes, bits, slices in zip(*batch.columns, strict=True):
-                item, place = np.nonzero(asked.value.bounds(np.array(sizes.as_py()), bits.as_py(), slices.as_py()) >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(item, pa.int32()), own.values.take(pa.array(place))], names=["q", "doc_id"])
+                bounds = asked.value.bounds(np.array(sizes.as_py()), bits.as_py(), slices.as_py())
+                names = own.as_py()
+                item, place = np.nonzero(bounds > least[:, None])
+                tied = [(q, d) for q, d in zip(*np.nonzero(bounds == least[:, None]), strict=True) if _place(0, names[d]) <= _place(0, last[q])]
+                item, place = np.append(item, [q for q, _ in tied]), np.append(place, [d for _, d in tied])
+                yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), own.values.take(pa.array(place.astype(np.int64)))], names=["q", "doc_id"])
 
     return index.mapInArrow(reach, schema)
 
@@ -306,14 +320,13 @@ def search(docs: DataFrame, questions: DataFrame, top: int = 20, block_terms: in
             continue
         asked.counted(sums.n, sums.total, _sums(docs, spark.sparkContext.broadcast(asked)))
         shared = spark.sparkContext.broadcast(asked)
-        nth = Window.partitionBy("q").orderBy(F.desc("score"))
+        by = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         first = _scored(docs, _highest(index, shared, top), shared, broadcast_pairs)
-        first = first.withColumn("r", F.row_number().over(nth)).where(F.col("r") == top).select("q", "score")
-        least = np.ones(len(rows))
+        first = first.withColumn("r", F.row_number().over(by)).where(F.col("r") == top).select("q", "score", "doc_id")
+        least, last = np.full(len(rows), 0.5), [None] * len(rows)
         for r in first.collect():  # a row for each item of the block at most
-            least[r.q] = r.score
-        score = _scored(docs, _reaching(index, shared, least), shared, broadcast_pairs)
-        by = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+            least[r.q], last[r.q] = r.score, r.doc_id
+        score = _scored(docs, _reaching(index, shared, least, last), shared, broadcast_pairs)
         ranked = score.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
         names = items.where(F.col("block") == block).select("item_id", "terms")
         numbered = spark.createDataFrame([(k, r.item_id) for k, r in enumerate(rows)], T.StructType([T.StructField("q", T.IntegerType()), names.schema["item_id"]]))
