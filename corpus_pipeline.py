@@ -1,26 +1,66 @@
-"""From raw documents to packed sequences: five stages, each written and read again."""
+"""From raw documents to packed sequences: five stages, each written and read again.
+
+Stages know a row by its place in the files of their input, not by its id: rows with
+a null or a repeated doc_id are judged each by itself, of equal rows one stays,
+and of two texts under one id only the one that fails is dropped.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rolesift.llm import leaks, near, packing, quality, secrets
-from rolesift.llm.common import shared_dir, shipped, table
+from rolesift.llm.common import shared_dir, shipped, table, written
+
+#: Row numbers, of eight bytes each, that are broadcast; more are joined by exchange.
+BROADCAST_ROWS = 1_000_000
+#: Rows that one file may have.
+FILE_ROWS = 1 << 40
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """All columns and ``_row``, a number that each row has in every reading of the same files."""
+    try:
+        files = docs.select("_metadata.file_path").distinct().orderBy("file_path").collect()  # a name for each file
+    except AnalysisException:  # no files of its own yet
+        return numbered(written(docs))
+    spark = docs.sparkSession
+    known = spark.createDataFrame([(r.file_path, k * FILE_ROWS) for k, r in enumerate(files)], "_file string, _first long")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    return placed.join(F.broadcast(known), "_file").withColumn("_row", F.col("_first") + F.col("_index")).drop("_file", "_first", "_index")
+
+
+def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose number is not in ``gone``."""
+    gone = written(gone.select("_row"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "_row", "left_anti").select(columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie within their group's limit."""
-    rejected = quality.judge(docs).where("not kept").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    judged = quality.judge(rows.select(F.col("_row").alias("doc_id"), "text", "lang", "source"))
+    return without(rows, judged.where("not kept").select(F.col("doc_id").alias("_row")), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies, the one of least doc_id: five-word shingles, similarity 0.8 or more."""
     shipped(spark)
-    groups = near.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    return docs.join(groups.where("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    groups = near.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
+    groups = written(groups.select(F.col("doc_id").alias("_row"), "component_id"))
+    # Groups of one need no choice; null ids come last.
+    shared = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = groups.join(shared, "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = members.groupBy("component_id").agg(F.min(order).alias("x")).select(F.col("x._row").alias("_row"))
+    return without(rows, members.select("_row").join(first, "_row", "left_anti"), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
