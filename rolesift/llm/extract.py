@@ -24,6 +24,7 @@ read. Pages are parsed whole, in Arrow batches, with nothing shuffled.
 
 from __future__ import annotations
 
+import bisect
 import html
 import random
 import re
@@ -82,17 +83,63 @@ class Node:
         self.text = self.links = self.size = self.n_kids = self.paras = 0
 
 
+class Open:
+    """The open elements, with the places of each tag and of the blocks among them: no step walks the stack."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack, self.at, self.blocks = nodes, [0], {}, []
+
+    def top(self) -> int:
+        return self.stack[-1]
+
+    def push(self, number: int) -> None:
+        tag = self.nodes[number].tag
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(number)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all above it."""
+        while len(self.stack) > place:
+            tag = self.nodes[self.stack.pop()].tag
+            self.at[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag closes the nearest element of its name; one of a line's elements reaches over no block."""
+        places = self.at.get(tag)
+        if places and not (tag in INLINE and self.blocks and self.blocks[-1] > places[-1]):
+            self.cut(places[-1])
+
+    def make_room(self, tag: str) -> None:
+        """What a new block ends: an open paragraph, or the item before it in the same list."""
+        if tag not in CLOSES:
+            if self.blocks and self.nodes[self.stack[self.blocks[-1]]].tag == "p":
+                self.cut(self.blocks[-1])
+            return
+        floor = max((self.at[t][-1] for t in HOLDS.get(tag, ()) if self.at.get(t)), default=0)
+        ended = []
+        for t in {"p", *CLOSES[tag]}:
+            places = self.at.get(t, [])
+            k = bisect.bisect_right(places, floor)
+            ended += places[k : k + 1]
+        if ended:
+            self.cut(min(ended))
+
+
 def parse(page: str) -> list[Node]:
     """Elements in page order, parents first; number 0 is the root."""
     nodes = [Node("html", "", -1, 0)]
-    open_ = [0]
+    open_ = Open(nodes)
     at = 0
 
     def text(s: str) -> None:
         if s:
-            if nodes[open_[-1]].tag == "head" and not s.isspace():
-                open_.pop()
-            nodes[open_[-1]].kids.append(html.unescape(s) if "&" in s else s)
+            if nodes[open_.top()].tag == "head" and not s.isspace():
+                open_.cut(len(open_.stack) - 1)
+            nodes[open_.top()].kids.append(html.unescape(s) if "&" in s else s)
 
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -102,35 +149,20 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[2]:
-            if tag == "p" or tag not in VOID:
-                for k in range(len(open_) - 1, 0, -1):
-                    if nodes[open_[k]].tag == tag:
-                        del open_[k:]
-                        break
-                    if tag in INLINE and nodes[open_[k]].tag not in INLINE:
-                        break
+            open_.close(tag)
             continue
         if tag == "html":
             nodes[0].attrs += m[4] or ""
             continue
         if tag not in INLINE and tag not in VOID:
-            # A new block ends an open paragraph; a new item ends the one before it.
-            for k in range(len(open_) - 1, 0, -1):
-                t = nodes[open_[k]].tag
-                if t == "p" or t in CLOSES.get(tag, ()):
-                    del open_[k:]
-                    if t == "p" and tag not in CLOSES:
-                        break
-                    continue
-                if t in HOLDS.get(tag, ()) or (t not in INLINE and tag not in CLOSES):
-                    break
-        if nodes[open_[-1]].tag == "head" and tag not in IN_HEAD:
-            open_.pop()
-        parent = open_[-1]
+            open_.make_room(tag)
+        if nodes[open_.top()].tag == "head" and tag not in IN_HEAD:
+            open_.cut(len(open_.stack) - 1)
+        parent = open_.top()
         nodes.append(Node(tag, m[4] or "", parent, nodes[parent].depth + 1))
         nodes[parent].kids.append(len(nodes) - 1)
         if tag not in VOID and not (m[4] or "").endswith("/"):
-            open_.append(len(nodes) - 1)
+            open_.push(len(nodes) - 1)
     text(page[at:])
     return nodes
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -69,6 +70,12 @@ def test_pages_that_leave_out_tags_keep_their_text(html):
     assert extract.text_of([html], None) == ["All of the article."]
 
 
+@pytest.mark.parametrize("page", ["<b>" * 70_000 + "<div></div>" * 70_000, "<div>" * 100_000 + "</x>" * 110_000, "<div>" * 60_000 + "<li>" * 100_000, "<li><p>" * 120_000])
+def test_deep_pages_take_linear_time(page):
+    start = time.perf_counter()
+    assert len(extract.parse(page)) > 90_000 and time.perf_counter() - start < 5
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_decoding_has_no_contradictions(seed):
     rng = random.Random(seed)
