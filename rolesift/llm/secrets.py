@@ -4,8 +4,9 @@ Language costs a byte-pair vocabulary few tokens for its length; random strings
 cost many. Runs of key characters are encoded with a tiktoken vocabulary, and a
 run with fewer than ``ratio`` characters per token is reported as kind
 ``token``, unless it is a known digest or identifier: hexadecimal digests of
-the usual lengths, UUIDs, plain numbers, dates, a capitalised word, or a run of one letter case
-without digits. Runs that a fixed pattern has reported are not tested again.
+the usual lengths, UUIDs, plain numbers and dates. Runs of one letter case (or a
+capitalised word) without digits say less with each letter, as rare words do:
+for them the ratio is ``plain_ratio``. Runs that a fixed pattern has reported are not tested again.
 
 Each text is scanned whole and on its own, in Arrow batches; nothing is
 shuffled. Defined results: null and empty texts have no spans; repeated rows are
@@ -36,10 +37,11 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 IDENTIFIER = re.compile(
     r"(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})"  # UUID
     r"|[0-9+/_=-]+"  # numbers, dates, rulers
-    r"|[a-z+/_=-]+|[A-Z+/_=-]+|[A-Z][a-z]+"  # one case or a capitalised word, no digit
 )
-#: Characters per token under which a run counts as random.
-RATIO = 2.0
+#: One case or a capitalised word, no digit.
+PLAIN = re.compile(r"[a-z+/_=-]+|[A-Z+/_=-]+|[A-Z][a-z]+")
+#: Characters per token under which a run counts as random, and a plain one.
+RATIO, PLAIN_RATIO = 2.0, 1.7
 
 
 def default_vocabulary() -> str:
@@ -58,10 +60,12 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def random_run(run: str, path: str, ratio: float = RATIO) -> bool:
+def random_run(run: str, path: str, ratio: float = RATIO, plain_ratio: float = PLAIN_RATIO) -> bool:
     """No digest or identifier, and few characters a token."""
     if DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run):
         return False
+    if PLAIN.fullmatch(run):
+        ratio = min(ratio, plain_ratio)
     return len(run) < ratio * len(_encoding(path).encode_ordinary(run))
 
 
@@ -79,11 +83,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str, path: str, ratio: float = RATIO) -> tuple[list, list]:
     """The fixed patterns' spans, and these with the token-efficiency test's."""
     base = base_spans(text)
-    more = [
-        (m.start(), 3, m.end())
-        for m in RUN.finditer(text)
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and random_run(m[0], path, ratio)
-    ]
+    more, k, reach = [], 0, 0
+    for m in RUN.finditer(text):
+        # Both lists are in order: ``reach`` is how far the spans that begin before the run's end go.
+        while k < len(base) and base[k][0] < m.end():
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= m.start() and random_run(m[0], path, ratio):
+            more.append((m.start(), 3, m.end()))
     return base, sorted(base + more) if more else base
 
 
