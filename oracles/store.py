@@ -19,21 +19,31 @@ RESOLVED = f"""{SNAP}, bk AS (SELECT duplicate_key AS k, min(posting_id) AS i FR
  res AS (SELECT c.*, coalesce(bk.i, bc.i, bu.i) AS eid FROM canon c LEFT JOIN bk ON c.duplicate_key = bk.k LEFT JOIN bc ON c.curl = bc.k
    LEFT JOIN bu ON c.job_posting_url = bu.k WHERE posting_id % 3 = 0)"""
 UPS = f"""{RESOLVED}, live AS (SELECT * FROM res WHERE duplicate_key NOT IN (SELECT duplicate_key FROM tomb)),
- heads AS (SELECT duplicate_key, min(posting_id) AS p, arg_min(curl, posting_id) AS c, arg_min(coalesce(eid, -1), posting_id) AS e0 FROM live GROUP BY 1),
- own AS (SELECT c, arg_min(CASE WHEN e0 >= 0 THEN 'id' || e0 ELSE 'k' || duplicate_key END, p) AS o, arg_min(e0, p) AS oe FROM heads GROUP BY 1),
- ent AS (SELECT live.* EXCLUDE (eid), CASE WHEN e0 >= 0 THEN 'id' || e0 ELSE o END AS entity, nullif(CASE WHEN e0 >= 0 THEN e0 ELSE oe END, -1) AS eid
-   FROM live JOIN heads USING (duplicate_key) LEFT JOIN own USING (c)),
+ start AS MATERIALIZED (SELECT coalesce(max(posting_id), 0) AS start FROM snap),
+ seq AS MATERIALIZED (SELECT row_number() OVER (ORDER BY posting_id) AS i, posting_id AS pos, duplicate_key AS k, curl AS c, job_posting_url AS u FROM live),
+ held(kind, id, ent, k, c, u, step) USING KEY (kind, id) AS (
+  SELECT 0, posting_id, posting_id, duplicate_key, curl, job_posting_url, 0::BIGINT FROM snap
+   WHERE duplicate_key IN (SELECT k FROM seq) OR curl IN (SELECT c FROM seq) OR job_posting_url IN (SELECT u FROM seq)
+  UNION ALL SELECT 1, -1, -1, '', '', '', 0
+  UNION
+  SELECT o.kind, CASE o.kind WHEN 0 THEN e.ent ELSE e.pos END, e.ent, e.k, e.c, e.u, e.i
+  FROM (SELECT r.i, r.pos, r.k, r.c, r.u, coalesce(min(x.ent) FILTER (x.k = r.k AND r.k <> ''), min(x.ent) FILTER (x.c = r.c AND r.c <> ''),
+     min(x.ent) FILTER (x.u = r.u AND r.u <> ''), any_value(start.start) + r.pos + 1) AS ent
+    FROM (SELECT max(step) AS step FROM held) w JOIN seq r ON r.i = w.step + 1 CROSS JOIN start
+    LEFT JOIN (SELECT * FROM recurring.held WHERE kind = 0) x ON (x.k = r.k OR x.c = r.c OR x.u = r.u) GROUP BY r.i, r.pos, r.k, r.c, r.u) e
+  CROSS JOIN (VALUES (0), (1)) o(kind)),
+ ent AS (SELECT live.* EXCLUDE (eid), h.ent AS entity, CASE WHEN h.ent <= start.start THEN h.ent END AS eid FROM live JOIN held h ON h.kind = 1 AND h.id = live.posting_id CROSS JOIN start),
  fold AS (SELECT e.entity, any_value(e.eid) AS eid, min(e.posting_id) AS fp, max(e.posting_id) AS lp, count(*) AS n, bool_or(e.fit_score IS NOT NULL) AS sc,
    list({{'t': {RANK.format('e.source_trust')}, 'd': e.source_detail, 'n': e.source_trust, 'y': {TYPE_RANK.format('e.source_type')}, 'm': e.source_type}} ORDER BY e.posting_id) AS hist FROM ent e GROUP BY 1),
  base AS (SELECT f.*, s.posting_id IS NOT NULL AS old, list_reduce(CASE WHEN s.posting_id IS NULL THEN hist ELSE list_concat([{{'t': {RANK.format('s.source_trust')}, 'd': s.source_detail,
      'n': s.source_trust, 'y': {TYPE_RANK.format('s.source_type')}, 'm': s.source_type}}], hist) END,
    lambda a, x: {{'t': greatest(a.t, x.t), 'd': CASE WHEN a.d = '' THEN x.d WHEN x.t > a.t AND x.d <> '' THEN x.d ELSE a.d END,
     'n': CASE WHEN x.t > a.t THEN x.n ELSE a.n END, 'y': greatest(a.y, x.y), 'm': CASE WHEN x.y > a.y THEN x.m ELSE a.m END}}) AS fin,
-   coalesce(s.posting_id, (SELECT max(posting_id) FROM snap) + fp + 1) AS id FROM fold f LEFT JOIN snap s ON f.eid = s.posting_id)"""
+   f.entity AS id FROM fold f LEFT JOIN snap s ON f.eid = s.posting_id)"""
 add("J2_drop_tombstoned", f"""WITH {SNAP} SELECT profile_id, count(*) FILTER (duplicate_key NOT IN (SELECT duplicate_key FROM tomb)) AS live,
  count(*) FILTER (duplicate_key IN (SELECT duplicate_key FROM tomb)) AS skipped FROM enriched GROUP BY 1""")
 add("J3_resolve_existing", f"WITH {RESOLVED} SELECT posting_id AS pos, coalesce(eid, -1) AS existing_id FROM res")
-add("M1_upsert_postings", f"""WITH {UPS}
+add("M1_upsert_postings", f"""WITH RECURSIVE {UPS}
 SELECT b.id AS posting_id, p.company, p.title, p.job_posting_url, p.curl AS canonical_job_posting_url, fin.n AS source_trust, fin.m AS source_type, fin.d AS source_detail,
  CASE WHEN s.workflow_status = 'Applied' THEN 'Applied' ELSE 'New' END AS workflow_status, CASE WHEN s.workflow_status = 'Applied' THEN s.applied_date ELSE '' END AS applied_date,
  p.duplicate_key, coalesce(s.seen, 0) + b.n AS seen_count, 199901::BIGINT AS last_seen_run_id, coalesce(strftime(s.first_seen_at, '%Y-%m-%d'), '1999-01-01') AS first_seen_at,
@@ -41,20 +51,24 @@ SELECT b.id AS posting_id, p.company, p.title, p.job_posting_url, p.curl AS cano
 FROM base b JOIN canon p ON p.posting_id = b.lp LEFT JOIN (SELECT *, 1 AS seen FROM snap) s ON s.posting_id = b.eid
 UNION ALL SELECT posting_id, company, title, job_posting_url, curl, source_trust, source_type, source_detail, workflow_status, applied_date, duplicate_key, 1, last_seen_run_id,
  strftime(first_seen_at, '%Y-%m-%d'), strftime(first_seen_at, '%Y-%m-%d'), '' FROM snap WHERE posting_id NOT IN (SELECT eid FROM fold WHERE eid IS NOT NULL)""")
-add("M1_upsert_outcomes", f"""WITH {UPS}, o AS (SELECT e.posting_id AS pos, b.id AS job_id, b.old, e.posting_id = b.fp AS fst, coalesce((SELECT last_seen_run_id FROM snap s WHERE s.posting_id = b.eid), 0) = 199901 AS now_seen,
+add("M1_upsert_outcomes", f"""WITH RECURSIVE {UPS}, o AS (SELECT e.posting_id AS pos, b.id AS job_id, b.old, e.posting_id = b.fp AS fst, coalesce((SELECT last_seen_run_id FROM snap s WHERE s.posting_id = b.eid), 0) = 199901 AS now_seen,
   {RANK.format('e.source_trust')} > coalesce(max({RANK.format('e.source_trust')}) OVER (PARTITION BY e.entity ORDER BY e.posting_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)
   AND {RANK.format('e.source_trust')} > coalesce((SELECT {RANK.format('s.source_trust')} FROM snap s WHERE s.posting_id = b.eid), -1) AS up
   FROM ent e JOIN base b USING (entity))
 SELECT pos, job_id, CASE WHEN fst AND NOT old THEN 'inserted' ELSE 'updated' END AS status,
  CASE WHEN fst AND NOT old THEN 'net_new' WHEN fst AND NOT now_seen THEN 'rediscovered' ELSE 'duplicate_in_run' END AS discovery_state, up AND (old OR NOT fst) AS trust_promoted FROM o
 UNION ALL SELECT posting_id, -1, 'skipped_removed', 'skipped_removed', false FROM res WHERE duplicate_key IN (SELECT duplicate_key FROM tomb)""")
-add("M1_upsert_ambiguous", f"WITH {UPS} SELECT curl AS canonical_job_posting_url, count(DISTINCT entity) AS entities FROM ent GROUP BY 1 HAVING count(DISTINCT entity) > 1")
+add("M1_upsert_matches", f"WITH RECURSIVE {UPS} SELECT posting_id AS pos, entity AS posting_id FROM ent")
 STATE = f"""{ENRICHED}, st AS (SELECT *, lag(last_seen_run_id) OVER (PARTITION BY company, title ORDER BY posting_id) AS prev FROM enriched)"""
 add("A4_ingest_summary", f"""WITH {STATE} SELECT last_seen_run_id AS run_id, count(*) AS total_seen, count(*) FILTER (prev IS NULL) AS inserted_count, count(*) FILTER (prev IS NOT NULL) AS updated_count,
  0::BIGINT AS skipped_removed_count, 0::BIGINT AS skipped_invalid_count, count(*) FILTER (prev IS NULL) AS net_new_count,
  count(*) FILTER (prev <> last_seen_run_id) AS rediscovered_count, count(*) FILTER (prev = last_seen_run_id) AS duplicate_in_run_count FROM st GROUP BY 1""")
 add("A4_ingest_label_counts", f"""WITH {ENRICHED} SELECT last_seen_run_id AS run_id, 'source_trust' AS label, source_trust AS value, count(*) AS n FROM enriched GROUP BY ALL
 UNION ALL SELECT last_seen_run_id, 'source_type', source_type, count(*) FROM enriched GROUP BY ALL""")
+add("A4_ingest_ids", f"""WITH {STATE} SELECT last_seen_run_id AS run_id, CASE WHEN prev IS NULL THEN 'net_new' WHEN prev = last_seen_run_id THEN 'duplicate_in_run' ELSE 'rediscovered' END AS discovery_state, posting_id AS job_id FROM st""")
+add("M7_artifact_records", f"""WITH {SNAP}, a AS (SELECT DISTINCT l_orderkey, l_orderkey * 10 + l_linenumber AS i FROM lineitem)
+SELECT i AS artifact_id, coalesce(duplicate_key, '?') AS duplicate_key, coalesce(trim(company), '?') AS company, coalesce(title, '?') AS title, '/out/' || i || '.txt' AS output_path FROM a LEFT JOIN snap ON l_orderkey = posting_id""")
+add("F9_record_gate", f"WITH {POSTINGS} SELECT posting_id, posting_id % 4 > 0 AND posting_id % 6 > 0 AND coalesce(fit_score, 0) >= 65 AS record_ok FROM postings")
 add("M2_mark_applied", f"""WITH {SNAP} SELECT posting_id, CASE WHEN posting_id % 10 = 0 THEN 'Applied' ELSE workflow_status END AS workflow_status,
  CASE WHEN posting_id % 10 = 0 THEN 'Applied' ELSE 'New' END AS status, CASE WHEN posting_id % 10 = 0 AND applied_date = '' THEN '1999-01-02' ELSE applied_date END AS applied_date FROM snap""")
 add("M3_remove_postings", f"""WITH {SNAP}, gone AS (SELECT duplicate_key FROM snap WHERE posting_id % 10 = 0)
@@ -92,6 +106,8 @@ CONTRACT = f"""{ENDPOINTS}, {COMPANIES}, con AS (SELECT endpoint_id AS pos, CASE
 add("F10_validate_contract_records", f"WITH {CONTRACT} SELECT pos, verdict, errors FROM ver")
 add("J4_resolve_company", f"""WITH {CONTRACT} SELECT pos, coalesce(c1.company_id, c2.company_id, -1) AS company_id FROM ver v
 LEFT JOIN companies c1 ON c1.canonical_domain = v.dom LEFT JOIN companies c2 ON c2.name = v.company_name""")
+add("S2_endpoint_contract", f"""WITH {CONTRACT} SELECT row_number() OVER (ORDER BY pos % 2, pos) - 1 AS pos, CASE WHEN company_name = '' THEN ' ' ELSE company_name END AS company_name, endpoint_url AS careers_url,
+ CASE WHEN conf IS NULL THEN 'high' ELSE conf::VARCHAR END AS confidence_score, notes FROM con JOIN (SELECT endpoint_id AS pos, notes FROM endpoints) USING (pos)""")
 OLD_EP = "known AS (SELECT company_id, endpoint_url FROM endpoints WHERE endpoint_id % 3 = 0)"
 add("M5_import_endpoints", f"""WITH {CONTRACT}, {OLD_EP}, pairs AS (SELECT ent, id, endpoint_url, count(*) AS n FROM who GROUP BY 1, 2, 3),
  pk AS (SELECT p.*, EXISTS (SELECT 1 FROM known k WHERE k.company_id = p.id AND k.endpoint_url = p.endpoint_url) AS old FROM pairs p)

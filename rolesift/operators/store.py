@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import trust, urls
 from ..functions.text import clean, or_default, to_float
+from . import chains
 from .lineage import cut
 from .ordered import top_n
 
@@ -145,7 +146,8 @@ def resolve_existing(batch: DataFrame, snapshot: DataFrame) -> DataFrame:
 class Upsert(NamedTuple):
     snapshot: DataFrame
     outcomes: DataFrame
-    ambiguous: DataFrame
+    #: pos, posting_id, key and URLs of every row that was stored.
+    matches: DataFrame
 
 
 def _fold(rows: DataFrame) -> DataFrame:
@@ -182,61 +184,37 @@ def _raises(v: int, base_rank: Column) -> Column:
     return F.col(f"p{v}").isNotNull() & (F.lit(v) > base_rank) & before
 
 
+def scored_batch(batch: DataFrame) -> DataFrame:
+    """A batch in the store's columns, with a flag for rows that bring a score."""
+    scored = F.col("fit_score").isNotNull() | (clean(F.col("fit_tier"), False) != "") | (clean(F.col("ai_priority"), False) != "")
+    return coerce_payload(batch).withColumn("_scored", scored)
+
+
+def greatest_id(snapshot: DataFrame) -> int:
+    return snapshot.agg(F.max("posting_id")).first()[0] or 0
+
+
 def upsert_postings(
-    snapshot: DataFrame, batch: DataFrame, removed: DataFrame, run_id: int, now: Column
+    snapshot: DataFrame, batch: DataFrame, removed: DataFrame, run_id: int, now: Column, at_once: int = chains.AT_ONCE
 ) -> Upsert:
-    """M1: insert or update a batch, as if its rows came one by one in `pos`.
-
-    Rows of one key go where the first of them goes, since a key match comes
-    before a URL match: to the snapshot row it matches (J3), else to the group
-    whose first row has its canonical URL, else to a new row. So one non-blank
-    key never makes two rows. A URL that ends up under several entities would
-    need a longer chain: it is reported in `ambiguous`, its rows are stored
-    under their own entity.
+    """M1: insert or update a batch, exactly as if its rows came one by one in `pos`.
+
+    A row goes to the posting that has its key, else its canonical URL, else its
+    URL at that moment (`chains.assigned`); an update changes all three.
     """
-    coerced = coerce_payload(batch).withColumn(
-        "_scored",
-        F.col("fit_score").isNotNull() | (clean(F.col("fit_tier"), False) != "") | (clean(F.col("ai_priority"), False) != ""),
-    )
-    coerced = cut(coerced)
-    live, skipped = drop_tombstoned(coerced, removed)
-    canonical = F.col("canonical_job_posting_url")
-    identity = ["duplicate_key", "canonical_job_posting_url", "job_posting_url"]
-    resolved = live.join(resolve_existing(live, snapshot), identity)
+    live, skipped = drop_tombstoned(cut(scored_batch(batch)), removed)
+    start = greatest_id(snapshot)
+    known = cut(chains.candidates(live, snapshot))
+    rows = chains.assigned(live, known, start, at_once)
+    return apply_rows(snapshot, live, rows, skipped, start, run_id, now)
 
-    own = (
-        F.when(F.col("duplicate_key") != "", F.concat(F.lit("k:"), "duplicate_key"))
-        .when(canonical != "", F.concat(F.lit("u:"), canonical))
-        .otherwise(F.concat(F.lit("p:"), "pos"))
-    )
-    grouped = resolved.withColumn("_group", own)
-    heads = grouped.groupBy("_group").agg(
-        F.min("pos").alias("_p"), F.min_by(F.struct(canonical.alias("c"), F.col("existing_id").alias("id")), "pos").alias("_h")
-    )
-    heads = heads.select("_group", "_p", F.col("_h.c").alias("_c"), F.col("_h.id").alias("_id"))
-    own_entity = F.coalesce(F.concat(F.lit("id:"), F.col("_id").cast("string")), F.col("_group"))
-    owners = heads.filter(F.col("_c") != "").groupBy("_c").agg(F.min_by(F.struct(own_entity.alias("e"), F.col("_id").alias("id")), "_p").alias("_o"))
-    entity_of = heads.join(owners, "_c", "left").select(
-        "_group",
-        F.when(F.col("_id").isNotNull(), own_entity).otherwise(F.coalesce("_o.e", own_entity)).alias("_owner"),
-        F.coalesce("_id", "_o.id").alias("_owner_id"),
-    )
-    keyless = (F.col("duplicate_key") == "") & F.col("existing_id").isNotNull()
-    rows = (
-        grouped.join(entity_of, "_group", "left")
-        .withColumn("entity", F.when(keyless, F.concat(F.lit("id:"), F.col("existing_id").cast("string"))).otherwise(F.col("_owner")))
-        .withColumn("existing_id", F.when(keyless, F.col("existing_id")).otherwise(F.col("_owner_id")))
-        .drop("_group", "_owner", "_owner_id")
-    )
-    rows = cut(rows)
-    ambiguous = (
-        rows.filter(canonical != "")
-        .select("canonical_job_posting_url", "entity")
-        .distinct()
-        .groupBy("canonical_job_posting_url")
-        .agg(F.count(F.lit(1)).alias("entities"))
-        .filter("entities > 1")
-    )
+
+def apply_rows(
+    snapshot: DataFrame, live: DataFrame, entities: DataFrame, skipped: DataFrame, start: int, run_id: int, now: Column
+) -> Upsert:
+    """M1, second half: rows, each with its posting's id (`entities`), into the part of a store that holds those postings."""
+    rows = live.join(entities, "pos")
+    rows = cut(rows.withColumn("existing_id", F.when(F.col("entity") <= start, F.col("entity"))))
 
     folded = _fold(rows)
     payload = rows.drop("entity", "existing_id", "_scored", *SOURCE_COLUMNS).withColumnRenamed("pos", "last_pos")
@@ -246,9 +224,8 @@ def upsert_postings(
         "entity", "existing_id", *[F.col(c).alias(f"n_{c}") for c in new_columns if c[0] not in "pd" or not c[1:].isdigit()],
         *[f"{a}{v}" for a in "pd" for v in (1, 2, 3)],
     )
-    start = snapshot.agg(F.coalesce(F.max("posting_id"), F.lit(0)).alias("_start"))
     old = snapshot.withColumn("_old", F.lit(True))
-    joined = old.join(fresh, old["posting_id"] == fresh["existing_id"], "full_outer").join(F.broadcast(start), F.lit(True))
+    joined = old.join(fresh, old["posting_id"] == fresh["existing_id"], "full_outer")
 
     is_old, hit = F.col("_old").isNotNull(), F.col("entity").isNotNull()
     base_rank = F.when(is_old, trust.rank(F.col("source_trust"), trust.UPSERT_TRUST)).otherwise(F.lit(-1))
@@ -287,13 +264,14 @@ def upsert_postings(
         "updated_at": now,
     }
     # Ids of new rows follow their first position: unique without a global sort.
-    new_id = F.col("_start") + F.col("n_first_pos") + 1
+    new_id = F.col("entity")
     known = [c for c in snapshot.columns if c != "posting_id"]
     after = joined.select(
         F.when(is_old, F.col("posting_id")).otherwise(new_id).alias("posting_id"),
         *[(F.when(hit, changed[c]).otherwise(F.col(c)) if c in changed else F.col(c)).alias(c) for c in known],
     )
-    return Upsert(after, _outcomes(rows, skipped, joined, run_id, new_id, is_old, base_rank), ambiguous)
+    matches = rows.select("pos", F.col("entity").alias("posting_id"), *chains.IDENTITY)
+    return Upsert(after, _outcomes(rows, skipped, joined, run_id, new_id, is_old, base_rank), matches)
 
 
 def _outcomes(rows, skipped, joined, run_id, new_id, is_old, base_rank) -> DataFrame:
@@ -409,6 +387,14 @@ def append_artifact(snapshot: DataFrame, artifacts: DataFrame) -> DataFrame:
     return joined.select(*keep, F.coalesce("_path", old).alias("artifact_path"))
 
 
+def artifact_records(snapshot: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M7: (a record for each artifact of a known posting, artifacts of none)."""
+    text = lambda c: clean(F.col(c), False).alias(c)
+    known = snapshot.select("posting_id", text("duplicate_key"), text("company"), text("title"))
+    records = artifacts.join(known, "posting_id").select("artifact_id", "duplicate_key", "company", "title", F.col("path").alias("output_path"))
+    return records, artifacts.join(known, "posting_id", "left_anti")
+
+
 # --- endpoint contract ---------------------------------------------------------
 
 # The contract's required fields and allowed statuses.

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rolesift.functions.trust import SOURCE_TYPE_RANKS, UPSERT_TRUST
-from rolesift.operators import store
+from rolesift.operators import chains, store
 
 NOW = "2026-01-02 00:00:00"
 COLUMNS = "pos long, company string, title string, job_posting_url string, source_trust string, source_type string, source_detail string, fit_score string, duplicate_key string"
@@ -72,7 +73,6 @@ def test_upserts_match_a_row_by_row_store(spark):
         got = {r.pos: (r.status, r.discovery_state, r.trust_promoted) for r in result.outcomes.collect()}
         assert got == want
         assert held(result.snapshot) == state
-        assert result.ambiguous.count() == 0
         snapshot = spark.createDataFrame(result.snapshot.collect(), result.snapshot.schema)
         assert snapshot.select("posting_id").distinct().count() == len(state)
         if run == 1:
@@ -82,18 +82,74 @@ def test_upserts_match_a_row_by_row_store(spark):
                 state[r.duplicate_key]["workflow"] = "Applied"
 
 
-def test_longer_chains_are_reported(spark):
-    rows = [
-        (1, "A", "t", "https://a.com/1", "", "", "", "", "k1"),
-        (2, "A", "t", "https://a.com/2", "", "", "", "", "k1"),
-        (3, "B", "t", "https://a.com/2", "", "", "", "", "k2"),
-    ]
-    removed = spark.createDataFrame([], "duplicate_key string")
-    result = store.upsert_postings(
-        empty_snapshot(spark), spark.createDataFrame(rows, COLUMNS), removed, 1, F.lit(NOW).cast("timestamp")
-    )
-    assert [r.canonical_job_posting_url for r in result.ambiguous.collect()] == ["https://a.com/2"]
-    assert result.snapshot.count() == 2
+def one_by_one(stored, rows):
+    """pos -> posting id, where an update gives the posting the row's key and URLs."""
+    held, start, out = dict(stored), max(stored, default=0), {}
+    for pos, *identity in rows:
+        for k, value in enumerate(identity):
+            found = [i for i, x in held.items() if value and x[k] == value]
+            if found:
+                break
+        entity = min(found) if found else start + pos + 1
+        held[entity] = identity
+        out[pos] = entity
+    return out
+
+
+def mixed(seed, n=120):
+    rnd = random.Random(seed)
+    few = rnd.choice([6, 25, 80])
+    draw = lambda p: rnd.choice(["", *[f"{p}{rnd.randrange(few)}"] * 9])
+    stored = {i: [f"k{i}" if rnd.random() < 0.5 else f"own{i}", draw("c"), draw("u")] for i in range(1, 20)}
+    rows = []
+    for pos in range(n):
+        key, url = draw("k"), draw("u")
+        rows.append((pos, key, draw("c") if url else "", url))
+    return stored, rows
+
+
+def frames(spark, stored, rows):
+    identity = ", ".join(f"{c} string" for c in chains.IDENTITY)
+    known = spark.createDataFrame([(i, *x) for i, x in stored.items()], f"posting_id long, {identity}")
+    return known, spark.createDataFrame(rows, f"pos long, {identity}").repartition(5)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("at_once", [chains.AT_ONCE, 0])
+def test_rows_go_where_a_row_by_row_store_puts_them(spark, seed, at_once):
+    stored, rows = mixed(seed)
+    known, live = frames(spark, stored, rows)
+    found = chains.assigned(live, chains.candidates(live, known), max(stored), at_once)
+    assert {r.pos: r.entity for r in found.collect()} == one_by_one(stored, rows)
+
+
+def test_a_hot_key_is_not_replayed(spark):
+    rows = [(k, "hot", f"c{k % 7}", f"u{k}") for k in range(300)] + [(300, "a", "c", "u1x"), (301, "b", "c", "u2x"), (302, "a", "", "")]
+    known, live = frames(spark, {}, rows)
+    assert sorted(r.duplicate_key for r in chains.tangled_keys(live, known).collect()) == ["a", "b"]
+    found = {r.pos: r.entity for r in chains.assigned(live, known, 0).collect()}
+    assert found == one_by_one({}, rows)
+
+
+def test_components(spark):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(160)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(50)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    groups = {}
+    for r in chains.components(spark.createDataFrame(edges, "a long, b long")).collect():
+        groups.setdefault(r.component, set()).add(r.node)
+    want = {}
+    for x in {x for e in edges for x in e if e[0] != e[1]}:
+        want.setdefault(find(x), set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
 def test_url_match_within_the_batch(spark):
@@ -123,16 +179,21 @@ def test_a_key_goes_where_its_first_row_goes(spark):
     assert sorted((r.duplicate_key, r.title, r.seen_count) for r in result.snapshot.collect()) == [("k0", "t0", 1), ("k2", "t2", 2)]
 
 
-def test_keys_stay_unique_when_keys_and_urls_are_mixed(spark):
+def test_mixed_runs_match_a_row_by_row_store(spark):
     removed = spark.createDataFrame([], "duplicate_key string")
-    snapshot = empty_snapshot(spark)
+    snapshot, stored = empty_snapshot(spark), {}
     for run in (1, 2, 3):
         rnd = random.Random(run)
         rows = [(p, "A", f"t{p}", f"https://a.com/{rnd.randrange(12)}", "", "", "", "", f"k{rnd.randrange(12)}") for p in range(40)]
         result = store.upsert_postings(snapshot, spark.createDataFrame(rows, COLUMNS), removed, run, F.lit(NOW).cast("timestamp"))
         snapshot = spark.createDataFrame(result.snapshot.collect(), result.snapshot.schema)
-        entities = result.outcomes.groupBy("duplicate_key").agg(F.count_distinct("job_id").alias("n"))
-        assert entities.filter("n > 1").count() == 0
+        want = one_by_one(stored, [(p, key, url, url) for p, _, _, url, *_, key in rows])
+        assert {r.pos: r.job_id for r in result.outcomes.collect()} == want
+        for p, _, _, url, *_, key in rows:
+            stored[want[p]] = [key, url, url]
+        assert {r.posting_id: [r.duplicate_key, r.canonical_job_posting_url, r.job_posting_url] for r in snapshot.collect()} == stored
+        last = {e: p for p, e in want.items()}
+        assert {r.posting_id: r.title for r in snapshot.collect() if r.posting_id in last} == {e: f"t{p}" for e, p in last.items()}
 
 
 def test_removed_rows_become_tombstones(spark):
