@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, strip
+from ..functions.text import strip
+from . import json_lists
 
 CONTRACT_VERSION = "1.0"
 CONTRACT_FIELDS = [
@@ -15,9 +17,6 @@ CONTRACT_FIELDS = [
     "confidence_score", "last_validated_at", "confidence_reason", "is_primary_careers_url", "fortune_rank",
     "review_notes", "notes", "jobs_feed_url", "discovery_method", "source_url",
 ]
-CONTRACT_SCHEMA = "schema_version string, generated_at string, source_repo string, records array<struct<{}>>".format(
-    ", ".join(f"{f}: string" for f in CONTRACT_FIELDS)
-)
 CASE_FIELDS = [
     "id", "expected_label", "title", "company", "location", "description_text", "target_titles", "preferred_locations",
     "remote_only", "notes",
@@ -40,33 +39,34 @@ def read_url_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.filter((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
-def read_endpoint_contract(spark: SparkSession, path: str, version: str = CONTRACT_VERSION) -> DataFrame:
-    """The contract's records with their position, all fields as text.
+def read_endpoint_contract(spark: SparkSession, path: str | list[str], version: str = CONTRACT_VERSION) -> DataFrame:
+    """The contracts' records, all fields as text, with their position over all files.
 
     Fails when the version is missing or another, or records is no list.
     """
-    raw = spark.read.schema(CONTRACT_SCHEMA).option("multiLine", True).json(path)
-    given = clean(F.col("schema_version"), False)
-    # The check sits inside the exploded value: no filter can come before it.
-    checked = (
-        F.when(given == "", F.raise_error(F.lit("Import file is missing schema_version.")))
-        .when(given != version, F.raise_error(F.concat(F.lit("Unsupported schema_version "), given)))
-        .when(F.col("records").isNull(), F.raise_error(F.lit("Import file must contain a records list.")))
-        .otherwise(F.col("records"))
-    )
-    rows = raw.select(F.posexplode(checked).alias("pos", "r"))
-    return rows.select(F.col("pos").cast("long").alias("pos"), *[F.col(f"r.{f}").alias(f) for f in CONTRACT_FIELDS])
+    records, outer = json_lists.read_objects(spark, path, "records")
+    for text in outer.values():
+        around = json.JSONDecoder().raw_decode(text.strip())[0]
+        given = str(around.get("schema_version") or "").strip()
+        if not given:
+            raise ValueError("Import file is missing schema_version.")
+        if given != version:
+            raise ValueError(f"Unsupported schema_version {given}")
+        if not isinstance(around.get("records"), list):
+            raise ValueError("Import file must contain a records list.")
+    parsed = records.select("pos", F.from_json("text", ", ".join(f"{f} string" for f in CONTRACT_FIELDS)).alias("r"))
+    return parsed.select("pos", *[F.col(f"r.{f}").alias(f) for f in CONTRACT_FIELDS])
 
 
 def read_labelled_cases(spark: SparkSession, path: str) -> DataFrame:
     """S3: labelled cases of a '.json' list or of JSON lines; '#' lines and
     anything that is no object are dropped."""
     if path.endswith(".json"):
-        rows = spark.read.schema(CASE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-        return rows.filter(F.coalesce(*[F.col(f) for f in CASE_FIELDS]).isNotNull())
-    lines = spark.read.text(path).select(strip(F.col("value")).alias("line"))
-    objects = lines.filter(F.col("line").startswith("{"))
-    return objects.select(F.from_json("line", CASE_SCHEMA).alias("c")).filter("c IS NOT NULL").select("c.*")
+        texts = json_lists.read_objects(spark, path)[0].select(F.col("text").alias("line"))
+    else:
+        lines = spark.read.text(path).select(strip(F.col("value")).alias("line"))
+        texts = lines.filter(F.col("line").startswith("{"))
+    return texts.select(F.from_json("line", CASE_SCHEMA).alias("c")).filter("c IS NOT NULL").select("c.*")
 
 
 def _folder(column: Column) -> Column:
@@ -88,11 +88,15 @@ def read_run_reports(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
 
 
 def append_run_ledger(summary: DataFrame, items: DataFrame, root: str, details: Sequence[str]) -> None:
-    """Append run rows (details as JSON) and their item rows."""
+    """Run rows (details as JSON) and their item rows, each in its run's own folder.
+
+    A run that is written again replaces its rows and no others.
+    """
     counted = [c for c in summary.columns if c not in details]
     rows = summary.select(*counted, F.to_json(F.struct(*details)).alias("details_json"))
-    rows.write.mode("append").parquet(f"{root}/runs")
-    items.write.mode("append").partitionBy("run_id").parquet(f"{root}/run_items")
+    for frame, name in ((items, "run_items"), (rows, "runs")):
+        by_run = frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+        by_run.parquet(f"{root}/{name}")
 
 
 def merge_run_details(runs: DataFrame, extra: DataFrame) -> DataFrame:

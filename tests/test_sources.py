@@ -1,11 +1,12 @@
 """Files in and out."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rolesift.sources import files
+from rolesift.sources import files, json_lists
 
 
 def test_url_lists(spark, tmp_path):
@@ -23,6 +24,37 @@ def test_contract(spark, tmp_path):
             files.read_endpoint_contract(spark, str(path)).collect()
 
 
+@pytest.mark.parametrize("size", [64, 200, 1 << 20])
+def test_lists_are_read_by_byte_ranges(spark, tmp_path, size):
+    rnd = random.Random(size)
+    word = lambda: "".join(rnd.choice('ab"\\{}[],: é\n') for _ in range(rnd.randint(0, 30)))
+    files_, want = {}, []
+    for name in ("a", "b"):
+        records = [{"company_name": word(), "notes": word(), "odd": {"deep": [word(), {"x": word()}]}, "confidence_score": rnd.random()} for _ in range(40)]
+        records += [{"company_name": "long", "notes": word() * 60}]
+        body = {"schema_version": "1.0", "meta": {"records": [word()], "x": {}}, "records": records, "after": {"y": ["}"]}}
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=rnd.choice([None, 1]), ensure_ascii=False))
+        (tmp_path / f"{name}_cases.json").write_text(json.dumps([1, "}{", *[{"id": word(), "notes": word()} for _ in range(30)], [{"no": 1}]]) + "\n")
+        want += records
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        paths = [str(tmp_path / f"{n}.json") for n in ("a", "b")]
+        got = files.read_endpoint_contract(spark, paths).orderBy("pos").collect()
+        assert [r.pos for r in got] == list(range(82))
+        assert [(r.company_name, r.notes) for r in got] == [(r["company_name"], r["notes"]) for r in want]
+        assert [float(r.confidence_score) for r in got if r.confidence_score] == [r["confidence_score"] for r in want if "confidence_score" in r]
+        if size < 1000:
+            assert json_lists._parts(spark, paths).rdd.getNumPartitions() > 20
+        for path in [str(tmp_path / f"{n}_cases.json") for n in ("a", "b")]:
+            cases = [c for c in json.loads(open(path).read()) if isinstance(c, dict)]
+            rows = files.read_labelled_cases(spark, path).collect()
+            assert sorted((r.id, r.notes) for r in rows) == sorted((c["id"], c["notes"]) for c in cases)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_labelled_cases(spark, tmp_path):
     lines = tmp_path / "c.jsonl"
     lines.write_text('# x\n{"id": "1", "expected_label": "yes"}\n\n[1]\n{"id": "2"}\n')
