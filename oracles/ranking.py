@@ -54,6 +54,10 @@ SELECT profile_id, endpoint_id, vendor, score::INT AS score, (rn - 5)::INT AS po
 add("W6_next_batch", f"""WITH {SCORED}, {selection('sc', 5)}, s2 AS (SELECT * FROM sc x WHERE profile_id <> 1 AND NOT EXISTS (SELECT 1 FROM sel s WHERE s.profile_id = x.profile_id AND s.endpoint_url = x.endpoint_url)),
  {selection('s2', 5, 'b')} SELECT profile_id, endpoint_id, pass_no, position::INT AS position FROM selb""")
 
+add("A18_selection_mix", f"""WITH {SCORED}, {selection('sc', 12)}, ch AS (SELECT s.profile_id, s.vendor, company_name, position FROM sel s JOIN sc USING (endpoint_id)),
+ v AS (SELECT profile_id, vendor, count(*) AS n, min(position) AS p FROM ch GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY count(*) DESC, min(position)) <= 5),
+ f AS (SELECT profile_id, company_name, min(position) AS p FROM ch GROUP BY 1, 2)
+SELECT profile_id, (SELECT string_agg(vendor || ' ' || n, ', ' ORDER BY n DESC, p) FROM v WHERE v.profile_id = f.profile_id) AS top_vendors, string_agg(company_name, ', ' ORDER BY p) AS companies FROM f GROUP BY 1""")
 RANKED = f"""{REG}, rr AS (SELECT *, seen_count AS s, matching_job_count AS m FROM reg), pr AS (SELECT *, round_even(CASE source_trust WHEN 'ATS Confirmed' THEN 50 WHEN 'Career Site Confirmed' THEN 35 WHEN 'Web Discovered' THEN 20 ELSE 0 END
   + CASE WHEN source_type = 'ATS' THEN 20 ELSE 0 END + least(s, 50) * 0.5 + least(m, 50) * 1.5 + m::DOUBLE / s * 30 + 10, 2)::DOUBLE AS priority_score,
   array_to_string(list_filter([CASE WHEN m / s >= 0.75 THEN 'high yield' WHEN m / s <= 0.15 AND s >= 5 THEN 'low yield' END, CASE WHEN s >= 25 THEN 'high volume' WHEN s <= 2 THEN 'low history' END], lambda x: x IS NOT NULL), ', ') AS notes FROM rr)"""
@@ -68,11 +72,22 @@ add("W8_split_and_cap_sources", f"""WITH {RANKED}, d AS (SELECT *, priority_scor
  k AS (SELECT *, row_number() OVER (PARTITION BY ats_type, strong ORDER BY priority_score DESC, m DESC, s DESC, source_root) AS rn, CASE WHEN ats_type = 'Lever' THEN CASE WHEN strong THEN 10 ELSE 5 END ELSE CASE WHEN strong THEN 25 ELSE 15 END END AS cap FROM d)
 SELECT ats_type, source_root, strong, rn <= cap AS kept, CASE WHEN rn <= cap THEN rn ELSE 0 END::INT AS rank_in_class FROM k""")
 add("W7_cap_per_group", f"WITH {POSTINGS} SELECT posting_id, company FROM postings QUALIFY row_number() OVER (PARTITION BY company ORDER BY posting_id) <= 2")
+SCAN = f"""{POSTINGS}, j AS (SELECT *, CASE WHEN NOT (lower(title) LIKE '%vice%' OR lower(title) LIKE '%director%' OR lower(title) LIKE '%head%') THEN 'title'
+   WHEN lower(location) LIKE '%canada%' THEN 'location' END AS skip FROM postings),
+ c AS (SELECT *, count(*) FILTER (skip IS NULL) OVER (PARTITION BY company ORDER BY posting_id) AS kept_so_far FROM j),
+ r AS (SELECT *, kept_so_far < 2 OR (kept_so_far = 2 AND skip IS NULL) AS reached FROM c)"""
+add("W7_capped_scan", f"""WITH {SCAN} SELECT company, count(*) FILTER (reached) AS scanned, count(*) FILTER (reached AND skip = 'title') AS title_skips,
+ count(*) FILTER (reached AND skip = 'location') AS location_skips, count(*) FILTER (NOT reached) AS not_reached, count(DISTINCT job_posting_url) FILTER (reached AND skip IS NULL) AS kept FROM r GROUP BY 1""")
+add("W7_capped_scan_kept", f"WITH {SCAN} SELECT company, min(posting_id) AS posting_id, job_posting_url FROM r WHERE reached AND skip IS NULL GROUP BY company, job_posting_url")
+add("W7_wide_cap", f"""WITH {POSTINGS} SELECT profile_id, posting_id, row_number() OVER (PARTITION BY profile_id ORDER BY fit_score DESC NULLS LAST, posting_id) AS place
+ FROM postings QUALIFY place <= 3000""")
 add("W9_latest_per_key", f"WITH {OBS} SELECT profile_id, provider, run_id, obs_id FROM obs QUALIFY row_number() OVER (PARTITION BY profile_id, provider ORDER BY run_id DESC, obs_id DESC) <= 3")
 add("W10_label_latest_run", f"""WITH {POSTINGS} SELECT posting_id, CASE WHEN last_seen_run_id < (SELECT max(last_seen_run_id) FROM postings) THEN '' WHEN posting_id % 3 <= 1 THEN 'Net New' ELSE 'Rediscovered' END AS discovery_state FROM postings""")
 OPEN = "postings WHERE workflow_status = 'New' AND active_status = 'Active'"
 add("W12_page", f"""WITH {POSTINGS}, o AS (SELECT posting_id, row_number() OVER (ORDER BY fit_score DESC NULLS LAST, company, title, posting_id) AS rn, count(*) OVER () AS n FROM {OPEN})
 SELECT posting_id, rn::INT AS row_no, 3::BIGINT AS page_no, n AS total_rows, ceil(n / 25.0)::BIGINT AS total_pages FROM o WHERE rn BETWEEN 51 AND 75""")
+add("W12_last_page", f"""WITH {POSTINGS}, o AS (SELECT posting_id, row_number() OVER (ORDER BY fit_score DESC NULLS LAST, company, title, posting_id) AS rn, count(*) OVER () AS n FROM {OPEN})
+SELECT posting_id, rn::INT AS row_no, ceil(n / 25.0)::BIGINT AS page_no, n AS total_rows, ceil(n / 25.0)::BIGINT AS total_pages FROM o WHERE rn > (ceil(n / 25.0) - 1) * 25""")
 add("W13_new_per_tier", f"""WITH {OBS}, v AS (SELECT (obs_id % 6)::INT AS tier, {canonical('raw_url')} AS url FROM obs), f AS (SELECT url, min(tier) AS tier FROM v GROUP BY 1)
 SELECT tier, count(*) AS results, (SELECT count(*) FROM f WHERE f.tier = v.tier) AS new_urls FROM v GROUP BY 1""")
 PAY = "coalesce(list_max(list_transform(regexp_extract_all(replace(compensation_raw, ',', ''), '[0-9]+([.][0-9]+)?'), lambda x: x::DOUBLE)), -1)"

@@ -11,20 +11,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 BLOCK_ROWS = 1_000_000
 
 
+#: Rows per key up to which every map task may keep its own first n.
+NARROW = 1000
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, rank: str | None = None) -> DataFrame:
     """The first n rows of every key.
 
     Spark limits each map task to n rows per key before the shuffle, so a key
-    holding a third of the table reaches its task as n rows per map task.
+    holding a third of the table reaches its task as n rows per map task. Beyond
+    ``NARROW`` rows that is a table of its own, and `ranked` takes over.
     """
-    numbered = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kept = numbered.filter(F.col("_rank") <= n)
+    if n > NARROW:
+        kept = ranked(df, keys, order, "_rank", n)
+    else:
+        numbered = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        kept = numbered.filter(F.col("_rank") <= n)
     return kept.withColumnRenamed("_rank", rank) if rank else kept.drop("_rank")
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank", n: int | None = None, first: int = 1) -> DataFrame:
+    """Each row's number in its key's order, for a key (or a whole table, without keys) of any size.
+
+    Rows are dealt by ranges of (keys, order) and counted for each key and
+    range; the counts before a range are its offset, so no task numbers more than a
+    range. Only ranges that hold a number from ``first`` to ``n`` are numbered at all.
+    """
+    ranged = df.repartitionByRange(*[F.asc(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged)
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    wanted = F.col("_before") + F.col("_size") >= first
+    offsets = offsets.filter(wanted if n is None else wanted & (F.col("_before") < n)).drop("_size")
+    same = F.col("_range") == F.col("_of")
+    for k, key in enumerate(keys):
+        offsets = offsets.withColumnRenamed(key, f"_key{k}")
+        same &= F.col(key).eqNullSafe(F.col(f"_key{k}"))
+    placed = ranged.join(offsets.withColumnRenamed("_range", "_of"), same)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
+    numbered = placed.withColumn(rank, (F.col("_before") + F.row_number().over(inside)).cast("long"))
+    kept = numbered.filter((F.col(rank) >= first) if n is None else F.col(rank).between(first, n))
+    return kept.select(*df.columns, rank)
+
+
 def mark_first(df: DataFrame, keys: Sequence[str], pos: str, flag: str, among: Column | None = None) -> DataFrame:
     """Flag the first row (by pos) of every key, all rows kept.
 

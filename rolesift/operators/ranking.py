@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import notes, pay, titles, trust, urls
 from ..functions.text import clean, contains_any, first_number, norm_plain, split_csv, split_places
 from .lineage import cut
-from .ordered import top_n
+from .ordered import ranked, top_n
 
 # Vendors whose endpoints can be scanned, and their quotas.
 SEED_VENDORS = ["greenhouse", "lever", "workday", "sap successfactors", "icims", "taleo / oracle recruiting"]
@@ -387,6 +387,30 @@ def cap_per_group(df: DataFrame, group: str | Sequence[str], n: int, order: Sequ
     return top_n(df, [group] if isinstance(group, str) else list(group), order, n)
 
 
+def capped_scan(df: DataFrame, group: str, n: int, pos: str, gates: dict[str, Column], url: str) -> tuple[DataFrame, DataFrame]:
+    """(the rows kept per group, per group what was kept and skipped).
+
+    A group is scanned by `pos` (unique) until n rows have passed all gates; a row is
+    skipped by its first failing gate. Rows after the scan's end are neither
+    kept nor skipped, and a URL that is kept twice is one of the kept.
+    """
+    reason = F.lit(None).cast("string")
+    for name, passes in reversed(gates.items()):
+        reason = F.when(F.coalesce(passes, F.lit(False)), reason).otherwise(F.lit(name))
+    judged = df.withColumn("_skip", reason)
+    kept = top_n(judged.filter(F.col("_skip").isNull()), [group], [F.asc(pos)], n, rank="_nth")
+    ends = kept.filter(F.col("_nth") == n).select(F.col(group).alias("_group"), F.col(pos).alias("_end"))
+    seen = judged.join(ends, F.col(group).eqNullSafe(F.col("_group")), "left").withColumn(
+        "_in", F.col("_end").isNull() | (F.col(pos) <= F.col("_end"))
+    )
+    counts = [F.count_if(F.col("_in") & (F.col("_skip") == name)).alias(f"{name}_skips") for name in gates]
+    summary = seen.groupBy(group).agg(F.count_if("_in").alias("scanned"), *counts, F.count_if(~F.col("_in")).alias("not_reached"))
+    once = top_n(kept.drop("_skip", "_nth"), [group, url], [F.asc(pos)])
+    found = once.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("kept"))
+    summary = summary.join(found, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group").fillna(0, ["kept"])
+    return once, summary
+
+
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The newest (n) rows per key."""
     return top_n(df, [key] if isinstance(key, str) else list(key), order, n)
@@ -455,16 +479,15 @@ def applied_list(postings: DataFrame, today: Column) -> DataFrame:
 def page(df: DataFrame, order: Sequence[Column], size: int, number: int) -> DataFrame:
     """One page with the totals; the number is clamped to the range.
 
-    The page is a top-k of the sort, never the whole sorted table.
+    The table is dealt by ranges of the order, and only the ranges that the page
+    lies in are numbered: the last page costs what the first does.
     """
-    totals = F.broadcast(df.agg(F.count(F.lit(1)).alias("total_rows"))).withColumn(
-        "total_pages", F.greatest(F.lit(1), F.ceil(F.col("total_rows") / size)).cast("long")
-    )
-    totals = totals.withColumn("page_no", F.greatest(F.lit(1), F.least(F.lit(number), "total_pages")).cast("long"))
-    wanted = df.orderBy(*order).limit(size * max(number, 1))
-    ranked = wanted.withColumn("row_no", F.row_number().over(Window.orderBy(*order)))
-    placed = ranked.join(totals, F.lit(True))
-    return placed.filter((F.col("row_no") > (F.col("page_no") - 1) * size) & (F.col("row_no") <= F.col("page_no") * size))
+    total = df.count()
+    pages = max(1, -(-total // size))
+    number = max(1, min(number, pages))
+    rows = ranked(df, [], order, "row_no", number * size, (number - 1) * size + 1)
+    totals = {"total_rows": total, "total_pages": pages, "page_no": number}
+    return rows.withColumn("row_no", F.col("row_no").cast("int")).withColumns({c: F.lit(v).cast("long") for c, v in totals.items()})
 
 
 # --- sets and comparisons --------------------------------------------------------------
