@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rolesift.operators.planning import ATS_SITES, BOARD_SITES, CAREER_SIGNALS
+from rolesift.operators.results import SCORE_LISTS
 from rolesift.plans import derived
 
 from .base import ENRICHED, MODEL_RESULTS, OBS, POSTINGS, PREPARED, add, host, norm, plain, sql
@@ -154,8 +155,8 @@ REP = f"""{OBS}, rp AS (SELECT *, {gate('raw_url')} AS g, {CLASSIFY} AS c, CASE
 add("A2_flatten_drop_counts", f"WITH {REP} SELECT c AS reason, count(*) AS dropped FROM rp WHERE c NOT IN {OK} GROUP BY 1")
 add("A14_case_metrics", f"""WITH {REP} SELECT report_id, seen_urls, accepted_jobs, round(accepted_jobs::DOUBLE * 100 / seen_urls, 1) AS acceptance_pct, broken_url_count, blocked AS blocked_domain_drop_count,
  weak AS weak_title_match_count, 0::BIGINT AS duplicate_count, url_count, domain_count FROM ca""")
-OVER = f"""{REP}, gv AS (SELECT grp, count(DISTINCT provider) AS variants, max(accepted_jobs) - min(accepted_jobs) AS accepted_gap, max(broken_url_count) - min(broken_url_count) AS broken_gap FROM ca WHERE mode = 'legacy' GROUP BY 1),
- gu AS (SELECT grp, lower(raw_url) AS u, count(DISTINCT provider) AS n FROM rp WHERE mode = 'legacy' AND raw_url <> '' GROUP BY 1, 2),
+OVER = f"""{REP}, gv AS (SELECT grp || '/' || mode AS grp, count(DISTINCT provider) AS variants, max(accepted_jobs) - min(accepted_jobs) AS accepted_gap, max(broken_url_count) - min(broken_url_count) AS broken_gap FROM ca GROUP BY 1),
+ gu AS (SELECT grp || '/' || mode AS grp, lower(raw_url) AS u, count(DISTINCT provider) AS n FROM rp WHERE raw_url <> '' GROUP BY 1, 2),
  ov AS (SELECT grp AS "group", variants, accepted_gap, broken_gap, count(*) AS union_urls, count(*) FILTER (n = variants) AS shared_urls, round(count(*) FILTER (n = variants)::DOUBLE * 100 / count(*), 1) AS overlap_pct FROM gv JOIN gu USING (grp) GROUP BY 1, 2, 3, 4)"""
 add("A10_variant_overlap", f"WITH {OVER} SELECT * FROM ov")
 add("A11_benchmark_overall", f"""WITH {OVER} SELECT count(*) AS cases, sum(seen_urls)::BIGINT AS seen_urls, sum(accepted_jobs)::BIGINT AS accepted_jobs, sum(broken_url_count)::BIGINT AS broken_urls, round(sum(accepted_jobs)::DOUBLE * 100 / sum(seen_urls), 2) AS acceptance_pct,
@@ -172,3 +173,24 @@ add("S1_S7_url_list_round_trip", "SELECT url FROM pages WHERE url <> ''")
 add("S6_append_run_ledger", f"""WITH {OBS} SELECT run_id, count(*) AS total_seen, count(*) AS items, (count(*) FILTER (provider = 'search'))::VARCHAR AS search, 'legacy' AS mode FROM obs GROUP BY 1""")
 add("S8_write_report", f"""WITH {GATED}, r AS (SELECT run_id, reason, count(*) AS n, min(obs_id) AS p FROM gated WHERE reason NOT IN ('', 'duplicate_in_batch') GROUP BY 1, 2)
 SELECT run_id, count(*) AS seen, count(*) FILTER (reason = '') AS accepted, (SELECT reason FROM r WHERE r.run_id = g.run_id ORDER BY n DESC, p LIMIT 1) AS dominant_reason FROM gated g GROUP BY 1""")
+
+# --- files, notes and the stream ---------------------------------------------------------------
+add("T18_run_durations", """WITH x AS (SELECT event_id, event_id % 5 AS f, event_id % 7 AS o, greatest(0, event_id % 9000 - 100) AS s FROM events)
+SELECT event_id, CASE WHEN o = 0 THEN (event_id % 11) || '.50s' WHEN f <= 2 THEN printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) ELSE 'Unknown' END AS duration FROM x""")
+add("T19_note_fields", """SELECT p_partkey, CASE WHEN p_partkey % 50 > 0 THEN p_partkey % 50 ELSE p_size END::BIGINT AS picked, 0::BIGINT AS "none", 'next gen' AS mode, p_name AS more,
+ CASE WHEN p_partkey % 3 > 0 THEN 'size: ' || p_size || '; name: ' || p_name ELSE '' END AS items FROM part""")
+add("T21_profile_text", """WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'Executive Summary:' || chr(10) || c_name END AS a, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Strengths to Highlight:' || chr(10) || 'segment ' || c_mktsegment END AS b,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Supporting Candidate Evidence:' || chr(10) || 'Resume Text:' || chr(10) || c_name END AS c FROM customer),
+ q AS (SELECT c_custkey, array_to_string(list_filter([a, b], lambda s: s <> ''), chr(10) || chr(10)) AS h, c FROM p),
+ t AS (SELECT c_custkey, array_to_string(list_filter([CASE WHEN h <> '' THEN 'High Priority Candidate Signals:' || chr(10) || h ELSE '' END, c], lambda s: s <> ''), chr(10) || chr(10)) AS profile_text FROM q)
+SELECT c_custkey, profile_text, CASE WHEN length(profile_text) > 60 THEN rtrim(profile_text[1:60], chr(10) || ' ') || chr(10) || chr(10) || '[TRUNCATED]' ELSE profile_text END AS short FROM t""")
+add("C4_score_lists", "SELECT doc_id, " + ", ".join(
+    f"CASE WHEN doc_id % 9 > 0 THEN '{k} ' || lang ELSE '{'Could not parse model response as JSON' if c == 'gaps_or_risks' else ''}' END AS {c}" for k, c in enumerate(SCORE_LISTS)
+) + " FROM documents")
+add("S3_labelled_cases", """SELECT doc_id::VARCHAR AS id, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS expected_label, 'a "}{" title' AS title FROM labels""")
+add("Z1_ingest_runs", """WITH x AS (SELECT (day(ts) - 1) // 16 + 1 AS run_id, user_id || '|' || event_type AS k, event_id, event_type FROM events),
+ gone AS (SELECT DISTINCT k FROM x WHERE event_type = 'purchase' OR event_id % 1000 = 7),
+ u AS (SELECT run_id, k, count(*) AS n FROM x GROUP BY 1, 2), f AS (SELECT k, min(run_id) AS first FROM u GROUP BY 1),
+ j AS (SELECT u.*, k IN (SELECT k FROM gone) AS removed, run_id = first AS new FROM u JOIN f USING (k))
+SELECT run_id::INT AS run_id, 'completed' AS status, count(*) AS total_seen, count(*) FILTER (new AND NOT removed) AS inserted_count, count(*) FILTER (NOT new AND NOT removed) AS updated_count, count(*) FILTER (removed) AS skipped_removed_count,
+ count(*) FILTER (new AND NOT removed) AS net_new_count, count(*) FILTER (NOT new AND NOT removed) AS rediscovered_count, sum(n - 1)::BIGINT AS dropped_duplicates, count(*) AS items, count(*) FILTER (NOT removed) AS postings FROM j GROUP BY 1""")

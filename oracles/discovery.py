@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from rolesift.plans import derived
+
 from .base import (
-    ENDPOINTS, ENRICHED, OBS, POSTINGS, PREPARED, add, canonical, host, norm, path, plain, segs, vendor_form,
+    ENDPOINTS, ENRICHED, OBS, POSTINGS, PREPARED, add, canonical, host, norm, path, plain, segs, sql, vendor_form,
 )
 
 # --- F2: the gate as a ladder over the test URLs' shapes -----------------------
@@ -155,15 +157,29 @@ add("F1_gate_cascade", f"WITH {GATED} SELECT * FROM gated")
 add("A1_reason_summary", f"""WITH {GATED} SELECT reason, count(*) AS n, min(obs_id) AS first_pos,
   coalesce(arg_min(url, obs_id) FILTER (url <> ''), '') AS example, (SELECT count(*) FROM gated WHERE reason <> '') AS total
 FROM gated WHERE reason <> '' GROUP BY 1 ORDER BY n DESC, first_pos LIMIT 8""")
-add("A3_run_quality", f"""WITH {GATED}, r AS (SELECT run_id, reason, count(*) AS n, min(obs_id) AS p FROM gated GROUP BY 1, 2),
+
+
+def quality(rows: str, drops: str = "") -> str:
+    """A3 over the rows (run_id, obs_id, reason) of a CTE; drops: a CTE of (run_id, drop_reason)."""
+    post = "('parse_failed', 'processing_error', 'title_mismatch', 'location_mismatch', 'excluded_keyword', 'below_threshold')"
+    dropped = f"""WHEN (SELECT bool_or(drop_reason = 'blocked_domain') FROM {drops} d WHERE d.run_id = a.run_id) THEN 'noisy_sources'
+  WHEN len(shown) > 0 OR EXISTS (SELECT 1 FROM {drops} d WHERE d.run_id = a.run_id) THEN 'hidden_in_mix'""" if drops else "WHEN len(shown) > 0 THEN 'hidden_in_mix'"
+    return f"""r AS (SELECT run_id, reason, count(*) AS n, min(obs_id) AS p FROM {rows} GROUP BY 1, 2),
  dom AS (SELECT run_id, reason, n FROM r WHERE reason NOT IN ('', 'duplicate_in_batch') QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC, p) = 1),
+ top8 AS (SELECT run_id, list(reason) AS shown FROM (SELECT * FROM r WHERE reason <> '' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY n DESC, p) <= 8) GROUP BY 1),
  a AS (SELECT run_id, count(*) AS seen, count(*) FILTER (reason = '') AS accepted, count(*) FILTER (reason IN ('non_job_url', 'weak_url_title_match')) AS pre_parse,
-  0::BIGINT AS post_parse, count(*) FILTER (reason = 'duplicate_in_batch') AS duplicates, count(*) FILTER (reason <> '') AS skipped FROM gated GROUP BY 1)
+  count(*) FILTER (reason IN {post}) AS post_parse, count(*) FILTER (reason = 'duplicate_in_batch') AS duplicates, count(*) FILTER (reason <> '') AS skipped FROM {rows} GROUP BY 1)
 SELECT a.*, coalesce(dom.reason, '') AS dominant_reason, coalesce(dom.n, 0) AS dominant_count,
- round(accepted::DOUBLE * 100 / seen, 1) AS accepted_pct, round(pre_parse::DOUBLE * 100 / seen, 1) AS pre_parse_pct, 0.0::DOUBLE AS post_parse_pct,
+ round(accepted::DOUBLE * 100 / seen, 1) AS accepted_pct, round(pre_parse::DOUBLE * 100 / seen, 1) AS pre_parse_pct, round(post_parse::DOUBLE * 100 / seen, 1) AS post_parse_pct,
  round(duplicates::DOUBLE * 100 / seen, 1) AS duplicates_pct, round(coalesce(dom.n, 0)::DOUBLE * 100 / greatest(skipped, 1), 1) AS dominant_pct,
- CASE WHEN accepted = 0 AND pre_parse > 0 THEN 'weak_discovery' WHEN accepted = 0 THEN 'poor_fit'
-  WHEN dom.reason IS NOT NULL THEN 'limited_by_' || dom.reason ELSE 'clean' END AS verdict FROM a LEFT JOIN dom USING (run_id)""")
+ CASE WHEN accepted = 0 AND pre_parse > post_parse THEN 'weak_discovery' WHEN accepted = 0 THEN 'poor_fit'
+  WHEN dom.reason IS NOT NULL THEN 'limited_by_' || dom.reason ELSE 'clean' END AS verdict,
+ CASE WHEN list_contains(shown, 'location_mismatch') THEN 'location_strictness' WHEN list_contains(shown, 'title_mismatch') THEN 'title_drift'
+  WHEN list_contains(shown, 'weak_url_title_match') THEN 'url_title_prefilter' {dropped} ELSE '' END AS limiter
+ FROM a LEFT JOIN dom USING (run_id) LEFT JOIN top8 USING (run_id)"""
+
+
+add("A3_run_quality", f"WITH {GATED}, {quality('gated')}")
 
 # --- locations: the twelve test places and the wishes, parsed by hand ----------------
 PLACE_ROWS = """places(location, nrm, city, region, country, rem) AS (SELECT * FROM (VALUES
@@ -197,6 +213,18 @@ add("F8_location_filter", f"WITH {LOC} SELECT posting_id, profile_id, place_pass
 add("J5_match_location", f"""WITH {LOC} SELECT posting_id, profile_id, len(wishes) = 0 OR why IS NOT NULL AS place_match,
  CASE WHEN len(wishes) = 0 THEN 'no preferred location set' WHEN nrm = '' THEN 'blank job location' ELSE coalesce(why, 'no preferred location match') END AS place_match_reason FROM loc""")
 
+add("J5_match_locations_keyed", f"""WITH {LOC} SELECT posting_id, profile_id, len(wishes) = 0 OR why IS NOT NULL AS place_match,
+ CASE WHEN len(wishes) = 0 THEN 'no preferred location set' WHEN nrm = '' THEN 'blank job location' ELSE coalesce(why, 'no preferred location match') END AS place_match_reason FROM loc""")
+
+# Five kinds of profile, one for each customer by its number.
+add("J14_top_profiles", f"""WITH {POSTINGS}, {PREPARED}, tt AS (SELECT DISTINCT title, {norm('title')} AS nt FROM postings WHERE title <> ''),
+ sc AS (SELECT title, profile_id AS kind, max(CASE WHEN contains(nt, {norm('t')}) THEN 55
+   ELSE (CASE len(list_intersect(list_distinct(string_split(nt, ' ')), list_distinct(string_split({norm('t')}, ' ')))) WHEN 0 THEN 0 WHEN 1 THEN 16 WHEN 2 THEN 32 ELSE 42 END) END) AS s
+  FROM (SELECT title, nt, profile_id, unnest(scoring) AS t FROM tt, prepared) GROUP BY 1, 2
+  UNION ALL SELECT title, profile_id, 20 FROM tt, prepared WHERE len(scoring) = 0),
+ pl AS (SELECT title, c_custkey AS profile_id, s, row_number() OVER (PARTITION BY title ORDER BY s DESC, c_custkey) AS place FROM sc JOIN customer ON c_custkey % 5 = kind WHERE s > 0 QUALIFY place <= 3)
+SELECT posting_id, pl.profile_id::INT AS profile_id, s::INT AS title_score, place::INT AS place FROM postings p JOIN pl USING (title)""")
+
 TITLE = f"""best AS (SELECT posting_id, score, t FROM (SELECT posting_id, i, t, CASE WHEN contains(nt, {norm('t')}) THEN 55
    ELSE (CASE len(list_intersect(list_distinct(string_split(nt, ' ')), list_distinct(string_split({norm('t')}, ' ')))) WHEN 0 THEN 0 WHEN 1 THEN 16 WHEN 2 THEN 32 ELSE 42 END) END AS score
   FROM (SELECT posting_id, {norm('title')} AS nt, unnest(scoring) AS t, generate_subscripts(scoring, 1) AS i FROM verdict))
@@ -232,11 +260,34 @@ QUAL = f"""{LOC}, {TITLE},
   array_to_string(list_filter([tr, fr, lr, kr, kx], lambda s: s IS NOT NULL), '; ') AS rationale FROM q2),
  q4 AS (SELECT *, score >= 50 AND reject_reason = '' AND place_pass AS acc FROM q3),
  q AS (SELECT *, NOT acc AND len(wishes) = 0 AND title <> '' AND len(list_filter(CASE profile_id WHEN 3 THEN hints[1:3] ELSE hints END, lambda h: contains(lower(title), h))) > 0 AS forced FROM q4)"""
+NOTED = """array_to_string(list_filter([nullif(array_to_string(list_filter([nullif(rationale, ''), CASE WHEN reject_reason <> '' THEN 'qualifier reject: ' || reject_reason END,
+  CASE WHEN NOT place_pass THEN 'hard reject: ' || place_reason END], lambda s: s IS NOT NULL), '; '), ''), CASE WHEN forced THEN 'blank-location title override' END], lambda s: s IS NOT NULL), ' | ')"""
+MATCH_SCORE = "(CASE WHEN forced THEN greatest(score, 45) ELSE score END)::INT"
 add("C1_qualify", f"""WITH {QUAL} SELECT posting_id, profile_id, score::INT AS score, CASE WHEN score >= 75 THEN 'Strong' WHEN score >= 50 THEN 'Review' ELSE 'Low' END AS fit_tier,
- acc OR forced AS accepted, forced, reject_reason, rationale,
+ acc OR forced AS accepted, forced, reject_reason, rationale, {MATCH_SCORE} AS match_score, {NOTED} AS reason_text, place_pass OR forced AS place_pass,
+ CASE WHEN forced THEN 'blank-location title override' ELSE place_reason END AS place_reason,
  CASE WHEN acc OR forced THEN '' WHEN NOT place_pass THEN 'location_mismatch' WHEN contains(reject_reason, 'excluded keyword') THEN 'excluded_keyword'
   WHEN reject_reason = 'title mismatch' THEN 'title_mismatch' WHEN reject_reason IN ('location mismatch', 'not remote') THEN 'location_mismatch' ELSE 'below_threshold' END AS match_skip FROM q""")
 
+SKIPPED = """CASE WHEN acc OR forced THEN '' WHEN NOT place_pass THEN 'location_mismatch' WHEN contains(reject_reason, 'excluded keyword') THEN 'excluded_keyword'
+  WHEN reject_reason = 'title mismatch' THEN 'title_mismatch' WHEN reject_reason IN ('location mismatch', 'not remote') THEN 'location_mismatch' ELSE 'below_threshold' END"""
+RECORDS = "postings AS (" + sql(derived.OBSERVED_POSTINGS) + ")"
+FULL = f"""{PRE}, v AS (SELECT obs_id, run_id, obs.profile_id, provider, {vendor_form('obs.raw_url')} AS url, title_pass FROM obs JOIN t USING (obs_id)),
+ g0 AS (SELECT *, {gate('url')} IN {OK} AS ok FROM v), {QUAL.replace(POSTINGS, RECORDS).replace(PREPARED + ", ", "", 1)},
+ rec AS (SELECT posting_id AS obs_id, {derived.PAGE_STATUS.format(id='posting_id')} AS page_status, acc OR forced AS good, forced, {SKIPPED} AS match_skip, {MATCH_SCORE} AS match_score, {NOTED} AS reason_text,
+   array_to_string(list_filter([regexp_replace(lower(company), '[^a-z0-9]', '', 'g'), regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), regexp_replace(lower(location), '[^a-z0-9]', '', 'g')], lambda s: s <> ''), '|') AS bkey FROM q),
+ p0 AS (SELECT g0.*, rec.* EXCLUDE (obs_id), CASE WHEN page_status = 'ok' THEN '' WHEN page_status = 'expired' OR (page_status = '404' AND
+   regexp_matches(lower(url), '^https?://[^/]*(jobs[.]lever[.]co|boards[.]greenhouse[.]io|myworkdayjobs[.]com|jobs[.]smartrecruiters[.]com|jobs[.]ashbyhq[.]com)')) THEN 'stale_ats_posting' ELSE 'parse_failed' END AS pf FROM g0 LEFT JOIN rec USING (obs_id)),
+ p1 AS (SELECT *, ok AND title_pass AND pf = '' AS parsed FROM p0),
+ p2 AS (SELECT *, obs_id = min(CASE WHEN parsed AND good THEN obs_id END) OVER (PARTITION BY run_id, CASE WHEN parsed AND good THEN bkey ELSE 'row ' || obs_id END) AS fst FROM p1),
+ whole AS (SELECT obs_id, run_id, profile_id, provider, url,
+  CASE WHEN NOT ok THEN 'url_gate' WHEN NOT title_pass THEN 'url_title_prefilter' WHEN pf <> '' THEN 'page_parse' WHEN NOT good THEN 'match_score' WHEN NOT fst THEN 'batch_dedup' ELSE 'accepted' END AS stage,
+  CASE WHEN NOT ok THEN 'non_job_url' WHEN NOT title_pass THEN 'weak_url_title_match' WHEN pf <> '' THEN pf WHEN NOT good THEN match_skip WHEN NOT fst THEN 'duplicate_in_batch' ELSE '' END AS reason,
+  parsed AND good AND fst AS passed, CASE WHEN parsed THEN match_score ELSE 0 END::INT AS match_score, parsed AND forced AS forced, CASE WHEN parsed THEN reason_text ELSE '' END AS reason_text FROM p2)"""
+add("F1_full_cascade", f"WITH {FULL} SELECT * FROM whole")
+add("A3_full_skip_reasons", f"WITH {FULL} SELECT run_id, stage, reason, count(*) AS n FROM whole GROUP BY 1, 2, 3")
+add("A3_full_run_quality", f"WITH {FULL}, drp AS (SELECT run_id, c AS drop_reason FROM (SELECT run_id, {CLASSIFY} AS c FROM obs) WHERE c NOT IN {OK}), {quality('whole', 'drp')}")
+
 add("F9_settings_gates", f"""WITH {POSTINGS}, {PREPARED}, x AS (SELECT p.*, r.* EXCLUDE (profile_id), lower(title) AS lt, lower(location) AS ll,
   lower(concat_ws(' ', title, company, location, compensation_raw)) AS al FROM postings p JOIN prepared r USING (profile_id))
 SELECT posting_id, NOT regexp_matches(lt, 'director|manager|principal|lead|staff |counsel|recruiting|sales|tax|design|safety')
@@ -275,6 +326,15 @@ add("J8_skip_known", f"""WITH {ENRICHED} SELECT posting_id, duplicate_key FROM e
 add("J11_seed_attribution", f"""WITH {ENRICHED}, s AS (SELECT DISTINCT lower(job_posting_url) AS u FROM enriched WHERE posting_id % 6 = 0)
 SELECT profile_id, count(*) FILTER (lower(job_posting_url) IN (SELECT u FROM s)) AS seeded_jobs,
  count(*) FILTER (lower(job_posting_url) NOT IN (SELECT u FROM s)) AS legacy_jobs FROM enriched GROUP BY 1""")
+add("J11_seed_totals", f"""WITH {ENRICHED}, s AS (SELECT DISTINCT lower(job_posting_url) AS u FROM enriched WHERE posting_id % 6 = 0),
+ x AS (SELECT profile_id, posting_id, CASE WHEN posting_id % 97 = 0 THEN '(unknown company)' ELSE company END AS company, lower(job_posting_url) IN (SELECT u FROM s) AS seeded FROM enriched),
+ c AS (SELECT profile_id, company, min(posting_id) AS p FROM x WHERE seeded GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY min(posting_id)) <= 5),
+ n AS (SELECT profile_id, string_agg(company, ', ' ORDER BY p) AS seeded_companies FROM c GROUP BY 1)
+SELECT profile_id, count(*) FILTER (seeded) AS seeded_jobs, count(*) FILTER (NOT seeded) AS legacy_jobs, coalesce(any_value(seeded_companies), '') AS seeded_companies FROM x LEFT JOIN n USING (profile_id) GROUP BY 1""")
+add("A18_provider_mix", f"WITH {OBS} SELECT run_id, provider, count(DISTINCT raw_url) AS urls FROM obs WHERE raw_url <> '' GROUP BY 1, 2")
+add("F4_resolve_redirects", f"""WITH {OBS}, l AS (SELECT obs_id, raw_url, {LIGHT} AS u FROM obs)
+SELECT obs_id, CASE obs_id % 4 WHEN 0 THEN CASE WHEN raw_url = '' THEN 'https://go.example.com/r?x=1&target=' ELSE u END WHEN 1 THEN 'https://go.example.com/r?target=soon' ELSE u END AS url,
+ CASE WHEN obs_id % 4 = 0 AND raw_url <> '' THEN 'redirect_target' WHEN obs_id % 4 > 1 AND raw_url = '' THEN 'blank' ELSE 'direct' END AS reason FROM l""")
 add("U1_merge_providers", f"""WITH {OBS}, v AS (SELECT *, {vendor_form('raw_url')} AS url FROM obs WHERE raw_url <> ''), f AS (SELECT * FROM v
  QUALIFY row_number() OVER (PARTITION BY url ORDER BY CASE provider WHEN 'search' THEN 0 WHEN 'board_a' THEN 1 ELSE 2 END, obs_id) = 1)
 SELECT provider, count(*) AS urls, sum(obs_id)::BIGINT AS obs_sum FROM f GROUP BY 1""")
@@ -289,6 +349,7 @@ SELECT last_seen_run_id, sum(n)::BIGINT AS total_seen, max(n) AS top_count, roun
 REG = f"""{ENRICHED}, rk AS (SELECT *, {host('job_posting_url')} AS hostname, CASE WHEN ats_type = 'Lever' THEN 'lever::' || {host('job_posting_url')} || '::' || ({segs('job_posting_url')})[1] ELSE {host('job_posting_url')} END AS source_key FROM enriched),
  reg AS (SELECT source_key, arg_max(CASE WHEN ats_type = 'Lever' THEN 'https://jobs.lever.co/' || ({segs('job_posting_url')})[1] ELSE 'https://' || hostname END, o) AS source_root, any_value(hostname) AS hostname,
   any_value(ats_type) AS ats_type, any_value(source_type) AS source_type, any_value(source_trust) AS source_trust, arg_max(job_posting_url, o) AS example_job_url,
+  CASE WHEN max(o) >= 1000000000 THEN 'late' ELSE 'early' END AS source_name, 'run ' || arg_max(last_seen_run_id, o) AS source_detail,
   'active' AS status, count(*) AS seen_count, count(*) AS matching_job_count, min(first_seen_at) AS fs, max(first_seen_at) AS ls
   FROM (SELECT *, CASE WHEN last_seen_run_id >= 199500 THEN 1000000000 ELSE 0 END + posting_id AS o FROM rk) GROUP BY 1)"""
 add("A7_build_source_registry", f"""WITH {REG} SELECT * EXCLUDE (fs, ls), strftime(fs, '%Y-%m-%d') AS first_seen_at, strftime(ls, '%Y-%m-%d') AS last_seen_at FROM reg""")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +10,8 @@ from .text import clean
 # The text forms a timestamp or a date may take.
 TIMESTAMP_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "yyyy-MM-dd'T'HH:mm:ss'Z'",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd HH:mm",
@@ -35,37 +35,64 @@ def iso_day(c: Column) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return F.unix_timestamp(end) - F.unix_timestamp(start)
+    """Whole seconds from one text timestamp to a later one, 0 if it is not later, NULL if either is none."""
+    return F.greatest(F.lit(0).cast("long"), F.unix_timestamp(to_timestamp(end)) - F.unix_timestamp(to_timestamp(start)))
 
 
-def clock_seconds(c: Column) -> Column:
-    """'hh:mm:ss' or plain seconds as seconds."""
-    text = clean(c)
-    fields = F.transform(F.split(text, ":"), lambda p: p.try_cast("double"))
-    clock = F.get(fields, F.lit(0)) * 3600 + F.get(fields, F.lit(1)) * 60 + F.get(fields, F.lit(2))
-    return F.when(F.size(fields) == 3, clock).otherwise(text.try_cast("double"))
+def clock_text(seconds: Column) -> Column:
+    """Seconds as 'hh:mm:ss'."""
+    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
 
 
-def clock_text(seconds: Column) -> Column:
-    whole = F.floor(seconds)
-    return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60)
+def run_duration(started: Column, completed: Column, total_seconds: Column | None = None) -> Column:
+    """A run's own total in seconds, else the time between its ends as a clock, else 'Unknown'."""
+    clock = clock_text(seconds_between(started, completed))
+    if total_seconds is None:
+        return F.coalesce(clock, F.lit("Unknown"))
+    own = F.nullif(clean(total_seconds), F.lit("")).try_cast("double")
+    shown = F.when(own.isNotNull(), F.format_string("%.2fs", F.greatest(F.lit(0.0), own)))
+    return F.coalesce(shown, clock, F.lit("Unknown"))
+
+
+def number_after(notes: Column, *labels: str) -> Column:
+    """The first positive integer that one of the labels says, 0 when none does."""
+    said = [F.regexp_extract(F.coalesce(notes, F.lit("")), rf"{_literal(label)}:\s*(\d+)", 1).try_cast("long") for label in labels]
+    return F.coalesce(*[F.nullif(n, F.lit(0).cast("long")) for n in said], F.lit(0).cast("long"))
+
+
+def phrase_after(notes: Column, *labels: str) -> Column:
+    """The first non-blank text that one of the labels says, up to a full stop or the line's end."""
+    said = [F.trim(F.regexp_extract(F.coalesce(notes, F.lit("")), rf"{_literal(label)}:\s*(.*?)(?:\.|$)", 1)) for label in labels]
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in said], F.lit(""))
+
+
+def _literal(label: str) -> str:
+    return "".join(c if c.isalnum() or c == " " else "\\" + c for c in label)
 
 
-def number_after(notes: Column, label: str) -> Column:
-    """The integer after a label in free notes, 0 when there is none."""
-    return F.coalesce(F.regexp_extract(clean(notes), rf"(?i){label}\s*[:=]?\s*(\d+)", 1).try_cast("long"), F.lit(0))
+def line_items(output: Column, header: str) -> Column:
+    """The '- ' lines right below a header line of a run's output."""
+    lines = F.split(F.coalesce(output, F.lit("")), "\\r\\n|\\n|\\r")
+    at = F.array_position(F.transform(lines, F.trim), header).cast("int")
+    below = F.when(at > 0, F.slice(lines, at + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+    last = F.array_position(F.transform(below, lambda x: F.ltrim(x).startswith("- ")), False).cast("int")
+    items = F.when(last > 0, F.slice(below, 1, last - 1)).otherwise(below)
+    return F.transform(items, lambda x: F.substring(F.trim(x), 3, 1 << 30))
 
 
-def phrase_after(notes: Column, label: str) -> Column:
-    """The text after a label, up to ';' or the line end."""
-    return F.trim(F.regexp_extract(clean(notes), rf"(?i){label}\s*[:=]\s*([^;\n]*)", 1))
+def profile_text(summary: Column, strengths: Column, resume: Column) -> Column:
+    """What a profile says of its owner, the weightier sections first."""
+    part = lambda head, c: F.when(clean(c, False) != "", F.concat(F.lit(f"{head}:\n"), clean(c, False)))
+    first = F.nullif(F.concat_ws("\n\n", part("Executive Summary", summary), part("Strengths to Highlight", strengths)), F.lit(""))
+    return F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("High Priority Candidate Signals:\n"), first),
+        F.concat(F.lit("Supporting Candidate Evidence:\n"), part("Resume Text", resume)),
+    )
 
 
-def labelled_text(sections: Sequence[tuple[str, Column]], limit: int) -> Column:
-    """Non-blank sections as 'Label: text' lines, cut with a mark at `limit`."""
-    lines = [F.when(clean(c) != "", F.concat(F.lit(label + ": "), clean(c))) for label, c in sections]
-    joined = F.concat_ws("\n", *lines)
-    mark = " [truncated]"
-    return F.when(
-        F.length(joined) > limit, F.concat(F.substring(joined, 1, limit - len(mark)), F.lit(mark))
-    ).otherwise(joined)
+def truncated(c: Column, limit: int) -> Column:
+    """Trimmed text, cut with a mark below it at ``limit``."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    cut = F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("\n\n[TRUNCATED]"))
+    return F.when(F.length(text) > limit, cut).otherwise(text)

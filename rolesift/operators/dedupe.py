@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import trust, urls
-from ..functions.text import clean, let, norm_plain
+from ..functions.text import clean, let, norm_plain, or_default
 from .ordered import BLOCK_ROWS, running, top_n
 
 
@@ -30,14 +30,13 @@ def batch_key() -> Column:
 
 
 def quality_order() -> list[Column]:
-    """Better payload first: trust, detail, URL and title length."""
-    longer = lambda c: F.length(clean(F.col(c))).desc()
-    return [
-        trust.rank(F.col("source_trust"), trust.REVIEW_TRUST).desc(),
-        longer("source_detail"),
-        longer("job_posting_url"),
-        longer("title"),
-    ]
+    """Numbers of a payload's worth, the weightier first: trust, detail, URL and title length."""
+    length = lambda c: F.length(clean(F.col(c)))
+    return [trust.rank(F.col("source_trust"), trust.REVIEW_TRUST), length("source_detail"), length("job_posting_url"), length("title")]
+
+
+def _worth(c: Column) -> Column:
+    return -F.coalesce(c, F.lit(-1)).cast("long")
 
 
 def dedupe_batch(df: DataFrame, keep: str = "first", pos: str = "pos", within: Sequence[str] = ()) -> DataFrame:
@@ -48,14 +47,15 @@ def dedupe_batch(df: DataFrame, keep: str = "first", pos: str = "pos", within: S
     """
     if keep not in ("first", "best"):
         raise ValueError(f"keep must be 'first' or 'best', not {keep!r}")
-    keyed = df.withColumn("batch_key", batch_key())
-    own = keyed.withColumn(
-        "_key", F.when(F.col("batch_key") == "", F.concat(F.lit("row:"), F.col(pos))).otherwise(F.col("batch_key"))
-    )
-    keys = [*within, "_key"]
-    order = [*(quality_order() if keep == "best" else []), F.col(pos).asc()]
-    counts = own.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("duplicates"))
-    return top_n(own, keys, order).join(counts, keys).drop("_key")
+    key = batch_key()
+    order = F.struct(*[_worth(c) for c in quality_order()], F.col(pos).alias("pos")) if keep == "best" else F.col(pos)
+    keyed = df.select(*within, pos, key.alias("_key"), order.alias("_order"))
+    # One narrow row each: rows without a key are keys of their own.
+    keyed = keyed.withColumn("_key", F.when(F.col("_key") == "", F.concat(F.lit("row:"), F.col(pos))).otherwise(F.col("_key")))
+    kept = keyed.groupBy(*within, "_key").agg(F.min("_order").alias("_first"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    own = F.when(F.col("_key").startswith("row:"), F.lit("")).otherwise(F.col("_key"))
+    first = F.col("_first.pos") if keep == "best" else F.col("_first")
+    return df.join(kept.select(first.alias(pos), own.alias("batch_key"), "duplicates"), pos)
 
 
 def distinct_in_order(df: DataFrame, key: str | Column, pos: str, within: Sequence[str] = ()) -> DataFrame:
@@ -144,3 +144,13 @@ def seed_attribution(accepted: DataFrame, seeds: DataFrame, url: str = "job_post
     own = accepted.withColumn("_seed", F.lower(clean(F.col(url))))
     joined = own.filter("_seed <> ''").join(seeded, "_seed", "left").withColumn("seeded", F.coalesce(F.col("_s"), F.lit(False))).drop("_s")
     return joined.unionByName(own.filter("_seed = ''").withColumn("seeded", F.lit(False))).drop("_seed")
+
+
+def seed_totals(attributed: DataFrame, by: str, pos: str, k: int = 5) -> DataFrame:
+    """Seeded and other accepted rows, and the first k companies that seeds led to."""
+    counts = attributed.groupBy(by).agg(F.count_if("seeded").alias("seeded_jobs"), F.count_if(~F.col("seeded")).alias("legacy_jobs"))
+    named = attributed.filter("seeded").withColumn("_company", or_default(F.col("company"), "(unknown company)"))
+    first = top_n(named.groupBy(by, "_company").agg(F.min(pos).alias("_p")), [by], [F.asc("_p")], k)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_company"))), lambda x: x["_company"])
+    firms = first.groupBy(by).agg(F.array_join(ordered, ", ").alias("seeded_companies"))
+    return counts.join(firms, by, "left").fillna("", ["seeded_companies"])

@@ -71,6 +71,7 @@ FOREIGN_MARKERS = [
 ]
 PLACE_NOISE_TOKENS = ["metro", "area", "city", "state", "county", "region", "office", "location"]
 AUTO_ACCEPT_SCORE = 45
+FORCED_NOTE = "blank-location title override"
 MIN_SEED_OVERLAP = 0.34
 
 
@@ -360,7 +361,8 @@ def qualify(df: DataFrame) -> DataFrame:
     """Fit score, tier, verdict and rationale per (posting, profile) row.
 
     Adds score, fit_tier, confidence, reject_reason, rationale, place_pass,
-    place_reason, accepted, forced and match_skip.
+    place_reason, accepted, forced, match_skip, match_score and reason_text. A
+    forced row passes its place with a note.
     """
     staged = df.withColumns(
         {
@@ -418,5 +420,20 @@ def qualify(df: DataFrame) -> DataFrame:
             "match_score": F.when(F.col("forced"), F.greatest(F.col("score"), F.lit(AUTO_ACCEPT_SCORE))).otherwise(
                 F.col("score")
             ),
+            "reason_text": F.concat_ws(
+                " | ",
+                F.nullif(
+                    F.concat_ws(
+                        "; ",
+                        F.nullif("rationale", F.lit("")),
+                        F.when(F.col("reject_reason") != "", F.concat(F.lit("qualifier reject: "), "reject_reason")),
+                        F.when(~F.col("place_pass"), F.concat(F.lit("hard reject: "), "place_reason")),
+                    ),
+                    F.lit(""),
+                ),
+                F.when(F.col("forced"), F.lit(FORCED_NOTE)),
+            ),
+            "place_pass": F.col("place_pass") | F.col("forced"),
+            "place_reason": F.when(F.col("forced"), F.lit(FORCED_NOTE)).otherwise(F.col("place_reason")),
         }
     ).drop("_norm", "_all", "_t", "_f", "_l", "_k", "_v", "_hit", "_accept")

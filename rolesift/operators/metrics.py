@@ -22,6 +22,9 @@ POST_PARSE = [
     "below_threshold",
 ]
 DUPLICATE = "duplicate_in_batch"
+#: Reasons that a run's summary shows, and those that name its limiter, the first that is there.
+SHOWN_REASONS = 8
+LIMITERS = {"location_mismatch": "location_strictness", "title_mismatch": "title_drift", "weak_url_title_match": "url_title_prefilter"}
 
 
 def percent(part: Column, whole: Column, places: int = 1) -> Column:
@@ -64,8 +67,13 @@ def flatten_drop_counts(reports: DataFrame, column: str = "drop_summary", keys:
     )
 
 
-def run_quality(gated: DataFrame, pos: str, run: str = "run_id", reason: str = "reason") -> DataFrame:
-    """A3: shares and verdicts per run from rows with '' for accepted."""
+def run_quality(gated: DataFrame, pos: str, run: str = "run_id", reason: str = "reason", drops: DataFrame | None = None) -> DataFrame:
+    """A3: shares and verdicts per run from rows with '' for accepted.
+
+    `verdict` compares the stages; `limiter` says which of the eight commonest
+    reasons a run's reader should look at. drops: (run, drop_reason) of URLs that
+    were dropped before the run.
+    """
     r = F.col(reason)
     per_reason = gated.groupBy(run, reason).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("p"))
     sums = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
@@ -89,13 +97,30 @@ def run_quality(gated: DataFrame, pos: str, run: str = "run_id", reason: str = "
         .when(F.col("dominant_reason") != "", F.concat(F.lit("limited_by_"), F.col("dominant_reason")))
         .otherwise(F.lit("clean"))
     )
-    return totals.withColumns(
+    judged = totals.withColumns(
         {
             **share,
             "dominant_pct": percent(F.col("dominant_count"), F.greatest(F.col("skipped"), F.lit(1))),
             "verdict": verdict,
         }
     )
+    # A run has a handful of reasons.
+    shown = top_n(per_reason.filter(r != ""), [run], [F.desc("n"), F.asc("p")], SHOWN_REASONS)
+    said = lambda value: F.max(r == value)
+    shown = shown.groupBy(run).agg(*[said(v).alias(f"_{v}") for v in LIMITERS], F.lit(True).alias("_some"))
+    judged = judged.join(shown, run, "left")
+    if drops is None:
+        judged = judged.withColumns({"_blocked": F.lit(False), "_dropped": F.lit(False)})
+    else:
+        dropped = drops.groupBy(run).agg(F.max(F.col("drop_reason") == "blocked_domain").alias("_blocked"), F.lit(True).alias("_dropped"))
+        judged = judged.join(dropped, run, "left")
+    limiter = F.coalesce(
+        *[F.when(F.col(f"_{v}"), F.lit(label)) for v, label in LIMITERS.items()],
+        F.when(F.col("_blocked"), F.lit("noisy_sources")),
+        F.when(F.coalesce("_some", "_dropped", F.lit(False)), F.lit("hidden_in_mix")),
+        F.lit(""),
+    )
+    return judged.withColumn("limiter", limiter).drop("_some", "_blocked", "_dropped", *[f"_{v}" for v in LIMITERS])
 
 
 # --- ingest and sources --------------------------------------------------------
@@ -129,6 +154,16 @@ def ingest_label_counts(outcomes: DataFrame, labels: Sequence[str], run: str = "
     return named.groupBy(run, "label", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_items(outcomes: DataFrame, batch: DataFrame, run: str = "run_id") -> DataFrame:
+    """An item for each row of a run: what it was, what became of it, and the state as message."""
+    text = lambda c: F.nullif(clean(F.col(c), False), F.lit(""))
+    named = batch.select("pos", text("job_posting_url").alias("_url"), text("title").alias("_title"))
+    value = F.coalesce("_url", "_title", F.nullif("duplicate_key", F.lit("")), F.lit(""))
+    return outcomes.join(named, "pos").select(
+        run, "pos", value.alias("item_value"), "status", "duplicate_key", "job_id", F.col("discovery_state").alias("message")
+    )
+
+
 def ingest_ids(outcomes: DataFrame, run: str = "run_id") -> DataFrame:
     """A4: ids per run and state as rows; a list would grow without bound."""
     return outcomes.filter(F.col("job_id").isNotNull()).select(run, "discovery_state", "job_id")
@@ -189,10 +224,13 @@ def source_dominance(yields: DataFrame, run: str, min_jobs: int = 10, min_share:
     )
 
 
-def build_source_registry(batch: DataFrame, pos: str, seen_at: str, registry: DataFrame | None = None) -> DataFrame:
+def build_source_registry(
+    batch: DataFrame, pos: str, seen_at: str, registry: DataFrame | None = None, source_name: str | Column = "", source_detail: str | Column = ""
+) -> DataFrame:
     """Per source key the latest attributes, counts and times.
 
-    The batch is folded to one row per key before it meets the old registry.
+    `source_name` and `source_detail` say where the batch came from. The batch
+    is folded to one row per key before it meets the old registry.
     """
     url, vendor = F.col("job_posting_url"), F.col("ats_type")
     attributes = {
@@ -201,6 +239,8 @@ def build_source_registry(batch: DataFrame, pos: str, seen_at: str, registry: Da
         "ats_type": clean(vendor),
         "source_type": or_default(F.col("source_type"), trust.source_type(url, vendor)),
         "source_trust": or_default(F.col("source_trust"), trust.source_trust(url, vendor)),
+        "source_name": source_name if isinstance(source_name, Column) else F.lit(source_name),
+        "source_detail": source_detail if isinstance(source_detail, Column) else F.lit(source_detail),
         "example_job_url": clean(url),
     }
     rows = batch.select(
@@ -473,6 +513,27 @@ def vendor_mix(active: DataFrame, preferred: Column, top: int = 5) -> DataFrame:
     return per_vendor.orderBy(F.desc("endpoints"), F.asc("vendor")).limit(top)
 
 
+def selection_mix(selected: DataFrame, by: str = "profile_id", k: int = 5) -> DataFrame:
+    """Per selection its k commonest vendors, as 'vendor n', and its companies in order.
+
+    selected: vendor, company_name and position of at most a selection's cap of
+    endpoints; vendors of one count stand in the order they came.
+    """
+    counts = selected.groupBy(by, "vendor").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("p"))
+    top = top_n(counts, [by], [F.desc("n"), F.asc("p")], k, rank="r")
+    shown = lambda rows, value: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), value), ", ")
+    vendors = top.groupBy(by).agg(shown(F.struct("r", F.concat_ws(" ", "vendor", F.col("n").cast("string")).alias("v")), lambda x: x["v"]).alias("top_vendors"))
+    firms = selected.groupBy(by, "company_name").agg(F.min("position").alias("p"))
+    firms = firms.groupBy(by).agg(shown(F.struct("p", "company_name"), lambda x: x["company_name"]).alias("companies"))
+    return vendors.join(firms, by)
+
+
+def provider_mix(observations: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per run how many distinct URLs each provider brought."""
+    each = observations.select(run, "provider", "url").filter("url <> ''").distinct()
+    return each.groupBy(run, "provider").agg(F.count(F.lit(1)).alias("urls"))
+
+
 def seed_scan_summary(selection: DataFrame, feed_rows: DataFrame) -> DataFrame:
     """Per selected endpoint, found, kept and skipped feed rows.
 

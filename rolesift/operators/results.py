@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import places, titles
 from ..functions.text import clean
 
-SCORE_SCHEMA = """struct<fit_score:string,confidence:string,match_summary:string,match_reasons:array<string>,
- gaps_or_risks:array<string>,top_strengths:array<string>,risk_flags:array<string>>"""
+# The lists of a model's answer.
+SCORE_LISTS = [
+    "match_reasons", "gaps_or_risks", "resume_signals_used", "must_have_requirements", "preferred_requirements",
+    "matched_must_haves", "missing_must_haves", "matched_preferred", "missing_preferred",
+]
+SCORE_SCHEMA = "struct<fit_score:string,confidence:string,match_summary:string," + ",".join(f"{c}:array<string>" for c in SCORE_LISTS) + ">"
 
 
 def json_text(raw: Column) -> Column:
@@ -49,7 +53,7 @@ def confidence(c: Column) -> Column:
 
 
 def normalise_scores(results: DataFrame) -> DataFrame:
-    """C4: raw model answers into bounded scores and write-back columns.
+    """C4: raw model answers into bounded scores, their nine lists and write-back columns.
 
     results: raw_text (NULL or blank: not asked), title and, prepared, the
     profile's `levels`. A title outside the preferred levels costs points.
@@ -79,6 +83,10 @@ def normalise_scores(results: DataFrame) -> DataFrame:
     gaps = clean_list(F.col("_r.gaps_or_risks"))
     gaps = F.when(penalised, F.array_append(gaps, F.col("_level.reason"))).otherwise(gaps)
     failed = F.array(F.lit("Could not parse model response as JSON"))
+    lists = {c: F.when(F.col("_ok"), clean_list(F.col(f"_r.{c}"))).otherwise(F.array().cast("array<string>")) for c in SCORE_LISTS[2:]}
+    lists["match_reasons"] = F.when(F.col("_ok"), clean_list(F.col("_r.match_reasons"))).otherwise(F.array().cast("array<string>"))
+    lists["gaps_or_risks"] = F.when(F.col("_asked") & ~F.col("_ok"), failed).otherwise(gaps)
+    staged = staged.withColumns(lists)
     return staged.withColumns(
         {
             "status": F.when(~F.col("_asked"), F.lit("skipped")).when(F.col("_ok"), F.lit("scored")).otherwise(F.lit("error")),

@@ -47,6 +47,12 @@ SELECT o_orderkey AS posting_id, CAST(o_custkey % 5 AS INT) AS profile_id, c_nam
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey
 """
 
+#: What parsing the page of an observation gave: the posting of the same number, seen by the observation's profile.
+OBSERVED_POSTINGS = POSTINGS.replace("CAST(o_custkey % 5 AS INT) AS profile_id", "CAST(user_id % 5 AS INT) AS profile_id").replace(
+    "ON o_custkey = c_custkey", "ON o_custkey = c_custkey JOIN {events} ON event_id = o_orderkey"
+)
+PAGE_STATUS = "CASE WHEN {id} % 23 = 0 THEN '404' WHEN {id} % 29 = 0 THEN 'expired' WHEN {id} % 31 = 0 THEN '500' ELSE 'ok' END"
+
 ENDPOINTS = """
 SELECT p_partkey AS endpoint_id, CAST(p_partkey % (SELECT count(*) FROM {supplier}) AS BIGINT) AS company_id,
   CASE p_partkey % 6 WHEN 0 THEN 'workday' WHEN 1 THEN 'icims' WHEN 2 THEN 'greenhouse' WHEN 3 THEN 'lever' WHEN 4 THEN 'sap successfactors' ELSE 'unknown' END AS ats_vendor,
@@ -123,6 +129,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, POSTINGS, "orders", "customer")
 
 
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _derive(spark, sf_dir, OBSERVED_POSTINGS, "orders", "customer", "events").selectExpr(
+        "posting_id AS obs_id", PAGE_STATUS.format(id="posting_id") + " AS page_status", "title", "company", "location", "compensation_raw", "ats_type"
+    )
+    return rows
+
+
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, ENDPOINTS, "part", "supplier")
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import pay, titles, trust, urls
+from ..functions import notes, pay, titles, trust, urls
 from ..functions.text import split_titles
-from ..operators import dedupe, gates, matching, metrics, ordered, pages, planning, profiles, ranking, results, store
+from ..operators import cascade, dedupe, gates, inverted, matching, metrics, ordered, pages, planning, profiles, ranking, results, store
 from ..operators.lineage import cut, scratch
 from ..sources import files
+from ..streaming import ingest
 from . import derived as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +70,23 @@ def _(spark, sf):
     return gated_observations(spark, sf)
 
 
+def full_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations through all stages, with a page record for those that an order stands for."""
+    seen = d.url_observations(spark, sf_dir).withColumn("url", urls.vendor_form(F.col("raw_url")))
+    seen = seen.select("obs_id", "run_id", "profile_id", "provider", "url")
+    return cascade.run_cascade(seen, d.profiles(spark, sf_dir), d.page_records(spark, sf_dir))
+
+
+@query("F1_full_cascade")
+def _(spark, sf):
+    return full_cascade(spark, sf)
+
+
+@query("A3_full_run_quality")
+def _(spark, sf):
+    return metrics.run_quality(full_cascade(spark, sf), "obs_id", drops=gates.classify_source_url(d.url_observations(spark, sf)).filter("NOT keep").select("run_id", F.col("class_reason").alias("drop_reason")))
+
+
 @query("F2_url_quality_gate")
 def _(spark, sf):
     out = gates.url_quality_gate(d.url_observations(spark, sf))
@@ -167,6 +185,16 @@ def _(spark, sf):
     return matching.match_location(rows).select("posting_id", "profile_id", "place_match", "place_match_reason")
 
 
+@query("J5_match_locations_keyed")
+def _(spark, sf):
+    return inverted.match_locations(d.postings(spark, sf), d.profiles(spark, sf))
+
+
+@query("J14_top_profiles")
+def _(spark, sf):
+    return inverted.top_profiles(d.postings(spark, sf), d.many_profiles(spark, sf), 3)
+
+
 @query("J6_match_titles")
 def _(spark, sf):
     rows = matching.with_profile(d.postings(spark, sf), d.profiles(spark, sf))
@@ -182,8 +210,9 @@ def _(spark, sf):
 def _(spark, sf):
     rows = matching.with_profile(d.postings(spark, sf), d.profiles(spark, sf))
     return matching.qualify(rows).select(
-        "posting_id", "profile_id", "score", "fit_tier", "accepted", "forced", "reject_reason", "rationale", "match_skip"
-    )
+        "posting_id", "profile_id", "score", "fit_tier", "accepted", "forced", "reject_reason", "rationale", "match_skip",
+        "match_score", "reason_text", "place_pass", "place_reason",
+    )
 
 
 # --- duplicates and sightings -------------------------------------------------------
@@ -272,6 +301,108 @@ def _(spark, sf):
     return metrics.run_quality(gated_observations(spark, sf), "obs_id")
 
 
+@query("A3_full_skip_reasons")
+def _(spark, sf):
+    return full_cascade(spark, sf).groupBy("run_id", "stage", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("A4_ingest_ids")
+def _(spark, sf):
+    return metrics.ingest_ids(_outcome_rows(spark, sf))
+
+
+@query("A18_selection_mix")
+def _(spark, sf):
+    chosen = ranking.select_endpoints(scored_endpoints(spark, sf)).select("profile_id", "vendor", "company_name", "position")
+    return metrics.selection_mix(chosen)
+
+
+@query("A18_provider_mix")
+def _(spark, sf):
+    return metrics.provider_mix(d.url_observations(spark, sf).withColumn("url", F.col("raw_url")))
+
+
+@query("J11_seed_totals")
+def _(spark, sf):
+    rows = enriched(spark, sf).withColumn("company", F.when(F.col("posting_id") % 97 == 0, F.lit(" ")).otherwise(F.col("company")))
+    seeds = rows.filter("posting_id % 6 = 0").select("job_posting_url")
+    return dedupe.seed_totals(dedupe.seed_attribution(rows, seeds), "profile_id", "posting_id")
+
+
+@query("T18_run_durations")
+def _(spark, sf):
+    n = F.col("event_id")
+    rows = d.table(spark, sf, "events").select("event_id", F.date_trunc("second", "ts").alias("a"))
+    rows = rows.withColumn("b", F.timestamp_seconds(F.unix_timestamp("a") + n % 9000 - 100))
+    text = lambda c: (
+        F.when(n % 5 == 0, F.date_format(c, "yyyy-MM-dd HH:mm:ss")).when(n % 5 == 1, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(n % 5 == 2, F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(".250000"))).when(n % 5 == 3, F.lit(" ")).otherwise(F.lit("soon"))
+    )
+    own = F.when(n % 7 == 0, F.concat((n % 11).cast("string"), F.lit(".50"))).when(n % 7 == 1, F.lit("x")).otherwise(F.lit(""))
+    return rows.select("event_id", notes.run_duration(text("a"), text("b"), own).alias("duration"))
+
+
+@query("T19_note_fields")
+def _(spark, sf):
+    n = F.col("p_partkey")
+    said = F.concat(F.lit("Selected endpoints: "), n % 50, F.lit(". Old picks: "), F.col("p_size"), F.lit(". Mode: next gen. More: "), F.col("p_name"))
+    output = F.concat(F.lit("start\n"), F.when(n % 3 > 0, F.lit("Skip summary:\n")).otherwise(F.lit("")), F.lit("- size: "), F.col("p_size"), F.lit("\n  - name: "), F.col("p_name"), F.lit("\n\n- later"))
+    return d.table(spark, sf, "part").select(
+        "p_partkey", notes.number_after(said, "Selected endpoints", "Old picks").alias("picked"), notes.number_after(said, "selected endpoints").alias("none"),
+        notes.phrase_after(said, "Way", "Mode").alias("mode"), notes.phrase_after(said, "More").alias("more"),
+        F.array_join(notes.line_items(output, "Skip summary:"), "; ").alias("items"),
+    )
+
+
+@query("T21_profile_text")
+def _(spark, sf):
+    n = F.col("c_custkey")
+    blank = lambda k, c: F.when(n % k == 0, F.lit(" ")).otherwise(c)
+    text = notes.profile_text(blank(2, F.col("c_name")), blank(3, F.concat(F.lit("segment "), "c_mktsegment")), blank(5, F.col("c_name")))
+    return d.table(spark, sf, "customer").select("c_custkey", text.alias("profile_text"), notes.truncated(text, 60).alias("short"))
+
+
+@query("F9_record_gate")
+def _(spark, sf):
+    n = F.col("posting_id")
+    rows = d.postings(spark, sf).withColumns(
+        {"validation_status": F.when(n % 4 == 0, F.lit("Rejected")).otherwise(F.lit("Validated")), "compensation_status": F.when(n % 6 == 0, F.lit("Below Target")).otherwise(F.lit("Meets Target"))}
+    )
+    return gates.record_gate(rows).select("posting_id", "record_ok")
+
+
+@query("M7_artifact_records")
+def _(spark, sf):
+    base = snapshot(spark, sf).withColumn("company", F.concat(F.lit(" "), "company"))
+    letters = table_rows(spark, sf).select(F.col("l_orderkey").alias("posting_id"), "artifact_id", F.concat(F.lit("/out/"), "artifact_id", F.lit(".txt")).alias("path"))
+    records, strays = store.artifact_records(base, letters)
+    unknown = strays.select("artifact_id", *[F.lit(None).cast("string").alias(c) for c in ("duplicate_key", "company", "title")], F.col("path").alias("output_path"))
+    return records.unionByName(unknown).fillna("?", ["duplicate_key", "company", "title"])
+
+
+@query("F4_resolve_redirects")
+def _(spark, sf):
+    n, raw = F.col("obs_id"), F.col("raw_url")
+    coded = raw
+    for char, code in ((":", "%3A"), ("/", "%2F"), ("?", "%3F"), ("=", "%3D"), ("&", "%26")):
+        coded = F.replace(coded, F.lit(char), F.lit(code))
+    wrapped = F.when(n % 4 == 0, F.concat(F.lit("https://go.example.com/r?x=1&target="), coded)).when(n % 4 == 1, F.lit("https://go.example.com/r?target=soon")).otherwise(raw)
+    seen = d.url_observations(spark, sf).select("obs_id", urls.resolve(wrapped).alias("r"))
+    return seen.select("obs_id", F.col("r.url").alias("url"), F.col("r.reason").alias("reason"))
+
+
+@query("C4_score_lists")
+def _(spark, sf):
+    listed = lambda name, *items: F.concat(F.lit(f'"{name}": ["'), *items, F.lit('", " "], '))
+    body = F.concat(
+        F.lit('```json\n{'), *[listed(c, F.lit(f"{k} "), F.col("lang")) for k, c in enumerate(results.SCORE_LISTS)], F.lit('"fit_score": 70}\n```')
+    )
+    rows = d.table(spark, sf, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("no")).otherwise(body).alias("raw_text"), F.lit("").alias("title"), F.array().cast("array<string>").alias("levels"),
+    )
+    return results.normalise_scores(rows).select("doc_id", *[F.array_join(c, "; ").alias(c) for c in results.SCORE_LISTS])
+
+
 @query("A5_source_yield")
 def _(spark, sf):
     rows = enriched(spark, sf).withColumn("source_detail", F.when(F.col("posting_id") % 3 == 0, F.col("source_detail")).otherwise(F.lit("in_memory_discovery_result")))
@@ -290,15 +421,16 @@ def _(spark, sf):
 def registry(spark, sf):
     """Old registry rows (early runs) brought forward with later ones."""
     rows = enriched(spark, sf)
-    old = metrics.build_source_registry(rows.filter("last_seen_run_id < 199500"), "pos", "first_seen_at")
-    return metrics.build_source_registry(rows.filter("last_seen_run_id >= 199500"), "pos", "first_seen_at", old)
+    run = F.concat(F.lit("run "), "last_seen_run_id")
+    old = metrics.build_source_registry(rows.filter("last_seen_run_id < 199500"), "pos", "first_seen_at", None, "early", run)
+    return metrics.build_source_registry(rows.filter("last_seen_run_id >= 199500"), "pos", "first_seen_at", old, "late", run)
 
 
 @query("A7_build_source_registry")
 def _(spark, sf):
     text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return registry(spark, sf).select(
-        "source_key", "source_root", "hostname", "ats_type", "source_type", "source_trust", "example_job_url",
+        "source_key", "source_root", "hostname", "ats_type", "source_type", "source_trust", "source_name", "source_detail", "example_job_url",
         "status", "seen_count", "matching_job_count", text("first_seen_at"), text("last_seen_at"),
     )
 
@@ -409,9 +541,9 @@ def _(spark, sf):
     )
 
 
-@query("M1_upsert_ambiguous")
+@query("M1_upsert_matches")
 def _(spark, sf):
-    return upserted(spark, sf).ambiguous
+    return upserted(spark, sf).matches.select("pos", "posting_id")
 
 
 def _outcome_rows(spark, sf):
@@ -673,6 +805,28 @@ def _(spark, sf):
     return out.select("ats_type", "source_root", "strong", "kept", "rank_in_class")
 
 
+@query("W7_capped_scan")
+def _(spark, sf):
+    rows = d.postings(spark, sf)
+    words = F.lower("title")
+    gates_ = {"title": words.contains("vice") | words.contains("director") | words.contains("head"), "location": ~F.lower("location").contains("canada")}
+    return ranking.capped_scan(rows, "company", 2, "posting_id", gates_, "job_posting_url")[1]
+
+
+@query("W7_capped_scan_kept")
+def _(spark, sf):
+    words = F.lower("title")
+    gates_ = {"title": words.contains("vice") | words.contains("director") | words.contains("head"), "location": ~F.lower("location").contains("canada")}
+    return ranking.capped_scan(d.postings(spark, sf), "company", 2, "posting_id", gates_, "job_posting_url")[0].select("company", "posting_id", "job_posting_url")
+
+
+@query("W7_wide_cap")
+def _(spark, sf):
+    """A cap of 3,000 rows a group, in groups of a fifth of the table each."""
+    rows = d.postings(spark, sf)
+    return ordered.top_n(rows, ["profile_id"], [F.desc_nulls_last("fit_score"), F.asc("posting_id")], 3000, rank="place").select("profile_id", "posting_id", F.col("place").cast("long").alias("place"))
+
+
 @query("W7_cap_per_group")
 def _(spark, sf):
     out = ranking.cap_per_group(d.postings(spark, sf), "company", 2, [F.asc("posting_id")])
@@ -698,6 +852,12 @@ def _(spark, sf):
     return ranking.page(rows, ranking.open_order(), 25, 3).select("posting_id", "row_no", "page_no", "total_rows", "total_pages")
 
 
+@query("W12_last_page")
+def _(spark, sf):
+    rows = ranking.open_list(d.postings(spark, sf))
+    return ranking.page(rows, ranking.open_order(), 25, 1_000_000_000).select("posting_id", "row_no", "page_no", "total_rows", "total_pages")
+
+
 @query("W13_new_per_tier")
 def _(spark, sf):
     seen = d.url_observations(spark, sf).withColumn("tier", (F.col("obs_id") % 6).cast("int"))
@@ -1079,13 +1239,18 @@ def _(spark, sf):
 @query("A10_variant_overlap")
 def _(spark, sf):
     rows, links = cases(spark, sf)
-    return metrics.variant_overlap(rows.filter("mode = 'legacy'"), links.filter("mode = 'legacy'"))
+    return metrics.variant_overlap(_by_mode(rows), _by_mode(links))
+
+
+def _by_mode(rows: DataFrame) -> DataFrame:
+    """Groups of one mode each: the variants of a group are compared within a mode."""
+    return rows.withColumn("group", F.concat_ws("/", "group", "mode"))
 
 
 @query("A11_benchmark_overall")
 def _(spark, sf):
     rows, links = cases(spark, sf)
-    return metrics.benchmark_overall(rows, metrics.variant_overlap(rows.filter("mode = 'legacy'"), links.filter("mode = 'legacy'")))
+    return metrics.benchmark_overall(rows, metrics.variant_overlap(_by_mode(rows), _by_mode(links)))
 
 
 @query("J9_compare_reports")
@@ -1139,3 +1304,63 @@ def _(spark, sf):
     report = metrics.run_quality(gated_observations(spark, sf), "obs_id")
     files.write_report(report, ["run_id", "seen", "accepted", "dominant_reason"], path, "csv")
     return spark.read.schema("run_id int, seen long, accepted long, dominant_reason string").option("header", True).csv(path)
+
+
+def _json_file(rows: DataFrame, head: str, tail: str, path: str) -> None:
+    """One JSON text: the objects (`pos` in order) between a head and a tail."""
+    spark = rows.sparkSession
+    ends = spark.createDataFrame([(-1, head), (1 << 62, tail)], "pos long, value string")
+    last = rows.agg(F.max("pos").alias("_last"))
+    lines = rows.join(F.broadcast(last), F.lit(True)).select("pos", F.concat("value", F.when(F.col("pos") < F.col("_last"), F.lit(",")).otherwise(F.lit(""))).alias("value"))
+    lines.unionByName(ends).coalesce(1).sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)
+
+
+@query("S2_endpoint_contract")
+def _(spark, sf):
+    root = scratch(spark)
+    rows = contract(spark, sf)
+    fields = [c for c in rows.columns if c != "pos"]
+    for part, test in (("a", "pos % 2 = 0"), ("b", "pos % 2 = 1")):
+        _json_file(rows.filter(test).select("pos", F.to_json(F.struct(*fields)).alias("value")), '{"schema_version": "1.0", "records": [', "]}", f"{root}/{part}")
+    read = files.read_endpoint_contract(spark, [f"{root}/a", f"{root}/b"])
+    return read.select("pos", "company_name", "careers_url", "confidence_score", "notes")
+
+
+@query("S3_labelled_cases")
+def _(spark, sf):
+    root = scratch(spark)
+    label = F.when(F.col("quality") == 1, F.lit("yes")).otherwise(F.lit("no"))
+    rows = d.table(spark, sf, "labels").select(F.col("doc_id").alias("pos"), F.to_json(F.struct(F.col("doc_id").alias("id"), label.alias("expected_label"), F.lit('a "}{" title').alias("title"))).alias("value"))
+    _json_file(rows.unionByName(spark.createDataFrame([(-1, "7,")], "pos long, value string")).withColumn("value", F.when(F.col("pos") < 0, F.lit("7")).otherwise(F.col("value"))), "[", "]", f"{root}/cases.json")
+    return files.read_labelled_cases(spark, f"{root}/cases.json").select("id", "expected_label", "title")
+
+
+STREAMED = "pos long, company string, title string, location string, job_posting_url string, ats_type string, source_trust string, source_type string, source_detail string, fit_score string, duplicate_key string"
+
+
+@query("Z1_ingest_runs")
+def _(spark, sf):
+    """Events as two files of postings, streamed as two runs into an empty store; the ledger they leave."""
+    root = scratch(spark)
+    seen = d.table(spark, sf, "events")
+    who = F.concat(F.lit("u"), "user_id", F.lit(" "), "event_type")
+    blank = F.lit("")
+    rows = seen.select(
+        F.col("event_id").alias("pos"), F.concat(F.lit("Co "), F.col("user_id") % 40).alias("company"), F.col("event_type").alias("title"), blank.alias("location"),
+        F.concat(F.lit("https://jobs.lever.co/org"), F.col("user_id") % 40, F.lit("/"), F.col("user_id"), F.lit("-"), "event_type").alias("job_posting_url"),
+        F.lit("Lever").alias("ats_type"), blank.alias("source_trust"), blank.alias("source_type"), blank.alias("source_detail"), F.lit("70").alias("fit_score"), who.alias("duplicate_key"), F.floor((F.dayofmonth("ts") - 1) / 16).alias("run"),
+    )
+    rows = cut(rows)
+    gone = rows.filter("title = 'purchase' OR pos % 1000 = 7").select(trust.stored_key(F.col("duplicate_key")).alias("duplicate_key")).distinct()
+    stones = gone.select(blank.alias("removed_date"), "duplicate_key", *[blank.alias(c) for c in ("company", "title", "location", "job_posting_url", "removal_reason")])
+    empty = snapshot(spark, sf).limit(0)
+    ingest.start_store(empty, stones, f"{root}/store", 16)
+    for run in range(2):
+        rows.filter(F.col("run") == run).drop("run").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    ingest.incremental_ingest(spark, f"{root}/in", STREAMED, f"{root}/store", f"{root}/checkpoint").awaitTermination()
+    field = lambda k: F.get_json_object("details_json", f"$.{k}").cast("long").alias(k)
+    ledger = spark.read.parquet(f"{root}/store/runs").select(
+        "run_id", "status", "total_seen", "inserted_count", "updated_count", "skipped_removed_count", field("net_new_count"), field("rediscovered_count"), field("dropped_duplicates")
+    )
+    items = spark.read.parquet(f"{root}/store/run_items").groupBy("run_id").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("job_id").alias("postings"))
+    return ledger.join(items, "run_id")
