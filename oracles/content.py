@@ -194,3 +194,6 @@ add("Z1_ingest_runs", """WITH x AS (SELECT (day(ts) - 1) // 16 + 1 AS run_id, us
  j AS (SELECT u.*, k IN (SELECT k FROM gone) AS removed, run_id = first AS new FROM u JOIN f USING (k))
 SELECT run_id::INT AS run_id, 'completed' AS status, count(*) AS total_seen, count(*) FILTER (new AND NOT removed) AS inserted_count, count(*) FILTER (NOT new AND NOT removed) AS updated_count, count(*) FILTER (removed) AS skipped_removed_count,
  count(*) FILTER (new AND NOT removed) AS net_new_count, count(*) FILTER (NOT new AND NOT removed) AS rediscovered_count, sum(n - 1)::BIGINT AS dropped_duplicates, count(*) AS items, count(*) FILTER (NOT removed) AS postings FROM j GROUP BY 1""")
+add("X2_page_fields_by_form", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Data Head ' || page_id % 7 WHEN 1 THEN 'Og Title ' || page_id % 5 WHEN 2 THEN 'VP of Data' WHEN 3 THEN 'Chief & Data ' || page_id % 3 ELSE 'Ld Title ' || page_id % 9 END AS title,
+ CASE page_id % 5 WHEN 0 THEN 'Denver, CO' WHEN 1 THEN 'Boston, MA' WHEN 2 THEN 'Dallas, TX' WHEN 3 THEN 'Chicago, IL' ELSE 'Austin, TX' END AS page_location,
+ CASE page_id % 5 WHEN 0 THEN 'Blue Labs' WHEN 1 THEN 'Site Nine' WHEN 2 THEN '' WHEN 3 THEN 'Green Farm' ELSE 'Ld Works' END AS page_company FROM pages""")

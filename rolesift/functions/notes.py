@@ -36,7 +36,8 @@ def iso_day(c: Column) -> Column:
 
 def seconds_between(start: Column, end: Column) -> Column:
     """Whole seconds from one text timestamp to a later one, 0 if it is not later, NULL if either is none."""
-    return F.greatest(F.lit(0).cast("long"), F.unix_timestamp(to_timestamp(end)) - F.unix_timestamp(to_timestamp(start)))
+    seconds = F.unix_timestamp(to_timestamp(end)) - F.unix_timestamp(to_timestamp(start))
+    return F.when(seconds < 0, F.lit(0).cast("long")).otherwise(seconds)
 
 
 def clock_text(seconds: Column) -> Column:

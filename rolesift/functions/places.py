@@ -317,6 +317,7 @@ def filter_verdict(place: Column, hit: Column, none: Column, remote_only: Column
 
 # --- free text -----------------------------------------------------------
 
+# Words of partly remote places, and shapes of the place behind them.
 HYBRID_MARKERS = [
     "hybrid",
     "remote/in-office",

@@ -52,15 +52,15 @@ def _budget(name: str) -> Column:
     return base if least is None else F.when(broad, F.greatest(base, F.lit(least))).otherwise(base)
 
 
-def _family(names: Column) -> Column:
-    """Aliases of a title family: each title, then its search-safe form."""
+def _family(names: Column, most: int) -> Column:
+    """The first aliases of a title family: each title, then its search-safe form."""
     both = F.flatten(
         F.transform(
             names,
             lambda t: let(titles.search_safe(t), lambda s: F.when(norm_match(t) != s, F.array(t, s)).otherwise(F.array(t))),
         )
     )
-    return F.slice(distinct_titles(both), 1, 3)
+    return F.slice(distinct_titles(both), 1, most)
 
 
 def _primary(aliases: Column, grouped: Column) -> Column:
@@ -76,18 +76,21 @@ def _seniority(safe: Column) -> Column:
     return out.otherwise(F.concat(F.lit('"'), F.substring_index(safe, " ", 1), F.lit('"')))
 
 
-def _phrase(safe: Column) -> Column:
-    """The first three words left once seniority and filler words go."""
+def _phrase(safe: Column, most: int) -> Column:
+    """The first words left once seniority and filler words go."""
     for words, _ in SENIORITY:
         for word in sorted(words, key=len, reverse=True):
             safe = F.replace(safe, F.lit(word), F.lit(" "))
     kept = F.filter(F.split(safe, " "), lambda w: (w != "") & ~w.isin(*NOISE_WORDS))
-    return F.array_join(F.slice(kept, 1, 3), " ")
+    return F.array_join(F.slice(kept, 1, most), " ")
 
 
-def plan_queries(profiles: DataFrame) -> DataFrame:
+def plan_queries(profiles: DataFrame, aliases: int = 3, phrase_words: int = 3, places_read: int = 3, board_places: int = 2) -> DataFrame:
     """The queries of every profile with tier and position.
 
+    A family has at most `aliases` names, a broad query `phrase_words` words of its
+    title; `places_read` of the wishes are looked at, and boards are searched in
+    `board_places` places.
     Families, places and tiers are small arrays bounded by the budgets, so a
     profile is planned within its row; only the finished queries become rows.
     """
@@ -111,11 +114,12 @@ def plan_queries(profiles: DataFrame) -> DataFrame:
     families = F.transform(
         F.slice("groups", F.lit(1), _budget("title_variants")),
         lambda g: _family(
-            F.concat(F.array(g["main_title"]), F.transform(F.filter(g["variants"], lambda v: v["selected"]), lambda v: v["title"]))
+            F.concat(F.array(g["main_title"]), F.transform(F.filter(g["variants"], lambda v: v["selected"]), lambda v: v["title"])),
+            aliases,
         ),
     )
     bare = F.flatten(
-        F.transform(F.slice("wishes", 1, 3), lambda w: F.array(w, squeeze(F.replace(w, F.lit(","), F.lit(" ")))))
+        F.transform(F.slice("wishes", 1, places_read), lambda w: F.array(w, squeeze(F.replace(w, F.lit(","), F.lit(" ")))))
     )
     remote = F.when(F.col("include_remote"), F.array(F.lit("remote"))).otherwise(F.array().cast("array<string>"))
     variants = F.when(F.col("remote_only"), F.array(F.lit("remote"))).otherwise(
@@ -149,8 +153,8 @@ def plan_queries(profiles: DataFrame) -> DataFrame:
             lambda f, p: let(
                 titles.search_safe(f["primary"]),
                 lambda s: F.when(
-                    _phrase(s) != "",
-                    F.concat(_seniority(s), F.lit(' "'), _phrase(s), F.lit('"'), at(p), extra, ats),
+                    _phrase(s, phrase_words) != "",
+                    F.concat(_seniority(s), F.lit(' "'), _phrase(s, phrase_words), F.lit('"'), at(p), extra, ats),
                 ).otherwise(F.lit("")),
             ),
             places,
@@ -158,7 +162,7 @@ def plan_queries(profiles: DataFrame) -> DataFrame:
         "ats_strict": each(lambda f, p: F.concat(either(f["aliases"]), at(p), extra, ats), places),
         "ats_loose": each(lambda f, p: F.concat(f["primary"], F.lit(" "), p, extra, ats), places),
         "career_web": each(lambda f, p: F.concat(either(f["aliases"]), at(p), career), places),
-        "job_board_discovery": each(lambda f, p: F.concat(either(f["aliases"]), at(p), boards), F.slice(places, 1, 2)),
+        "job_board_discovery": each(lambda f, p: F.concat(either(f["aliases"]), at(p), boards), F.slice(places, 1, board_places)),
     }
 
     def tier(name: str) -> Column:

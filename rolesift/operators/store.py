@@ -397,13 +397,13 @@ def artifact_records(snapshot: DataFrame, artifacts: DataFrame) -> tuple[DataFra
 
 # --- endpoint contract ---------------------------------------------------------
 
-# The contract's required fields and allowed statuses.
+# The contract's required fields (in the order its error text names missing ones, by letter) and allowed statuses.
 REQUIRED_FIELDS = [
     "ats_provider", "canonical_company_domain", "careers_url", "careers_url_status",
     "company_name", "confidence_score", "last_validated_at", "review_status",
 ]
 CAREERS_STATUSES = ["validated", "candidate", "blocked", "not_found", "unresolved"]
-REVIEW_STATUSES = ["approved", "unreviewed", "needs_review", "rejected"]
+REVIEW_STATUSES = ["approved", "needs_review", "rejected", "unreviewed"]
 IMPORTABLE_STATUSES = ["validated", "candidate"]
 NAMED_METHODS = ["greenhouse", "ashby", "lever", "workday", "smartrecruiters", "icims"]
 

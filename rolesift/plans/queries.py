@@ -983,6 +983,29 @@ def _(spark, sf):
     return out.select("page_id", "title", F.length("text").alias("text_length"))
 
 
+def formed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawled pages that say title, place and firm in five ways: labels, meta tags, the URL, a title and a line, JSON-LD."""
+    n, c = F.col("page_id"), F.concat
+    forms = [
+        c(F.lit("<title>Job Application for Data Head "), n % 7, F.lit(" at Blue Labs</title><h1>Data Head "), n % 7, F.lit('</h1><span class="job-location">Denver, CO</span>')),
+        c(F.lit('<meta property="og:site_name" content="Site Nine"><meta name="keywords" content="jobs in Boston, MA now"><h1></h1><title></title><meta content="Og Title '), n % 5, F.lit('" property="og:title">')),
+        F.lit("<title></title><h1> </h1>"),
+        c(F.lit("<h1>Chief &amp; Data "), n % 3, F.lit("</h1><title>Chief | Green Farm</title><p>Primary Location: Chicago, IL | x</p>")),
+        c(
+            F.lit('<h1></h1><title></title><script type="application/ld+json">{"title": "Ld Title '), n % 9,
+            F.lit('", "hiringOrganization": {"name": "Ld Works"}, "jobLocation": {"address": {"addressLocality": "Austin", "addressRegion": "TX"}}}</script>'),
+        ),
+    ]
+    head = F.get(F.array(*forms), (n % 5).cast("int"))
+    where = F.when(n % 5 == 2, F.lit("https://acme.wd5.myworkdayjobs.com/en-US/External/job/Dallas-TX/VP-of-Data_R5")).otherwise(F.lit("https://pages.example.org/a"))
+    return d.table(spark, sf_dir, "pages").select("page_id", where.alias("url"), F.concat(head, "html").alias("html"))
+
+
+@query("X2_page_fields_by_form")
+def _(spark, sf):
+    return pages.extract_page_fields(formed_pages(spark, sf)).select("page_id", "title", "page_location", "page_company")
+
+
 @query("X3_build_postings")
 def _(spark, sf):
     return parsed_pages(spark, sf).select(

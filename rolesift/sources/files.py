@@ -74,14 +74,13 @@ def _folder(column: Column) -> Column:
 
 
 def read_run_reports(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(one row per report folder, its URLs as rows)."""
+    """(one row per report folder with all its settings, its URLs as rows)."""
     path = F.col("_metadata.file_path")
     summaries = spark.read.schema(SUMMARY_SCHEMA).option("multiLine", True).json(f"{root}/*/summary.json")
-    settings = spark.read.schema("target_titles string, preferred_locations string").option("multiLine", True).json(
-        f"{root}/*/effective_settings.json"
-    )
+    settings = spark.read.text(f"{root}/*/effective_settings.json", wholetext=True).withColumn("settings", F.from_json("value", "map<string,string>"))
+    named = [F.coalesce(F.col("settings")[c], F.lit("")).alias(c) for c in ("target_titles", "preferred_locations")]
     rows = summaries.select(_folder(path).alias("report_id"), "*").join(
-        settings.select(_folder(path).alias("report_id"), "*"), "report_id", "left"
+        settings.select(_folder(path).alias("report_id"), *named, "settings"), "report_id", "left"
     )
     lines = spark.read.text(f"{root}/*/urls.txt").select(_folder(path).alias("report_id"), strip(F.col("value")).alias("url"))
     return rows, lines.filter("url <> ''")
