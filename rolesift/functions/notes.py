@@ -42,7 +42,8 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 def clock_text(seconds: Column) -> Column:
     """Seconds as 'hh:mm:ss'."""
-    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+    shown = F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+    return F.when(seconds.isNotNull(), shown)
 
 
 def run_duration(started: Column, completed: Column, total_seconds: Column | None = None) -> Column:
