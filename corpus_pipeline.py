@@ -10,13 +10,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolesift.llm import leaks, near, packing, quality, secrets
 from rolesift.llm.common import shared_dir, shipped, table, written
 
-#: Row numbers, of eight bytes each, that are broadcast; more are joined by exchange.
+#: Row numbers and file names that are broadcast; more are joined by exchange.
 BROADCAST_ROWS = 1_000_000
 #: Rows that one file may have.
 FILE_ROWS = 1 << 40
@@ -25,21 +25,24 @@ FILE_ROWS = 1 << 40
 def numbered(docs: DataFrame) -> DataFrame:
     """All columns and ``_row``, a number that each row has in every reading of the same files."""
     try:
-        files = docs.select("_metadata.file_path").distinct().orderBy("file_path").collect()  # a name for each file
+        paths = docs.select(F.col("_metadata.file_path").alias("_file"))
     except AnalysisException:  # no files of its own yet
         return numbered(written(docs))
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(r.file_path, k * FILE_ROWS) for k, r in enumerate(files)], "_file string, _first long")
+    # A row for each file.
+    first = (F.row_number().over(Window.orderBy("_file")) - 1).cast("long") * FILE_ROWS
+    known = written(paths.distinct().withColumn("_first", first))
     placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    return placed.join(F.broadcast(known), "_file").withColumn("_row", F.col("_first") + F.col("_index")).drop("_file", "_first", "_index")
+    return placed.join(bounded(known), "_file").withColumn("_row", F.col("_first") + F.col("_index")).drop("_file", "_first", "_index")
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """Written rows of a few bytes each, to be broadcast if they are ``BROADCAST_ROWS`` at most."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def without(rows: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
     """The rows whose number is not in ``gone``."""
-    gone = written(gone.select("_row"))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, "_row", "left_anti").select(columns)
+    return rows.join(bounded(written(gone.select("_row"))), "_row", "left_anti").select(columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
