@@ -26,14 +26,18 @@ def written(root, table, version):
     return sorted(x for x in os.listdir(path) if x.startswith("bucket=")) if os.path.isdir(path) else []
 
 
-@pytest.fixture()
-def made(spark, tmp_path):
-    root = str(tmp_path / "s")
+@pytest.fixture(scope="module")
+def start(spark):
     removed = spark.createDataFrame([("2020-01-01", "key|3", "", "", "", "", "")], STONE)
     first = store.upsert_postings(empty_snapshot(spark), spark.createDataFrame(batch_rows(1), COLUMNS), removed, 1, at()).snapshot
-    first = spark.createDataFrame(first.collect(), first.schema)
-    posting_store.create(first, removed, root, 16)
-    return root, first, removed
+    return spark.createDataFrame(first.collect(), first.schema), removed
+
+
+@pytest.fixture()
+def made(start, tmp_path):
+    root = str(tmp_path / "s")
+    posting_store.create(*start, root, 16)
+    return root, *start
 
 
 def test_tables_publish_only_what_changed(spark, tmp_path):

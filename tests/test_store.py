@@ -114,7 +114,7 @@ def frames(spark, stored, rows):
     return known, spark.createDataFrame(rows, f"pos long, {identity}").repartition(5)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 @pytest.mark.parametrize("at_once", [chains.AT_ONCE, 0])
 def test_rows_go_where_a_row_by_row_store_puts_them(spark, seed, at_once):
     stored, rows = mixed(seed)

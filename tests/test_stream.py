@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from rolesift.operators import posting_store
 from rolesift.sources import buckets
 from rolesift.streaming.ingest import incremental_ingest, ingest_run, start_store
-from tests.test_store import COLUMNS, NOW, batch_rows, by_rows, empty_snapshot
+from tests.test_store import COLUMNS, batch_rows, by_rows, empty_snapshot
 
 SCHEMA = COLUMNS + ", location string, ats_type string"
-EXTRA = {"location": F.lit(""), "ats_type": F.lit("Unknown")}
-TIMES = [c for c in ("first_seen_at", "last_seen_at", "last_page_refresh_at", "last_score_refresh_at", "updated_at")]
+TIMES = ["first_seen_at", "last_seen_at", "last_page_refresh_at", "last_score_refresh_at", "updated_at"]
+
+
+def batch(spark, seed):
+    return spark.createDataFrame(batch_rows(seed), COLUMNS).withColumns({"location": F.lit(""), "ats_type": F.lit("Unknown")})
 
 
 def runs(spark, root):
@@ -28,8 +31,7 @@ def test_runs_and_replay(spark, tmp_path):
     stones = removed.select(F.lit("").alias("removed_date"), "duplicate_key", *[F.lit("").alias(c) for c in ("company", "title", "location", "job_posting_url", "removal_reason")])
     start_store(empty_snapshot(spark), stones, root, 8)
     for seed in (1, 2):
-        rows = spark.createDataFrame(batch_rows(seed), COLUMNS).withColumns(EXTRA)
-        rows.coalesce(1).write.mode("append").parquet(source)
+        batch(spark, seed).coalesce(1).write.mode("append").parquet(source)
         incremental_ingest(spark, source, SCHEMA, root, str(tmp_path / "cp")).awaitTermination()
     after = posting_store.postings(spark, f"{root}/store", 2)
     assert after.agg(F.max("last_seen_run_id")).first()[0] == 2
@@ -55,7 +57,6 @@ def test_runs_and_replay(spark, tmp_path):
 
     before = stored(spark, root, 2), sorted(map(str, items.collect())), ledger, sorted(map(str, buckets.read(spark, f"{root}/source_registry", 2).select("source_key", "seen_count").collect()))
     for batch_id in (0, 1):
-        ingest_run(spark.createDataFrame(batch_rows(batch_id + 1), COLUMNS).withColumns(EXTRA), batch_id, root)
+        ingest_run(batch(spark, batch_id + 1), batch_id, root)
     again = spark.read.parquet(f"{root}/run_items")
     assert before == (stored(spark, root, 2), sorted(map(str, again.collect())), runs(spark, root), sorted(map(str, buckets.read(spark, f"{root}/source_registry", 2).select("source_key", "seen_count").collect())))
-    assert NOW
