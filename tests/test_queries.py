@@ -9,7 +9,7 @@ from tools.check import compare, oracle
 SF = "/root/testdata/sf0.001"
 QUICK = [
     "F2_url_quality_gate", "F5_title_prefilter", "W2_distinct_in_order", "W3_discovery_state", "A5_source_yield",
-    "J4_resolve_company", "M2_mark_applied", "W12_page", "A13_calibration_report", "X6_refresh_diff", "J15_effective_titles",
+    "J4_resolve_company", "M1_upsert_matches", "M2_mark_applied", "S2_endpoint_contract", "W7_capped_scan", "W12_page", "W12_last_page", "A13_calibration_report", "X6_refresh_diff", "J15_effective_titles",
 ]
 
 
