@@ -258,12 +258,15 @@ def build_source_registry(
         F.max("_at").alias("last_success_at"),
         F.lit("active").alias("status"),
     )
-    if registry is None:
-        return fresh
+    return fresh if registry is None else merge_registry(fresh, registry)
+
+
+def merge_registry(fresh: DataFrame, registry: DataFrame) -> DataFrame:
+    """A registry with the sources of a batch (`build_source_registry`) brought in."""
     old = registry.select("source_key", *[F.col(c).alias(f"old_{c}") for c in fresh.columns if c != "source_key"])
     merged = fresh.join(old, "source_key", "full_outer")
     counted = ["seen_count", "matching_job_count"]
-    latest = [*attributes, "last_seen_at", "last_success_at", "status"]
+    latest = [c for c in fresh.columns if c not in ("source_key", "first_seen_at", *counted)]
     return merged.select(
         "source_key",
         *[F.coalesce(F.col(c), F.col(f"old_{c}")).alias(c) for c in latest],

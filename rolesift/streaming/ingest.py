@@ -51,8 +51,7 @@ def ingest_run(
 
     fresh = cut(metrics.build_source_registry(once.withColumn("_at", at), "pos", "_at", None, source_name, source_detail))
     touched, old = buckets.part(fresh, "source_key", f"{root}/source_registry", run - 1)
-    merged = metrics.build_source_registry(once.withColumn("_at", at), "pos", "_at", old, source_name, source_detail)
-    buckets.publish(merged, f"{root}/source_registry", run, touched)
+    buckets.publish(metrics.merge_registry(fresh, old), f"{root}/source_registry", run, touched)
 
     yields = metrics.source_yield(once.withColumn("_run", F.lit(run)), "pos", "_run")
     dominance = metrics.source_dominance(yields, "_run").select("top_source", F.col("flag").alias("dominant"))
