@@ -6,8 +6,8 @@ are judged by gradient-boosted trees on their letters alone: lengths, depth,
 digit share, entropy, parameter counts, hyphens, and the block share of the
 host's suffixes among the labelled URLs.
 
-Everything is column expressions; the suffix shares come from a bounded sample
-of labelled rows and are joined by key. Defined results: a null URL or one
+Everything is column expressions; the trees and the suffix shares come from all
+labelled rows, and the shares are joined by key. Defined results: a null URL or one
 without ``://`` has empty host and path, fits no rule and is judged by its
 features like any other; repeated rows are judged each; without labels of both
 kinds the method allows. Other columns are not read.
@@ -85,16 +85,15 @@ def seeded(rows: DataFrame, seeds: list[str] = SEEDS) -> DataFrame:
     return rows.withColumn("label", F.arrays_overlap(words, F.array(*map(F.lit, seeds))).cast("int"))
 
 
-def train(labelled: DataFrame, sample_rows: int = 20_000, n_trees: int = 10, depth: int = 3):
-    """Model, suffix table and base share, from about ``sample_rows`` of the rows (url, host, path, label), picked by a hash."""
-    n = labelled.count()
-    part = min(1.0, sample_rows / n) if n else 1.0
-    rows = written(labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(part * (1 << 20))).select("url", "host", "path", "label"))
+def train(labelled: DataFrame, n_trees: int = 10, depth: int = 3):
+    """Model, suffix table and base share, from all of the rows (url, host, path, label)."""
+    rows = written(labelled.select("url", "host", "path", "label"))
     base = float(rows.agg(F.avg("label")).first()[0] or 0.0)
     both = rows.select("label", F.explode(F.array(*[F.struct(F.lit(k).alias("labels"), _suffix(k).alias("suffix")) for k in (1, 2)])).alias("x"))
     counts = both.groupBy("x.labels", "x.suffix").agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n"))
     suffixes = written(counts.select("labels", "suffix", ((F.col("t") + 10 * base) / (F.col("n") + 10)).alias("share"), "n"))
-    return trees.fit(features(rows, suffixes, base).select("features", "label"), n_trees, depth), suffixes, base
+    # Written: the trainer reads its rows several times.
+    return trees.fit(written(features(rows, suffixes, base).select("features", "label")), n_trees, depth), suffixes, base
 
 
 def judge(urls: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] | None = None, **training: int) -> DataFrame:

@@ -37,3 +37,12 @@ def test_trees_learn_from_labelled_urls(spark):
 
 def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_learns_from_all_labelled_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(urls.trees, "fit", lambda rows, *_: seen.append(rows.count()))
+    rows = spark.range(25_000).selectExpr("id AS page_id", "concat('https://h', id, '.example.org/', id) AS url")
+    _, suffixes, _ = urls.train(urls.parts(rows).selectExpr("*", "CAST(page_id % 2 AS INT) AS label"))
+    assert seen == [25_000]
+    assert suffixes.where("labels = 1").agg({"n": "sum"}).first()[0] == 25_000
