@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows up to which Spark may broadcast a table.
+BROADCAST_ROWS = 100_000
+
 URL_OBSERVATIONS = """
 SELECT event_id AS obs_id, ts, CAST(day(ts) AS INT) AS run_id, CAST(user_id % 5 AS INT) AS profile_id,
   CASE event_id % 3 WHEN 0 THEN 'board_a' WHEN 1 THEN 'board_b' ELSE 'search' END AS provider,
@@ -112,8 +115,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _joined(rows: DataFrame) -> DataFrame:
+    """The same rows; above ``BROADCAST_ROWS`` they are never sent through the driver for a join.
+
+    Spark judges a table by its compressed files, which are a small part of what the driver has to hold.
+    """
+    return rows.hint("merge") if rows.count() > BROADCAST_ROWS else rows
+
+
 def _derive(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
-    return spark.sql(text, **{n: _read(spark, sf_dir, n) for n in names})
+    return spark.sql(text, **{n: _joined(_read(spark, sf_dir, n)) for n in names})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
