@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that one task takes of rows that are dealt out.
+TASK_ROWS = 20_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,6 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The same rows, dealt evenly over one task for each ``task_rows`` of them.
+
+    Rows of a few bytes lie by the million in one part of a file, which is one task. A draw
+    deals them, not a key, as keys may repeat. The plan is cut: a filter on a computed column
+    would be pushed below the exchange, where one task works it out for all.
+    """
+    tasks = -(-rows.count() // task_rows)
+    return cut(rows.repartition(tasks, F.rand(0))) if tasks > 1 else rows
+
+
 def shared(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir.
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import spread
+
 #: Rows up to which Spark may broadcast a table.
 BROADCAST_ROWS = 100_000
 
@@ -127,13 +129,18 @@ def _derive(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFra
     return spark.sql(text, **{n: _joined(_read(spark, sf_dir, n)) for n in names})
 
 
+def _spread(spark: SparkSession, sf_dir: str, text: str, name: str, *columns: str) -> DataFrame:
+    """The statement over one table, of which it reads these columns, spread over tasks."""
+    return spark.sql(text, **{name: spread(_read(spark, sf_dir, name).select(*columns))})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's own tables."""
     return _read(spark, sf_dir, name)
 
 
 def url_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, sf_dir, URL_OBSERVATIONS, "events")
+    return _spread(spark, sf_dir, URL_OBSERVATIONS, "events", "event_id", "ts", "user_id", "event_type")
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +167,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def many_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, sf_dir, MANY_PROFILES, "customer")
+    return _spread(spark, sf_dir, MANY_PROFILES, "customer", "c_custkey")
 
 
 def model_results(spark: SparkSession, sf_dir: str) -> DataFrame:

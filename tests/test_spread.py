@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rolesift.operators.lineage import spread
 from rolesift.plans import derived as d
 
 
@@ -10,6 +11,15 @@ def plan(rows):
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_spread_deals_rows(spark):
+    rows = spark.range(0, 100, 1, 1).withColumn("k", F.lit(None).cast("long"))
+    dealt = spread(rows, 20)
+    assert dealt.rdd.getNumPartitions() == 5
+    assert max(dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 60
+    assert sorted(dealt.collect()) == sorted(rows.collect())
+    assert spread(rows, 100) is rows
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     orders = [(k, k % 4, "F", "5-LOW", "1996-01-02") for k in range(40)]
@@ -26,3 +36,9 @@ def test_large_tables_are_not_broadcast(spark, tables, monkeypatch):
     rows = d.postings(spark, tables)
     assert "BroadcastHashJoin" not in rows._jdf.queryExecution().executedPlan().toString()
     assert len(small) == 40 and sorted(rows.collect()) == small
+
+
+def test_many_rows_of_one_file_are_many_tasks(spark, tmp_path):
+    spark.range(0, 45_000, 1, 1).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = d.many_profiles(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 3 and rows.select("profile_id").distinct().count() == 45_000
