@@ -14,6 +14,7 @@ from ..functions.text import (
     distinct_by,
     distinct_titles,
     fold,
+    let,
     norm_match,
     norm_plain,
     norm_term,
@@ -337,9 +338,9 @@ def title_groups(profiles: DataFrame) -> DataFrame:
             F.array().cast("array<struct<title:string,selected:boolean,source:string>>").alias("variants"),
         ),
     )
-    groups = F.when(F.size(usable) > 0, usable).otherwise(plain)
-    keys = F.transform(groups, lambda g: fold(g["main_title"]))
-    first = F.filter(groups, lambda g, i: F.array_position(keys, fold(g["main_title"])) == i + 1)
+    # Bound: inside a lambda each of them would be worked out again for every element.
+    groups = let(usable, lambda u: F.when(F.size(u) > 0, u).otherwise(plain))
+    first = let(groups, lambda gs: _first_of_key(gs, "main_title"))
     return profiles.select(
         "profile_id",
         F.transform(
@@ -352,14 +353,19 @@ def title_groups(profiles: DataFrame) -> DataFrame:
     )
 
 
+def _first_of_key(items: Column, field: str) -> Column:
+    """The items whose folded field no earlier one has."""
+    keys = F.transform(items, lambda x: fold(x[field]))
+    return let(keys, lambda ks: F.filter(items, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1))
+
+
 def _clean_variants(variants: Column, main_title: Column) -> Column:
     """Distinct by folded text, never the main title, at most five."""
     named = F.filter(
         F.coalesce(variants, F.array().cast("array<struct<title:string,selected:boolean,source:string>>")),
         lambda v: (fold(v["title"]) != "") & (fold(v["title"]) != fold(main_title)),
     )
-    keys = F.transform(named, lambda v: fold(v["title"]))
-    first = F.filter(named, lambda v, i: F.array_position(keys, fold(v["title"])) == i + 1)
+    first = let(named, lambda vs: _first_of_key(vs, "title"))
     return F.transform(
         F.slice(first, 1, MAX_VARIANTS),
         lambda v: F.struct(

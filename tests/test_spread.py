@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rolesift.operators import profiles
 from rolesift.operators.lineage import spread
 from rolesift.plans import derived as d
 
@@ -42,3 +43,13 @@ def test_many_rows_of_one_file_are_many_tasks(spark, tmp_path):
     spark.range(0, 45_000, 1, 1).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
     rows = d.many_profiles(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() == 3 and rows.select("profile_id").distinct().count() == 45_000
+
+
+def test_title_groups_are_not_parsed_for_each_element(spark):
+    group = '[{"main_title": "VP  of IT", "variants": [{"title": "CIO"}, {"title": "cio"}, {"title": "vp of it"}]}, {"main_title": "vp of IT"}]'
+    rows = spark.createDataFrame([(1, group, "CTO"), (2, "[{", "CTO; Head"), (3, None, None)], "profile_id long, target_title_groups string, target_titles string")
+    out = profiles.expand_title_groups(rows)
+    # The array itself, and two tests that Spark adds before it explodes one.
+    assert plan(out).count("from_json") <= 3
+    got = sorted((r.profile_id, r.group_pos, r.main_title, r.pos, r.title) for r in out.collect())
+    assert got == [(1, 0, "VP of IT", 0, "VP of IT"), (1, 0, "VP of IT", 1, "CIO"), (2, 0, "CTO", 0, "CTO"), (2, 1, "Head", 0, "Head")]
