@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import companies, markup, pay, places, titles, trust, urls
 from ..functions.text import bound, clean, contains_any, let, norm_plain, strip
 from .gates import PREFERRED_HOSTS, SENIOR_TITLE_PARTS, is_detail_url, is_gateway_host, is_preferred_host
+from .lineage import cut
 from .matching import match_seed_place, match_seed_title
 from .ordered import top_n
 
@@ -380,7 +381,8 @@ def feed_rows(feed_pages: DataFrame) -> DataFrame:
 
 def flatten_feed(rows: DataFrame) -> DataFrame:
     """Kept detail URLs per endpoint; a later pass only if none kept."""
-    kept = rows.filter(F.col("title_ok") & F.col("place_ok") & (F.col("detail_url") != ""))
+    # Cut before the filter, which would take the whole matching down with it and have it worked out once for each use.
+    kept = cut(rows).filter(F.col("title_ok") & F.col("place_ok") & (F.col("detail_url") != ""))
     first_pass = kept.groupBy("endpoint_id").agg(F.min("pass_no").alias("pass_no"))
     chosen = kept.join(first_pass, ["endpoint_id", "pass_no"])
     return top_n(chosen, ["endpoint_id", "detail_url"], [F.asc("page_no"), F.asc("pos")])

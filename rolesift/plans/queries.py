@@ -1081,8 +1081,8 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("X4_flatten_feed")
 def _(spark, sf):
-    out = pages.flatten_feed(pages.feed_rows(feed(spark, sf)))
-    return out.select("endpoint_id", "pass_no", "page_no", "pos", "detail_url")
+    rows = pages.feed_rows(feed(spark, sf)).select("endpoint_id", "pass_no", "page_no", "pos", "title_ok", "place_ok", "detail_url")
+    return pages.flatten_feed(rows).select("endpoint_id", "pass_no", "page_no", "pos", "detail_url")
 
 
 @query("A18_seed_scan_summary")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rolesift.operators import profiles
+from rolesift.operators import pages, profiles
 from rolesift.operators.lineage import spread
 from rolesift.plans import derived as d
 
@@ -53,3 +53,13 @@ def test_title_groups_are_not_parsed_for_each_element(spark):
     assert plan(out).count("from_json") <= 3
     got = sorted((r.profile_id, r.group_pos, r.main_title, r.pos, r.title) for r in out.collect())
     assert got == [(1, 0, "VP of IT", 0, "VP of IT"), (1, 0, "VP of IT", 1, "CIO"), (2, 0, "CTO", 0, "CTO"), (2, 1, "Head", 0, "Head")]
+
+
+def test_feed_is_matched_once(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, 5, 0, True, True, "a"), (1, 2, 4, 0, True, True, "b"), (1, 1, 6, 0, True, True, "a"), (2, 1, 7, 0, False, True, "c"), (2, 2, 8, 0, True, True, "c")],
+        "endpoint_id long, pass_no int, page_no long, pos int, title_ok boolean, place_ok boolean, detail_url string",
+    )
+    out = pages.flatten_feed(rows.withColumn("place_ok", F.col("place_ok") & F.col("detail_url").rlike("^[a-z]$")))
+    assert "RLIKE" not in plan(out)
+    assert sorted((r.endpoint_id, r.pass_no, r.page_no) for r in out.collect()) == [(1, 1, 5), (2, 2, 8)]
