@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import metrics, posting_store
 from ..operators.dedupe import dedupe_batch
-from ..operators.lineage import cut
+from ..operators.lineage import cut, spread
 from ..sources import buckets
 from ..sources.files import append_run_ledger
 
@@ -45,7 +45,7 @@ def ingest_run(
     spark = batch.sparkSession
     run = batch_id + 1
     at = F.current_timestamp() if now is None else now
-    rows = cut(dedupe_batch(batch).drop("batch_key"))
+    rows = cut(dedupe_batch(spread(batch)).drop("batch_key"))
     once = rows.drop("duplicates")
     outcomes = posting_store.upsert(spark, f"{root}/store", once, run, run, at)
 

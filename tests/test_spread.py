@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rolesift.operators import pages, profiles
 from rolesift.operators.lineage import spread
 from rolesift.plans import derived as d
+from rolesift.streaming import ingest
 
 
 def plan(rows):
@@ -63,3 +64,16 @@ def test_feed_is_matched_once(spark):
     out = pages.flatten_feed(rows.withColumn("place_ok", F.col("place_ok") & F.col("detail_url").rlike("^[a-z]$")))
     assert "RLIKE" not in plan(out)
     assert sorted((r.endpoint_id, r.pass_no, r.page_no) for r in out.collect()) == [(1, 1, 5), (2, 2, 8)]
+
+
+def test_one_file_of_a_run_is_many_tasks(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def dedupe(batch):
+        raise Seen(batch.rdd.getNumPartitions(), batch.count())
+
+    monkeypatch.setattr(ingest, "dedupe_batch", dedupe)
+    with pytest.raises(Seen) as seen:
+        ingest.ingest_run(spark.range(0, 45_000, 1, 1).withColumnRenamed("id", "pos"), 0, "/nowhere")
+    assert seen.value.args == (3, 45_000)
