@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rolesift.operators import pages, profiles
+from rolesift.operators import gates, pages, profiles
 from rolesift.operators.lineage import spread
 from rolesift.plans import derived as d
 from rolesift.streaming import ingest
@@ -46,6 +46,14 @@ def test_many_rows_of_one_file_are_many_tasks(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 3 and rows.select("profile_id").distinct().count() == 45_000
 
 
+def test_url_parts_are_found_once(spark):
+    rows = spark.createDataFrame([(1, "https://jobs.lever.co/org1/2"), (2, ""), (3, None)], "obs_id long, raw_url string")
+    kept = gates.classify_source_url(rows).filter("keep")
+    assert plan(kept).count("regexp_extract") <= 20
+    assert [r.class_reason for r in kept.collect()] == ["lever_detail"]
+    assert plan(gates.url_quality_gate(rows).filter("is_posting_url")).count("regexp_extract") <= 20
+
+
 def test_title_groups_are_not_parsed_for_each_element(spark):
     group = '[{"main_title": "VP  of IT", "variants": [{"title": "CIO"}, {"title": "cio"}, {"title": "vp of it"}]}, {"main_title": "vp of IT"}]'
     rows = spark.createDataFrame([(1, group, "CTO"), (2, "[{", "CTO; Head"), (3, None, None)], "profile_id long, target_title_groups string, target_titles string")
