@@ -80,6 +80,13 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows: what a task makes of one is held at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def bitmap(keys: DataFrame, least_bits: int = 20, most_bits: int = 30):
     """A broadcast bit for each key: 32 bits a key, 2**most_bits bits at most. Keys that are not there hit one now and then."""
     bits = min(most_bits, max(least_bits, int(keys.count() * 32).bit_length()))

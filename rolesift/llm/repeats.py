@@ -21,7 +21,8 @@ text, as in difference-cover construction:
 
 Texts are read again for each step rather than shuffled: a bitmap of fixed
 bound, made of the keys that are still open, says which cover positions a step
-has to send. Grams and contexts are 64-bit hashes each, seen together.
+has to send. A task makes results of ``ROWS`` texts at a time, however many a
+batch holds. Grams and contexts are 64-bit hashes each, seen together.
 
 Defined results: null and empty texts keep their bytes; shorter texts than
 ``length`` have no string to repeat; of repeated rows each is a document of its
@@ -36,15 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_128_digest
 
-from .common import bitmap, hit, signed, written
+from .common import bitmap, hit, signed, sliced, written
 
 LENGTH, GRAM = 200, 48
+#: Texts whose results a task holds at once.
+ROWS = 250
 #: Bytes that are hashed at once, and occurrences that are sorted at once.
-CHUNK, BLOCK = 1 << 20, 30_000
+CHUNK, BLOCK = 1 << 17, 30_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -106,22 +109,26 @@ def _both(gram: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     return _mix(gram * np.uint64(3) + ctx)
 
 
-def _positions(docs: DataFrame, schema: str, row, length: int, gram: int) -> DataFrame:
-    """Rows that ``row`` makes of each text's cover: a list of arrays for (doc_id, data, cover)."""
+def _data() -> Column:
+    return F.col("text").cast("binary").alias("data")
+
+
+def _positions(docs: DataFrame, schema: str, row, length: int, gram: int, *key: str | Column) -> DataFrame:
+    """Rows that ``row`` makes of each text's cover: a list of arrays for (values of key, data, cover)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = Cover(length, gram)
         names = [x.split()[0] for x in schema.split(", ")]
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             parts = []
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for *keys, data in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1], strict=True):
                 data = data.as_py() or b""
                 if len(data) >= length:
-                    parts.append(row(doc, data, cover.find(data)))
+                    parts.append(row(keys, data, cover.find(data)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*parts, strict=True)], names=names)
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("data")).mapInArrow(each, schema)
+    return docs.select(*key, _data()).mapInArrow(each, schema)
 
 
 def _depths(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,13 +242,13 @@ def _counted_spans(rows: DataFrame, length: int) -> DataFrame:
 def _spans(docs: DataFrame, length: int, gram: int, block: int) -> DataFrame:
     """gram, ctx and the repeated windows of the context: null for all of them."""
 
-    def grams(doc, data, found):
+    def grams(keys, data, found):
         return [signed(found[0])]
 
     repeated = _positions(docs, "gram long", grams, length, gram).groupBy("gram").count().where("count > 1").select("gram")
     some = bitmap(written(repeated))
 
-    def contexts(doc, data, found):
+    def contexts(keys, data, found):
         keep = hit(some, found[0])
         return [signed(found[0][keep]), signed(found[1][keep])]
 
@@ -256,7 +263,7 @@ def _spans(docs: DataFrame, length: int, gram: int, block: int) -> DataFrame:
 
     wanted = bitmap(open_.select("gram", "ctx").mapInArrow(both, "key long"))
 
-    def bytes_(doc, data, found):
+    def bytes_(keys, data, found):
         keep = hit(wanted, _both(found[0], found[1]))
         g, c, lo, count, offset = (x[keep] for x in found)
         around = [data[a : a + k - 1 + length] for a, k in zip(lo.tolist(), count.tolist(), strict=True)]
@@ -276,14 +283,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     spans, both = _spans(docs, length, gram, block)
     open_ = bitmap(spans.select("gram", "ctx").mapInArrow(both, "key long"))
 
-    def places(doc, data, found):
+    def places(keys, data, found):
         keep = hit(open_, _both(found[0], found[1]))
         g, c, lo, count, _ = (x[keep] for x in found)
-        n = len(g)
-        t = np.full(n, xxh3_64_intdigest(data), np.uint64)
-        return [pa.array([doc] * n, pa.int64()), signed(t), signed(g), signed(c), pa.array(lo), pa.array(count)]
+        return [*(pa.array([k] * len(g), pa.int64()) for k in keys), signed(g), signed(c), pa.array(lo), pa.array(count)]
 
-    at = _positions(docs, "doc_id long, t long, gram long, ctx long, lo long, count long", places, length, gram)
+    t = F.xxhash64(_data()).alias("t")
+    at = _positions(docs, "doc_id long, t long, gram long, ctx long, lo long, count long", places, length, gram, "doc_id", t)
     at = at.join(spans, ["gram", "ctx"]).select("doc_id", "t", "lo", "count", "spans")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,13 +304,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     cut = at.mapInArrow(runs, "doc_id long, t long, runs binary")
     cut = cut.groupBy("doc_id", "t").agg(F.collect_list("runs").alias("runs"))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t = np.array([xxh3_64_intdigest(x.as_py() or b"") for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(t)], names=["doc_id", "data", "t"])
-
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, ROWS):
             out: tuple[list, ...] = ([], [], [], [], [])
             for data, found in zip(batch.column(1), batch.column(2), strict=True):
                 data, found = data.as_py() or b"", found.as_py() or []
@@ -329,7 +330,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("data")).mapInArrow(hashed, "doc_id long, data binary, t long")
+    texts = docs.select("doc_id", _data(), t)
     joined = texts.join(cut.withColumnsRenamed({"doc_id": "_d", "t": "_t"}), (F.col("doc_id").eqNullSafe(F.col("_d"))) & (F.col("t") == F.col("_t")), "left")
     return joined.select("doc_id", "data", "runs").mapInArrow(
         remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 from rolesift.llm import repeats
@@ -47,3 +48,21 @@ def test_cover_is_the_same_in_equal_windows():
 
 def test_empty_table(no_docs):
     assert repeats.without_repeats(no_docs).count() == 0
+
+
+def test_results_of_few_texts_are_held_at_once(spark):
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, each, schema):
+            return each
+
+    def ones(keys, data, found):
+        return [pa.array(keys), pa.array([len(data)])]
+
+    count = 2 * repeats.ROWS + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(count)), pa.array([b"x" * 300] * count)], names=["doc_id", "data"])
+    made = list(repeats._positions(Docs(), "doc_id long, n long", ones, 200, 48, "doc_id")(iter([batch])))
+    assert [b.num_rows for b in made] == [repeats.ROWS, repeats.ROWS, 1]
+    assert [x for b in made for x in b.column(0).to_pylist()] == list(range(count))
