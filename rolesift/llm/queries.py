@@ -70,7 +70,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and their text again, as digests."""
-    rows = sentencepieces.decoded(sentencepieces.encoded(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text"))
+    rows = sentencepieces.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -20,7 +20,8 @@ and refuses others.
 Defined results: null texts are empty; an empty text is begin and end id alone;
 repeated rows are encoded each; U+2581 in a text is a space, as in the library;
 ``encoded`` and ``decoded`` keep all other columns, and replace columns named
-``ids`` or ``decoded``; an empty table gives no rows.
+``ids`` or ``decoded``; ``round_trip`` does both in one pass and drops the text;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import sliced
+
 SPACE = "▁"
 #: A space run and what follows, up to the next.
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -220,12 +223,6 @@ def _with(rows: DataFrame, name: str, kind: T.DataType) -> tuple[list[str], T.St
     return keep, T.StructType([*[f for f in rows.schema if f.name != name], T.StructField(name, kind)])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            yield batch.slice(k, ROWS)
-
-
 def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """All columns but ``ids``, and ``ids``: the ids as little-endian unsigned 32-bit integers in a row."""
     path = path or default_model()
@@ -233,7 +230,7 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text") -> Dat
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = model(path).encode
-        for batch in _parts(batches):
+        for batch in sliced(batches, ROWS):
             ids = pa.array([encode(t.as_py() or "") for t in batch.column(batch.num_columns - 1)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*keep, "ids"])
 
@@ -247,8 +244,27 @@ def decoded(rows: DataFrame, path: str | None = None, ids: str = "ids") -> DataF
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = model(path).decode
-        for batch in _parts(batches):
+        for batch in sliced(batches, ROWS):
             out = pa.array([decode(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*keep, "decoded"])
 
     return rows.select(*keep, rows[ids].alias("_ids")).mapInArrow(texts, schema)
+
+
+def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """``ids`` and ``decoded`` as the two operators give them, and all columns but these and the text.
+
+    One worker and one model a task do both, and ids and texts stay there between the steps.
+    """
+    path = path or default_model()
+    keep = [f for f in docs.schema if f.name not in (text, "ids", "decoded")]
+    schema = T.StructType([*keep, T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model(path)
+        for batch in sliced(batches, ROWS):
+            ids = [own.encode(t.as_py() or "") for t in batch.columns[-1]]
+            texts = [own.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=schema.names)
+
+    return docs.select(*[f.name for f in keep], docs[text].alias("_text")).mapInArrow(rows, schema)

@@ -61,6 +61,20 @@ def test_repeated_null_and_clashing_rows(spark):
     assert sorted((r.doc_id is None, r.decoded, len(r.ids)) for r in found) == [(False, "", 8), (True, "a", 12), (True, "a", 12)]
 
 
+def test_round_trip_gives_what_the_two_operators_give(docs):
+    apart = sentencepieces.decoded(sentencepieces.encoded(docs)).drop("text")
+    both = sentencepieces.round_trip(docs)
+    assert sorted(apart.columns) == sorted(both.columns)
+    found = sorted(apart.collect(), key=lambda r: r.doc_id)
+    assert [r.asDict() for r in sorted(both.collect(), key=lambda r: r.doc_id)] == [r.asDict() for r in found]
+
+
+def test_a_task_of_the_query_needs_one_worker(spark, docs, tmp_path, capsys):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    entry.queries()["op11_sentencepiece"](spark, str(tmp_path)).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
 def test_full_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(sentencepieces, "KEPT", 5)
     monkeypatch.setattr(sentencepieces, "PAIRS", 7)
