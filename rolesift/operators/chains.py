@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, written
 
 IDENTITY = ["duplicate_key", "canonical_job_posting_url", "job_posting_url"]
 #: Tangled rows that one task replays without dividing them.
@@ -37,27 +37,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node joins its neighbour of least hash, or stays if its
     own is less, and what has joined is one node of the next. Hashes are
-    new in each round, so the nodes shrink by a constant part whatever the shape.
+    new in each round, so the nodes shrink by a constant part whatever the shape. Nodes
+    get their names from the last round backwards, each round's once.
     """
-    edges = cut(edges.where("a <> b").distinct())
-    names, number = None, 0
+    edges, rounds = written(edges.where("a <> b").distinct()), []
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        draw = lambda c: F.xxhash64(F.lit(number), c)  # noqa: B023, E731
+        draw = lambda c: F.xxhash64(F.lit(len(rounds)), c)
         joins = both.groupBy("a").agg(F.min(F.struct(draw("b").alias("h"), F.col("b").alias("n"))).alias("least"))
-        joins = cut(joins.select(F.col("a").alias("node"), F.when(F.col("least.h") < draw("a"), F.col("least.n")).otherwise(F.col("a")).alias("to")))
-        if names is None:
-            names = joins.withColumnRenamed("to", "component")
-        else:
-            later = joins.withColumnsRenamed({"node": "component", "to": "_to"})
-            names = cut(names.join(later, "component", "left").select("node", F.coalesce("_to", "component").alias("component")))
+        joins = written(joins.select(F.col("a").alias("node"), F.when(F.col("least.h") < draw("a"), F.col("least.n")).otherwise(F.col("a")).alias("to")))
         left = joins.withColumnsRenamed({"node": "a", "to": "_a"})
         right = joins.withColumnsRenamed({"node": "b", "to": "_b"})
         moved = edges.join(left, "a").join(right, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        edges = cut(moved.where("a <> b").distinct())
-        number += 1
-    if names is None:
+        edges = written(moved.where("a <> b").distinct())
+        rounds.append(joins)
+    if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    names = rounds.pop().withColumnRenamed("to", "component")
+    for joins in reversed(rounds):
+        later = names.withColumnsRenamed({"node": "to", "component": "_to"})
+        names = written(joins.join(later, "to", "left").select("node", F.coalesce("_to", "to").alias("component")))
     return names
 
 

@@ -25,6 +25,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept as files in the cluster's checkpoint folder.
+
+    For loops that join what they have cut. A checkpoint keeps the size that Spark estimated for its plan, the
+    product of the sizes joined, so the digits of that number multiply in every round until they fill the
+    driver's memory. Files have the size that they have.
+    """
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def spread(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """The same rows, dealt evenly over one task for each ``task_rows`` of them.
 

@@ -152,6 +152,13 @@ def test_components(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_rounds_do_not_multiply_the_estimated_size(spark):
+    found = chains.components(spark.range(400).selectExpr("id AS a", "id + 1 AS b"))
+    assert (found.count(), found.select("component").distinct().count()) == (401, 1)
+    # Joins of what was joined before gave it hundreds of digits, three times as many in each round.
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10**12
+
+
 def test_url_match_within_the_batch(spark):
     rows = [(1, "A", "t", "https://a.com/1", "", "", "", "", "k1"), (2, "B", "u", "https://a.com/1/", "", "", "", "", "k2")]
     removed = spark.createDataFrame([], "duplicate_key string")
